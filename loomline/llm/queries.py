@@ -5,17 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, simhash, toxicity
+from . import bpe, decontaminate, html_template, licenses, merkle, quality, quotes, simhash, syncmers, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"), spark)
+
+
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = merkle.page_records(table(spark, sf_dir, "pages"))
+    return merkle.audit(records, merkle.worn(records), spark)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"), spark)
+
+
+def op5_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -34,5 +51,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op6_toxicity, op7_simhash_dedup, op8_byte_bpe, op9_quality)}
-SQL: dict[str, str] = {}
+def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quotation_linking,
+        op2_merkle_audit,
+        op3_benchmark_decontamination,
+        op4_closed_syncmers,
+        op5_license_sentences,
+        op6_toxicity,
+        op7_simhash_dedup,
+        op8_byte_bpe,
+        op9_quality,
+        op10_template_extraction,
+    )
+}
+SQL = {"op1_quotation_linking": quotes.SQL, "op2_merkle_audit": merkle.SQL, "op5_license_sentences": licenses.sql()}
