@@ -111,4 +111,4 @@ def sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]
               FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)),
     found AS (SELECT rowid_, string_agg(id, ',' ORDER BY pos) AS ids FROM parts JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = normal GROUP BY rowid_),
     docs AS (SELECT d.doc_id, coalesce(ids, '') AS sentence_ids FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents) d LEFT JOIN found USING (rowid_))
-    SELECT doc_id, sentence_ids, coalesce(array_to_string(list_sort(list_distinct(list_filter([{hits}], x -> x IS NOT NULL))), ','), '') AS licences FROM docs"""
+    SELECT doc_id, sentence_ids, coalesce(array_to_string(list_sort(list_distinct([{hits}])), ','), '') AS licences FROM docs"""
