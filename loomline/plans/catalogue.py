@@ -1,5 +1,9 @@
-"""Queries over the driver's tables by name, each with SQL that says the same."""
+"""Queries over the driver's tables by name, each with SQL that says the same where SQL can."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import series_queries, store_queries, text_queries
+
+QUERIES = {**series_queries.QUERIES, **text_queries.QUERIES, **store_queries.QUERIES}
+SQL = {**series_queries.SQL, **text_queries.SQL, **store_queries.SQL}
 FLAGSHIP = "gauge_by_session"
