@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,8 +25,8 @@ import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces that a worker remembers. When there are as many, they become the old generation; those of it in use come back.
 CACHE = 250_000
 #: Pairs that a worker remembers; beyond that it forgets all and starts anew.
@@ -164,22 +163,20 @@ def codec(path: str, pattern: str) -> BytePairCodec:
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """One row per document: token count and digests of its ids and of the decoded bytes. No shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pd.Series) -> pd.DataFrame:
         c = codec(vocabulary, pattern)
-        for batch in batches:
-            out = pd.DataFrame([c.digest(text or "") for text in batch["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+        return pd.DataFrame([c.digest(t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
 
 
 def token_ids(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int>: what a training run reads."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def ids(texts: pd.Series) -> pd.Series:
         c = codec(vocabulary, pattern)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "ids": [c.encode(t or "") for t in batch["text"]]})
+        return pd.Series([c.encode(t or "") for t in texts], dtype="object")
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", ids("text").alias("ids"))

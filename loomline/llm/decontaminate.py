@@ -33,7 +33,7 @@ from .common import chunks
 #: Of consecutive words, the one with the least hash starts a window.
 WIDTH = 6
 #: Steps of the walk that a key samples from, by size class of items; and the repetitions.
-STEPS, REPEATS = (16, 8, 4), 3
+STEPS, REPEATS = (16, 8, 4), 6
 #: Least similarity, 1 - distance / characters of the item.
 SIMILARITY = 0.8
 #: A benchmark of no more items and characters is sent to every task.
@@ -78,7 +78,7 @@ def anchors(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     big = np.iinfo(np.uint64).max
     order = np.where(h == 0, big, mixed(h))  # the words between texts never are the least
     least = order.copy()
-    for k in range(1, WIDTH):
+    for k in range(1, min(WIDTH, n)):
         least[: n - k] = np.minimum(least[: n - k], np.where(h[k:] == 0, big, order[k:]))
     whole = np.ones(n, bool)  # windows within one text; a shorter text is one window
     gap = np.flatnonzero(h == 0)
@@ -88,7 +88,7 @@ def anchors(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     whole[first[short & (last > first)]] = True
     least[~whole] = 0
     most = least.copy()
-    for k in range(1, WIDTH):
+    for k in range(1, min(WIDTH, n)):
         most[k:] = np.maximum(most[k:], least[:-k])
     return np.flatnonzero((most == order) & (h != 0))
 
@@ -232,14 +232,15 @@ class Items:
             yield n, np.unique(np.concatenate([*got, h[:-1]]) if len(h) > 1 else np.zeros(0, np.uint64))
 
 
-SCHEMA = "doc_id long, item_id long, distance int, similarity double, start_word long"
+SCHEMA = "item_id long, distance int, similarity double, start_word long"
 
 
-def _report(items: Items, ids, found) -> pd.DataFrame:
-    return pd.DataFrame(
-        [(ids[r], items.rows[k][0], d, 1 - d / len(items.text[k]), p) for r, k, d, p in found],
-        columns=["doc_id", "item_id", "distance", "similarity", "start_word"],
-    ).astype({"item_id": "int64", "distance": "int32", "similarity": "float64", "start_word": "int64"})
+def _report(items: Items, texts: list[str | None]) -> pd.Series:
+    """Of each text an array of what it holds."""
+    out: list[list[dict]] = [[] for _ in texts]
+    for row, k, d, start in items.scan(texts):
+        out[row].append({"item_id": items.rows[k][0], "distance": d, "similarity": 1 - d / len(items.text[k]), "start_word": start})
+    return pd.Series(out, dtype="object")
 
 
 def small(benchmark: DataFrame, items: int = ITEMS, chars: int = CHARS) -> bool:
@@ -258,11 +259,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         return leaks_by_join(docs, benchmark, similarity)
     sent = docs.sparkSession.sparkContext.broadcast(gathered(benchmark, similarity))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _report(sent.value, batch["doc_id"].tolist(), sent.value.scan(batch["text"].tolist()))
+    @F.pandas_udf(f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return _report(sent.value, texts.tolist())
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", F.explode(run("text")).alias("m")).select("doc_id", "m.*")
 
 
 def leaks_by_join(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -278,18 +279,22 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
         return run
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for (item, passage), rows in batch.groupby(["item_id", "item"], sort=False):
-                items = Items([(item, passage)], similarity)
-                yield _report(items, rows["doc_id"].tolist(), items.scan(rows["text"].tolist()))
+    @F.pandas_udf("distance int, similarity double, start_word long")
+    def check(passages: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        known: dict[str, Items] = {}
+        rows = []
+        for p, t in zip(passages, texts, strict=True):
+            found = _report(known.setdefault(p, Items([(0, p)], similarity)), [t])[0]
+            rows.append([found[0][c] for c in ("distance", "similarity", "start_word")] if found else [None] * 3)
+        return pd.DataFrame(rows, columns=["distance", "similarity", "start_word"]).astype({"distance": "Int32", "similarity": "float64", "start_word": "Int64"})
 
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    benchmark = benchmark.where("item_id IS NOT NULL")
     left = texts.mapInPandas(keyed("doc_id"), "doc_id long, key long")
     right = benchmark.select("item_id", "text").mapInPandas(keyed("item_id"), "item_id long, key long")
     pairs = left.join(right, "key").select("doc_id", "item_id").distinct()
     full = pairs.join(benchmark.select("item_id", F.col("text").alias("item")), "item_id").join(texts, "doc_id")
-    return full.select("doc_id", "item_id", "item", "text").mapInPandas(check, SCHEMA)
+    return full.select("doc_id", "item_id", check("item", "text").alias("m")).where("m.distance IS NOT NULL").select("doc_id", "item_id", "m.*")
 
 
 def clean_filter(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

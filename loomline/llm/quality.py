@@ -16,12 +16,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -152,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     return fit(list(rows["text"]), [int(v) for v in rows["y"]])
 
 
-def scorer(spark, model: Model):
-    """A column function: the score of a text. The model, of bounded size, is broadcast once."""
+def scorer(spark: SparkSession, model: Model):
+    """A column function: the score of a text. The model is broadcast once; VOCABULARY bounds its size."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -164,12 +163,6 @@ def scorer(spark, model: Model):
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted. No shuffle. The model is broadcast; VOCABULARY bounds its size."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "score": sent.value.score(list(batch["text"]))})
-
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    """doc_id, held_out, score and predicted. No shuffle."""
+    scored = docs.select("doc_id", scorer(docs.sparkSession, model)("text").alias("score"))
     return scored.select("doc_id", in_fold("doc_id", FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -17,7 +17,6 @@ without any other id has a null component_id); extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -53,12 +52,11 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.fromiter(map(fingerprint, batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "fp": fp.view(np.int64)})
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", fp("text").alias("fp"))
 
 
 def _half(i: int) -> Column:

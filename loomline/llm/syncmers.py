@@ -81,13 +81,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """doc_id, position and hash of each closed syncmer, for positional matching."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                at, h = syncmers(t)
-                yield pd.DataFrame({"doc_id": [i] * len(at), "position": at, "hash": h.view(np.int64)})
+    @F.pandas_udf("array<struct<position:long,hash:long>>")
+    def run(texts: pd.Series) -> pd.Series:
+        found = (syncmers(t) for t in texts)
+        return pd.Series([[{"position": int(p), "hash": int(v)} for p, v in zip(at, h.view(np.int64), strict=True)] for at, h in found], dtype="object")
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, position long, hash long")
+    return docs.select("doc_id", F.explode(run("text")).alias("a")).select("doc_id", "a.*")
 
 
 def next_ids(ids: DataFrame, spark: SparkSession) -> DataFrame:
@@ -103,7 +102,7 @@ def next_ids(ids: DataFrame, spark: SparkSession) -> DataFrame:
     return dealt.join(F.broadcast(turn), "part").select(*ids.columns, F.coalesce(F.lead("doc_id").over(within), "then").alias("next_id"))
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited_fingerprints(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -116,20 +115,20 @@ def edited_fingerprints(docs: DataFrame, spark: SparkSession) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"prior": b["prior"], "head": [t[:n] for t, n in zip(b["text"], b["cut"], strict=True)], "print": [fingerprint(t).tobytes() for t in b["text"]]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, text, head, then in zip(b["doc_id"], b["text"], b["head"], b["print"], strict=True):
-                cut = len(text) // 4
-                edited = text[: len(text) - cut] + (head or "")[:cut]
-                own, new = fingerprint(text), fingerprint(edited)
-                near = likeness(own, np.frombuffer(then, np.uint16)) if then is not None else 0.0
-                sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((doc_id, len(text), sha, own.astype(">u2").tobytes().hex(), new.astype(">u2").tobytes().hex(), likeness(own, new), near))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+    @F.pandas_udf(SCHEMA)
+    def run(texts: pd.Series, heads: pd.Series, prints: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, head, then in zip(texts, heads, prints, strict=True):
+            cut = len(text) // 4
+            edited = text[: len(text) - cut] + (head or "")[:cut]
+            own, new = fingerprint(text), fingerprint(edited)
+            near = likeness(own, np.frombuffer(then, np.uint16)) if then is not None else 0.0
+            sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+            rows.append((len(text), sha, own.astype(">u2").tobytes().hex(), new.astype(">u2").tobytes().hex(), likeness(own, new), near))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     after = texts.join(pairs, texts.doc_id == pairs.next_id).select("prior", "text", "cut").mapInPandas(heads, "prior long, head string, print binary")
     least = after.groupBy("prior").agg(F.min(F.struct("head", "print")).alias("it")).select("prior", "it.head", "it.print")
     whole = texts.join(least, texts.doc_id == least.prior, "left").select("doc_id", "text", "head", "print")
     alone = docs.where("doc_id IS NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("binary").alias("print"))
-    return whole.union(alone).mapInPandas(run, SCHEMA)
+    return whole.union(alone).select("doc_id", run("text", "head", "print").alias("r")).select("doc_id", "r.*")

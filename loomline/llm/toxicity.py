@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -274,11 +273,11 @@ def scorer(model: Model):
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted and hits. No shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, hits int")
+    def run(texts: pd.Series) -> pd.DataFrame:
         a = automaton_of(model)
-        for batch in batches:
-            found = [sums(t, a) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "score": [model.score(f) for f in found], "hits": [f[3] for f in found]})
+        found = [sums(t, a) for t in texts]
+        return pd.DataFrame({"score": [model.score(f) for f in found], "hits": [f[3] for f in found]})
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, hits int")
+    scored = docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
     return scored.select("doc_id", in_fold("doc_id", FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
