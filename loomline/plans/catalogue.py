@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import series_queries, store_queries, text_queries
+from . import more_queries, series_queries, store_queries, text_queries
 
-QUERIES = {**series_queries.QUERIES, **text_queries.QUERIES, **store_queries.QUERIES}
-SQL = {**series_queries.SQL, **text_queries.SQL, **store_queries.SQL}
+PARTS = (series_queries, text_queries, store_queries, more_queries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
 FLAGSHIP = "gauge_by_session"
