@@ -33,7 +33,7 @@ def sitemap_scan(spark: SparkSession, d: str) -> DataFrame:
     return feeds.sitemap(xml, "xml").where("published = TIMESTAMP'2024-01-05'").select(F.col("title").cast("long").alias("page_id"), "url")
 
 
-@query("SELECT user_id, CAST(epoch(ts) AS BIGINT) AS ts, value AS close FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT ORDER BY event_id) AS r FROM events WHERE event_type = 'view') WHERE r = 1")
+@query("SELECT user_id, epoch_us(ts) // 1000000 AS ts, value AS close FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 1000000 ORDER BY event_id) AS r FROM events WHERE event_type = 'view') WHERE r = 1")
 def chart_scan(spark: SparkSession, d: str) -> DataFrame:
     """Series written as chart payloads, one per user and day, and read back."""
     rows = table(spark, d, "events").where("event_type = 'view'").withColumn("s", F.floor(times.micros("ts") / 1_000_000))
