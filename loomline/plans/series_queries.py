@@ -37,7 +37,7 @@ def business_days(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 def cuts(spark: SparkSession) -> DataFrame:
     """(day, cut, start, end): from 17:00 local of the business day before to the cut of the day, in UTC."""
-    hours = spark.createDataFrame([(9,), (17,)], "cut int")
+    hours = spark.sql("SELECT cut FROM VALUES (9), (17) AS c(cut)")
     grid = business_days(spark, "2024-01-03", "2024-01-30").crossJoin(hours)
     at = lambda d, h: times.to_utc(d.cast("timestamp") + F.make_interval(hours=h))
     return grid.select("day", "cut", at(times.previous_business_day(F.col("day")), F.lit(17)).alias("start"), at(F.col("day"), F.col("cut")).alias("end"))
@@ -62,7 +62,7 @@ def gauge_by_session(spark: SparkSession, d: str) -> DataFrame:
     desks = F.explode(F.array_compact(F.array(F.lit("all"), F.col("desk")))).alias("desk")
     hit = joins.in_range(takes(spark, d), cuts(spark), "ts", "start", "end", 86_400)
     counts = hit.select("day", "cut", "take", desks).groupBy("day", "cut", "desk").agg(F.count("*").alias("n_items"), *aggregates.take_counts(F.col("take")))
-    grid = cuts(spark).select("day", "cut").crossJoin(spark.createDataFrame([("all",), ("sm",), ("pp",)], "desk string"))
+    grid = cuts(spark).select("day", "cut").crossJoin(spark.sql("SELECT desk FROM VALUES ('all'), ('sm'), ('pp') AS g(desk)"))
     out = grid.join(counts, ["day", "cut", "desk"], "left").fillna(0)
     scored = F.col("up") + F.col("down") + F.col("neutral")
     return out.withColumn("gauge", aggregates.gauge(F.col("up"), F.col("down"), scored, 20))
