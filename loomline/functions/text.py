@@ -110,3 +110,54 @@ def short_id(c: Column) -> Column:
 def numbers(c: Column) -> Column:
     """Numbers of a text in order, without those inside words."""
     return F.transform(F.regexp_extract_all(F.regexp_replace(c, r"[A-Za-z_]+[0-9]+\w*|[0-9]+[A-Za-z_]\w*", " "), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
+
+
+# Well-formed UTF-8 of more than one byte, each byte read as a Latin-1 character.
+MISREAD = "[Â-ß][\u0080-¿]|à[ -¿][\u0080-¿]|[á-ìîï][\u0080-¿]{2}|í[\u0080-\u009f][\u0080-¿]|ð[\u0090-¿][\u0080-¿]{2}|[ñ-ó][\u0080-¿]{3}|ô[\u0080-\u008f][\u0080-¿]{2}"
+
+
+def repaired(c: Column) -> Column:
+    """UTF-8 that was read as Latin-1, read again; all other characters stay."""
+    runs = F.transform(F.regexp_extract_all(c, F.lit(MISREAD), F.lit(0)), lambda r: F.decode(F.encode(r, "ISO-8859-1"), "UTF-8"))
+    return F.array_join(F.zip_with(F.split(c, MISREAD), runs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+
+
+def kept_clauses(c: Column, causal: list[str], contrast: list[str]) -> Column:
+    """Lower-case clauses between sentence ends and words of contrast, each up to a causal word; empty ones go."""
+    parts = F.split(F.lower(c), rf" (?:{'|'.join(contrast)}) |[.;!?]+\s*")
+    cut = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, rf"(?s)(^| )({'|'.join(causal)})( .*)?$", "")))
+    return F.filter(cut, lambda p: p != "")
+
+
+def without_related(c: Column, label: str) -> Column:
+    """Lines before the first one that is a label of related links; the text as it is if over half of it would go."""
+    lines = F.split(c, "\n")
+    at = F.array_position(F.transform(lines, lambda x: F.trim(x).rlike(label)), True)
+    head = F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), "\n")
+    return F.when((at > 0) & (F.length(head) * 2 >= F.length(c)), head).otherwise(c)
+
+
+def sections(c: Column, least: int = 3, longest_head: int = 60) -> Column:
+    """Heads of the blocks (between blank lines) of two lines or more whose first is short and no sentence; fewer than `least`: none."""
+    blocks = F.transform(F.split(c, r"\n[ \t]*\n"), lambda b: F.split(F.trim(b), "\n"))
+    heads = F.transform(F.filter(blocks, lambda b: (F.size(b) >= 2) & (F.length(F.get(b, 0)) <= longest_head) & ~F.get(b, 0).endswith(".")), lambda b: F.get(b, 0))
+    return F.when(F.size(heads) >= least, heads).otherwise(F.array().cast("array<string>"))
+
+
+def model_json(c: Column, schema: str) -> Column:
+    """The flat JSON object of a model's answer: what follows </think>, the last object in it; null if there is none."""
+    rest = F.substring_index(c, "</think>", -1)
+    return F.from_json(F.element_at(F.nullif(F.regexp_extract_all(rest, F.lit(r"\{[^{}]*\}"), F.lit(0)), F.array().cast("array<string>")), -1), schema)
+
+
+def labelled_row(line: Column) -> Column:
+    """sector, headline, source and take of "SECTOR - headline [source] (take)"; any dash will do. Null for other lines."""
+    form = r"^\s*([^-–—]+?)\s*[-–—]\s*(.+?)\s*\[([^\]]*)\]\s*\(([+=-])\)\s*$"
+    parts = [F.regexp_extract(line, form, i).alias(n) for i, n in enumerate(("sector", "headline", "source", "take"), 1)]
+    return F.when(line.rlike(form), F.struct(*parts))
+
+
+def source_label(domain_: Column, aliases: dict[str, str]) -> Column:
+    """The alias of a domain, else its first label with a capital; a dash for none."""
+    named = F.coalesce(*[F.when(domain_ == k, F.lit(v)) for k, v in aliases.items()], F.initcap(F.substring_index(domain_, ".", 1)))
+    return F.when(F.coalesce(domain_, F.lit("")) == "", "—").otherwise(named)

@@ -112,3 +112,43 @@ def stories(df: DataFrame, keys: list[str], order: str, title: str, stop: list[s
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{order} {kinds[order]}", f"story {kinds[order]}"])
     return rows.groupBy(*keys).applyInPandas(cluster, schema)
+
+
+def summary_reject(summary: Column, source: Column, least: int, most_words: int) -> Column:
+    """The first reason against a summary, or null: empty, short, long, numbers (some that the source lacks)."""
+    invented = F.size(F.array_except(T.numbers(summary), T.numbers(source))) > 0
+    words = F.size(F.split(F.trim(summary), r"\s+"))
+    empty = F.coalesce(F.trim(summary), F.lit("")) == ""
+    return first_reason([("empty", empty), ("short", F.length(summary) < least), ("long", words > most_words), ("numbers", invented)])
+
+
+def subset_of(found: Column, low: list[str], generic: list[str]) -> Column:
+    """Some label is of low value and all are of low value or generic."""
+    return F.arrays_overlap(found, F.array(*map(F.lit, low))) & (F.size(F.array_except(found, F.array(*map(F.lit, low + generic)))) == 0)
+
+
+def takes(
+    df: DataFrame, text: str, excluded: list[tuple[str, Column]], topics: list[tuple[str, str]], sectors: list[tuple[str, list[str]]],
+    rules: list[tuple[str, int, float, Column]], irregular: Column,
+) -> DataFrame:
+    """The take of each row: exclusion ladder, topics, sector, relevance, rules, and an override for irregular rows.
+
+    rules are (name, delta, confidence, condition). Adds reason (null: not excluded), topics, sector, score, rules,
+    confidence (mean over the rules that fired, 0 for none), relevant (some topic and a sector) and take: "+", "-" or "=",
+    null for rows that are excluded or not relevant, "=" for irregular ones.
+    """
+    from loomline.operators.aggregates import first_of_greatest
+
+    sector = first_of_greatest([(n, substring_hits(F.col(text), w)) for n, w in sectors])
+    out = df.withColumns({"reason": first_reason(excluded), "topics": T.tagged(F.col(text), topics), "sector": sector})
+    out = scored(out, [(n, delta, c) for n, delta, _, c in rules]).drop("take")
+    sure = F.array_compact(F.array(*[F.when(c, F.lit(p)) for _, _, p, c in rules]))
+    mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, b: a + b) / F.size(sure)).otherwise(0.0)
+    out = out.withColumns({"confidence": F.round(mean, 4), "relevant": (F.size("topics") > 0) & F.col("sector").isNotNull()})
+    sign = F.when(irregular, "=").when(F.col("score") > 0, "+").when(F.col("score") < 0, "-").otherwise("=")
+    return out.withColumn("take", F.when(F.col("reason").isNull() & F.col("relevant"), sign))
+
+
+def story_score(covered: Column, best: Column, tier: Column, sources: Column) -> Column:
+    """3 for each covered name, the best take (2, 1 or 0), one for a first-tier source, up to two for further sources."""
+    return covered * 3 + best + tier.cast("int") + F.least(F.lit(2), sources - 1)
