@@ -61,3 +61,12 @@ def effective(published: Column, found: Column) -> Column:
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970; a timestamp without zone is taken as UTC (the session's zone)."""
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
+def last_mark(ts: Column, unit: str, minutes: int) -> Column:
+    """The last time at `minutes` after the start of a day or week that has passed."""
+    def mark(at: Column) -> Column:
+        return F.date_trunc(unit, at).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(minutes))
+
+    before = ts - F.expr(f"INTERVAL {1 if unit == 'day' else 7} DAYS")
+    return F.when(ts >= mark(ts), mark(ts)).otherwise(mark(before))

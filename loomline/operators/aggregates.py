@@ -127,3 +127,31 @@ def coverage(df: DataFrame, features: list[str], least: float) -> DataFrame:
     shares = df.agg(*[F.avg(F.col(f).isNotNull().cast("int")).alias(f) for f in features])
     rows = shares.select(F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in features]), F.array(*features))).alias("feature", "share"))
     return rows.select("feature", F.round("share", 6).alias("share"), (F.col("share") >= least).alias("kept"))
+
+
+def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, n and print: a digest of each group's set of rows in any order, as a sum of row digests. It adds up before
+    the shuffle, so groups of any size cost one row per task."""
+    part = F.conv(F.substring(F.sha1(F.concat_ws("|", *columns)), 1, 12), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(part).alias("print"))
+
+
+def sparse_mean(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The mean of two sparse vectors over the union of their keys, a missing side taken as zero: one grouping, no join."""
+    return a.select(*keys, value).unionByName(b.select(*keys, value)).groupBy(*keys).agg((F.sum(value) / 2).alias(value))
+
+
+def concordance(value: Column) -> Column:
+    """How far the signs of a group agree: 0 to 1."""
+    return F.abs(F.avg(F.signum(value)))
+
+
+def drift(rho: Column, n: Column, least: int = 10, low: float = -1.0, high: float = 1.65) -> Column:
+    """"few", "broken", "weak" or "holds", by rho times the root of n."""
+    z = rho * F.sqrt(n)
+    return F.when((n < least) | rho.isNull(), "few").when(z < low, "broken").when(z < high, "weak").otherwise("holds")
+
+
+def score(value: Column, sigma: Column) -> Column:
+    """-100..100: value over two sigmas, cut."""
+    return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value / F.nullif(sigma * 2, F.lit(0)))) * 100, 1)

@@ -104,10 +104,10 @@ def sanitiser_guard(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("lossy", (F.col("raw_chars") >= 200) & (F.col("kept_chars") < F.col("raw_chars") * 0.8))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, split_part(text, ' ', 1) || ' ' || turn AS head FROM conversations) SELECT conv_id, array_to_string(CASE WHEN count(*) >= 3 THEN list(head ORDER BY turn) ELSE [] END, '|') AS heads FROM c GROUP BY conv_id""")
+@query("""WITH c AS (SELECT conv_id, turn, split_part(replace(text, chr(10), ' '), ' ', 1) || ' ' || turn AS head FROM conversations) SELECT conv_id, array_to_string(CASE WHEN count(*) >= 3 THEN list(head ORDER BY turn) ELSE [] END, '|') AS heads FROM c GROUP BY conv_id""")
 def section_heads(spark: SparkSession, d: str) -> DataFrame:
     """Messages written as one text of headed blocks, and the heads found in it."""
-    head = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), "turn")
+    head = F.concat_ws(" ", F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(1)), "turn")
     block = F.concat(head, F.lit("\nThis is the body."))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x.b), "\n\n")
     return table(spark, d, "conversations").groupBy("conv_id").agg(joined.alias("t")).select("conv_id", F.array_join(text.sections(F.col("t")), "|").alias("heads"))
