@@ -3,14 +3,15 @@
 import datetime
 import decimal
 import os
+import random
 import sqlite3
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.functions import numbers, text, times
-from loomline.operators import aggregates, classify, joins, series, stores
+from loomline.functions import conditions, numbers, text, times
+from loomline.operators import aggregates, budgets, classify, joins, series, stores
 from loomline.plans import catalogue
 from loomline.sources import feeds
 
@@ -98,6 +99,62 @@ def test_unique_and_banned(spark):
     assert stores.banned(nested, {"secret"}) == ["$.list[].secret"]
 
 
+def greedy(rows, least):
+    """Stories by one pass in order of arrival."""
+    out, begun = {}, []
+    for k, i, found in sorted(rows, key=lambda r: r[1]):
+        hit = next((s for g, s, other in begun if g == k and found and len(found & other) >= least * len(found | other)), None)
+        if hit is None:
+            begun.append((k, i, found))
+        out[i] = i if hit is None else hit
+    return out
+
+
+def test_stories_against_one_pass(spark):
+    rng = random.Random(5)
+    words = ["iron", "ore", "price", "rise", "fall", "mine", "ship", "port", "strike", "china"]
+    given = [(rng.choice("ab"), i, " ".join(rng.sample(words, rng.randint(1, 5)))) for i in range(300)]
+    given += [("a", 300, ""), ("a", 301, None), ("a", 302, ""), (None, 303, "iron ore"), (None, 304, "ore iron")]
+    rows = spark.createDataFrame(given, "k string, i long, title string")
+    got = {r.i: r.story for r in classify.stories(rows, ["k"], "i", "title", ["the"]).collect()}
+    assert got == greedy([(k, i, set((t or "").split())) for k, i, t in given], 0.45)
+
+
+def test_stories_of_nothing(spark):
+    assert classify.stories(spark.createDataFrame([], "k string, i long, title string"), ["k"], "i", "title", []).count() == 0
+
+
+def test_token_bucket_steps(spark):
+    rng = random.Random(7)
+    times_ = sorted(rng.randrange(10_000) for _ in range(200))
+    given = [("a", n, t, float(rng.randrange(60))) for n, t in enumerate(times_)]
+    rows = spark.createDataFrame(given, "k string, n int, s long, cost double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = {r.n: round(r.available, 6) for r in budgets.token_bucket(rows, "k", ["n"], "ts", "cost", 100.0, 0.5).collect()}
+    left, before, want = 100.0, times_[0], {}
+    for _, n, t, cost in given:
+        left = min(100.0, left + (t - before) * 0.5)
+        want[n], before = round(left, 6), t
+        left -= cost
+    assert got == want
+
+
+def test_repaired_text(spark):
+    for whole in ("Ação ñandú – 10 € 🙂 fim", "plain", "", "Ã sozinho"):
+        assert one(spark, text.repaired(F.decode(F.encode(F.lit(whole), "UTF-8"), "ISO-8859-1"))) == whole
+    assert one(spark, text.repaired(F.lit("já certo"))) == "já certo" and one(spark, text.repaired(F.lit(None).cast("string"))) is None
+
+
+def test_unknown_condition():
+    with pytest.raises(ValueError, match="unknown condition"):
+        conditions.condition("x", "near", 1)
+
+
+def test_conditions_and_nulls(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5)], "k int, v int")
+    assert [r.k for r in rows.where(conditions.condition("", "not", ("v", "gt", 9))).collect()] == [2]
+    assert [r.k for r in rows.orderBy(conditions.order("v", descending=True)).collect()] == [2, 1]
+
+
 def test_run_length_gaps(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 3, 3.0), ("a", 9, 9.0)], "k string, m int, v double")
     got = sorted((r.start, r["values"]) for r in series.run_length(rows, "k", "m", "v", 3).collect())
