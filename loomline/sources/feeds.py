@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loomline.functions.text import snippet, without_tags
+
 SITEMAP = "loc STRING, title STRING, publication_date STRING, lastmod STRING"
 CHART = "timestamp ARRAY<BIGINT>, close ARRAY<DOUBLE>, volume ARRAY<BIGINT>"
 
@@ -30,6 +36,62 @@ def chart(df: DataFrame, key: str, payload: str) -> DataFrame:
     return got.select(key, F.inline(F.arrays_zip("c.timestamp", "c.close", "c.volume"))).where("close IS NOT NULL").select(key, F.col("timestamp").alias("ts"), "close", "volume")
 
 
+RSS = "title STRING, link STRING, description STRING, pubDate STRING"
+
+
+def rss(df: DataFrame, source: str, xml: str, cut: Column, most: int = 50) -> DataFrame:
+    """source, title, url, snippet and published of <item> elements, one a row. Items published before the cut go, those
+    without a date stay; then each source keeps its first `most`, the newest first, undated ones last."""
+    got = df.select(source, F.from_xml(F.col(xml), RSS).alias("i")).where("i.link IS NOT NULL")
+    published = F.coalesce(F.col("i.pubDate").try_cast("timestamp"), F.try_to_timestamp(F.regexp_replace("i.pubDate", r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")))
+    rows = got.select(source, F.trim(without_tags(F.col("i.title"))).alias("title"), F.col("i.link").alias("url"), snippet(F.col("i.description"), 400).alias("snippet"), published.alias("published"))
+    w = Window.partitionBy(source).orderBy(F.desc_nulls_last("published"), "url")
+    return rows.where(F.col("published").isNull() | (F.col("published") >= cut)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+
+
+def delimited(df: DataFrame, key: str, line: str, layout: dict[str, int], separator: str = ",", slack: float = 0.02) -> DataFrame:
+    """key and the numbers named in layout (name: field, from 0) of delimited lines. With price, low and high among them,
+    a price outside the day's range by more than the slack tells of fields that moved: its row goes."""
+    fields = F.split(line, re.escape(separator))
+    rows = df.select(key, *[F.get(fields, at).try_cast("double").alias(name) for name, at in layout.items()]).where("price IS NOT NULL")
+    return rows.where((F.col("price") >= F.col("low") * (1 - slack)) & (F.col("price") <= F.col("high") * (1 + slack)))
+
+
+def unpacked(c: Column, secret: bytes) -> Column:
+    """The text in base64 of a deflated payload whose bytes a repeated secret masks; null if it cannot be read."""
+
+    @F.pandas_udf("string")
+    def read(column: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> str | None:
+            if not data:
+                return None
+            masked = np.frombuffer(data, np.uint8)
+            try:
+                return zlib.decompress((masked ^ np.resize(np.frombuffer(secret, np.uint8), len(masked))).tobytes()).decode()
+            except (zlib.error, UnicodeDecodeError):
+                return None
+
+        return column.map(one)
+
+    return read(F.try_to_binary(c, F.lit("base64")))
+
+
+def packed(c: Column, secret: bytes) -> Column:
+    """What `unpacked` reads. Equal texts give equal payloads."""
+
+    @F.pandas_udf("binary")
+    def write(column: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bytes | None:
+            if text is None:
+                return None
+            data = np.frombuffer(zlib.compress(text.encode(), 6), np.uint8)
+            return (data ^ np.resize(np.frombuffer(secret, np.uint8), len(data))).tobytes()
+
+        return column.map(one)
+
+    return F.base64(write(c))
+
+
 def listing(df: DataFrame, key: str, html: str, most: int = 150, shortest: int = 3) -> DataFrame:
     """key, place, href and title of links. The first `most` anchors are taken before any is left out; then titles
     shorter than `shortest` go, and of equal addresses the first stays."""

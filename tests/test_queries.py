@@ -189,3 +189,19 @@ def test_entry_without_llm(monkeypatch, spark):
 def test_masks(spark):
     assert one(spark, text.masked(F.lit("mail a.b@c.example.org or +55 11 98765-4321 now"))) == "mail [email] or [phone] now"
     assert one(spark, text.url_reject(F.lit("https://u:p@x.org/"), [])) == "credential"
+
+
+def test_rss_dates_caps_and_junk(spark):
+    item = lambda n, date: f"<item><title>T{n} &lt;b&gt;x&lt;/b&gt;</title><link>u{n}</link><description>{'word ' * 200}</description>{date}</item>"
+    dates = ["<pubDate>Mon, 8 Jan 2024 10:00:00 +0300</pubDate>", "<pubDate>2024-01-09T00:00:00Z</pubDate>", "<pubDate>soon</pubDate>", "", "<pubDate>2020-01-01</pubDate>"]
+    rows = spark.createDataFrame([("a", item(n, d)) for n, d in enumerate(dates)] + [("a", "<item></item>"), ("a", None)], "s string, x string")
+    got = feeds.rss(rows, "s", "x", F.lit("2024-01-01").cast("timestamp"), 3).orderBy(F.desc_nulls_last("published"), "url").collect()
+    assert [r.url for r in got] == ["u1", "u0", "u2"] and got[0].title == "T1 x" and len(got[0].snippet) <= 400
+    assert got[1].published == datetime.datetime(2024, 1, 8, 7)
+
+
+def test_payloads(spark):
+    rows = spark.createDataFrame([("täxt",), ("",), (None,)], "t string")
+    back = [r.b for r in rows.select(feeds.unpacked(feeds.packed(F.col("t"), b"key"), b"key").alias("b")).collect()]
+    assert back == ["täxt", "", None]
+    assert one(spark, feeds.unpacked(F.lit("AAAA"), b"key")) is None and one(spark, feeds.unpacked(F.lit("not base64!"), b"key")) is None
