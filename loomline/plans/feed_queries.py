@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline import streaming
 from loomline.operators import joins
 from loomline.sources import feeds, table
 
@@ -104,3 +105,20 @@ def preferred_order(spark: SparkSession, d: str) -> DataFrame:
     rest = F.when(F.col("lang").isin("en", "es"), "").otherwise(F.col("lang"))
     w = Window.partitionBy("source").orderBy(rank, rest, F.desc_nulls_last("n_chars"), "doc_id")
     return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).alias("place"))
+
+
+@query("SELECT user_id, event_type, least(count(*), 8) AS passed, count(*) AS seen FROM events GROUP BY ALL")
+def stream_limited(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that lets eight events of each user and type pass and counts the rest: two numbers of state a key."""
+    rows = streaming.events(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    return streaming.drained(streaming.limited(rows.select("user_id", "event_type"), ["user_id", "event_type"], 8), spark, ["user_id", "event_type"], "seen")
+
+
+@query("""WITH l AS (SELECT doc_id, source, length(text) AS n FROM documents), t AS (SELECT source, sum(n) AS total FROM l GROUP BY 1),
+c AS (SELECT source, CASE WHEN total <= 20000 THEN 1.0::DOUBLE ELSE 20000 / total END AS f FROM t) SELECT doc_id, CAST(CASE WHEN f = 1 THEN n ELSE least(n, greatest(300, floor(n * f))) END AS BIGINT) AS chars FROM l JOIN c USING (source)""")
+def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each text goes into a prompt of 20,000 characters per source: all are cut in proportion, none below 300."""
+    n, total = F.length("text"), F.sum(F.length("text")).over(Window.partitionBy("source"))
+    rows = table(spark, d, "documents").select("doc_id", n.alias("n"), total.alias("total"))
+    cut = F.least(F.col("n"), F.greatest(F.lit(300), F.floor(F.col("n") * (F.lit(20000) / F.col("total")))))
+    return rows.select("doc_id", F.when(F.col("total") <= 20000, F.col("n")).otherwise(cut).cast("long").alias("chars"))
