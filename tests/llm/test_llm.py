@@ -294,7 +294,7 @@ def test_html():
         '<body><header class="site-header"><h1>Site</h1></header><div id="cookieNotice">We use cookies</div><main><h2>T&eacute;st &#8212; a</h2><p>One <b>two</b><br>three &lt;x&gt; 5 < 6<p>Second'
         "<ul><li>a<li>b</ul><pre>  code\n here</pre><form><input>search</form><script>var t='</p>'</script><section class=comments><article>bad</article></section></main><aside>side</aside><footer>f</footer></body>"
     )
-    assert html_template.main_text(page) == "Tést — a\nOne two three <x> 5 < 6\nSecond\na\nb\ncode here"
+    assert html_template.main_text(page) == "Tést — a\n\nOne two three <x> 5 < 6\n\nSecond\n\na\n\nb\n\ncode here"
     assert html_template.main_text(None) == html_template.main_text("") == ""
     assert html_template.main_text("<p>open <b>end") == "open end"
 
@@ -305,7 +305,7 @@ def test_html_templates(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
     sent, joined = (sorted(map(tuple, html_template.extract(pages, most).collect()), key=repr) for most in (1000, -1))
     assert sent == joined and len(sent) == len(rows)
-    assert (3, "https://x.org/3", "Head 3\nStory 3 is told", 22) in sent
+    assert (3, "https://x.org/3", "Head 3\n\nStory 3 is told", 23) in sent
     assert (10, None, "", 0) in sent and (None, "https://y.org/1", "one", 3) in sent
     assert html_template.extract(pages.limit(0)).collect() == []
 
