@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import conditions, numbers, text, times
-from loomline.operators import aggregates, budgets, classify, joins, series, stores
+from loomline.operators import aggregates, budgets, classify, joins, series, stores, views
 from loomline.plans import catalogue
 from loomline.sources import feeds
 
@@ -205,3 +205,22 @@ def test_payloads(spark):
     back = [r.b for r in rows.select(feeds.unpacked(feeds.packed(F.col("t"), b"key"), b"key").alias("b")).collect()]
     assert back == ["täxt", "", None]
     assert one(spark, feeds.unpacked(F.lit("AAAA"), b"key")) is None and one(spark, feeds.unpacked(F.lit("not base64!"), b"key")) is None
+
+
+def test_view_operators(spark):
+    old = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, 7, "c"), (4, None, "d")], "k int, at int, v string")
+    new = spark.createDataFrame([(1, 5, "A"), (2, 1, "B"), (3, None, "C"), (5, None, None)], "k int, at int, v string")
+    got = {r.k: (r.at, r.v, r.src) for r in views.newest_stamp(old, new, ["k"], "at").collect()}
+    assert got == {1: (5, "A", 1), 2: (1, "B", 1), 3: (7, "c", 0), 4: (None, "d", 0), 5: (None, None, 1)}
+    probes = views.refreshed(views.probe(old.where("k < 4"), ["k"], "at"), views.probe(old.union(new.where("k = 2")), ["k"], "at"), ["k"])
+    assert {r.k: r.decision for r in probes.collect()} == {1: "keep", 2: "reread", 3: "keep", 4: "new"}
+    rows = spark.createDataFrame([(1, 10, 3), (1, 11, 1), (1, 12, 3), (2, 1, 0)], "k int, n int, b int")
+    assert [r.late for r in views.routed(rows, "k", "n", F.col("b")).orderBy("k", "n").collect()] == [False, True, False, False]
+    assert views.newest_stamp(old.limit(0), new.limit(0), ["k"], "at").collect() == []
+
+
+def test_content_hash(spark):
+    a = spark.range(1).select(F.struct(F.lit(1).alias("x"), F.lit("t").alias("stamp")).alias("s"), F.array(F.struct(F.lit(2).alias("y"), F.lit("u").alias("stamp"))).alias("l"), F.lit("w").alias("stamp"))
+    b = spark.range(1).select(F.array(F.struct(F.lit("zz").alias("stamp"), F.lit(2).alias("y"))).alias("l"), F.struct(F.lit(1).alias("x")).alias("s"))
+    digest = lambda df: df.select(views.content_hash(df, {"stamp"}).alias("h")).first().h
+    assert digest(a) == digest(b) != digest(b.select("l"))
