@@ -42,6 +42,10 @@ def renumbered(df: DataFrame, group: str, marked: Column, order: list[Column], m
     return df.withColumn("pin", F.when(marked & (place <= most), place))
 
 
+def _picked(names: list[str]):
+    return lambda x: F.struct(*[x[n].alias(n) for n in names])
+
+
 def canonical(schema: StructType, ignored: set[str], at: str = "") -> list[Column]:
     """Columns by name, of structs too, without the ignored ones at any level."""
     out = []
@@ -50,8 +54,7 @@ def canonical(schema: StructType, ignored: set[str], at: str = "") -> list[Colum
         if isinstance(f.dataType, StructType):
             out.append(F.struct(*canonical(f.dataType, ignored, here + ".")).alias(f.name))
         elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
-            names = sorted(n for n in f.dataType.elementType.names if n not in ignored)
-            out.append(F.transform(F.col(here), lambda x, names=names: F.struct(*[x[n].alias(n) for n in names])).alias(f.name))
+            out.append(F.transform(here, _picked(sorted(set(f.dataType.elementType.names) - ignored))).alias(f.name))
         else:
             out.append(F.col(here).alias(f.name))
     return out
