@@ -214,13 +214,13 @@ def body_precedence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", origin.alias("origin"), F.length(F.coalesce("pasted", "cached", "text")).cast("long").alias("n"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN round(s_acctbal / 1000, 4) WHEN s_nationkey < 10 THEN round(s_acctbal / 500, 4) WHEN s_nationkey < 15 THEN round(s_acctbal / nullif(round((s_nationkey + s_suppkey) / 5.0), 0), 4) END AS ratio FROM supplier""")
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN s_acctbal / 1000 WHEN s_nationkey < 10 THEN s_acctbal / 500 WHEN s_nationkey < 15 THEN s_acctbal / nullif(round((s_nationkey + s_suppkey) / 5.0), 0) END AS ratio FROM supplier""")
 def class_float(spark: SparkSession, d: str) -> DataFrame:
     """A ratio whose denominator depends on the class; no class, no ratio."""
     n, bal = F.col("s_nationkey"), F.col("s_acctbal")
     unit = F.round((n + F.col("s_suppkey")) / F.lit(5.0))
     base = F.when(n < 5, F.lit(1000.0)).when(n < 10, F.lit(500.0)).when((n < 15) & (unit != 0), unit)
-    return table(spark, d, "supplier").select("s_suppkey", F.round(bal / base, 4).alias("ratio"))
+    return table(spark, d, "supplier").select("s_suppkey", (bal / base).alias("ratio"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-greatest(-30, least(30, -2 + 0.04 * value)))), 6) AS confidence FROM events")
