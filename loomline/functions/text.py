@@ -161,3 +161,17 @@ def source_label(domain_: Column, aliases: dict[str, str]) -> Column:
     """The alias of a domain, else its first label with a capital; a dash for none."""
     named = F.coalesce(*[F.when(domain_ == k, F.lit(v)) for k, v in aliases.items()], F.initcap(F.substring_index(domain_, ".", 1)))
     return F.when(F.coalesce(domain_, F.lit("")) == "", "—").otherwise(named)
+
+
+def free_text(c: Column, blocked: list[str]) -> Column:
+    """Contacts masked outside urls; urls that url_reject lets pass stay as they are, others become [link]."""
+    url = r"https?://[^\s<>\"]+"
+    urls = F.regexp_extract_all(c, F.lit(url), F.lit(0))
+    checked = lambda u: F.when(u.isNull(), "").when(url_reject(u, blocked).isNull(), u).otherwise("[link]")
+    return F.array_join(F.transform(F.split(c, url), lambda part, i: F.concat(masked(part), checked(F.get(urls, i)))), "")
+
+
+def resolved(raw: Column, declared: Column) -> Column:
+    """Bytes as text: by the declared charset if it is Latin-1, else as UTF-8 where they are valid, else as Latin-1."""
+    latin = F.decode(raw, "ISO-8859-1")
+    return F.when(F.lower(declared).isin("iso-8859-1", "latin-1"), latin).otherwise(F.coalesce(F.try_validate_utf8(raw.cast("string")), latin))

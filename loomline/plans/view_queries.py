@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.operators import series, views
+from loomline.functions import text
+from loomline.operators import aggregates, series, views
 from loomline.sources import table
 
 QUERIES: dict = {}
@@ -310,3 +311,64 @@ def known_keys(spark: SparkSession, d: str) -> DataFrame:
     """Maps reduced to the keys of a list."""
     given = F.map_concat(F.from_json(F.coalesce("props", F.lit("{}")), "map<string, string>"), F.create_map(F.lit("other"), F.col("event_type")))
     return table(spark, d, "events").select("event_id", F.to_json(F.map_filter(given, lambda k, v: k.isin("k", "until", "count"))).alias("kept"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderdate + INTERVAL 15 HOUR AS ts FROM orders), l AS (SELECT *, date_trunc('day', ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AT TIME ZONE 'America/New_York' AS start FROM t)
+SELECT o_orderkey, CAST((epoch(start) - epoch(date_trunc('day', ts))) / 60 AS BIGINT) AS minutes FROM l""")
+def local_midnight(spark: SparkSession, d: str) -> DataFrame:
+    """Where a local day begins, in minutes of the UTC day; the zone has summer time."""
+    zone = "America/New_York"
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 15 HOURS")).cast("timestamp").alias("ts"))
+    start = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp("ts", zone)), zone)
+    return rows.select("o_orderkey", ((F.unix_timestamp(start) - F.unix_timestamp(F.date_trunc("day", "ts"))) / 60).cast("long").alias("minutes"))
+
+
+@query("""SELECT page_id, 'Write to [email] or [phone], see ' || CASE WHEN regexp_matches(url, '(?i)[?&](token|sig|signature|key|apikey|password|secret)=') THEN '[link]' ELSE url END || ' and [link]' AS cleaned FROM pages WHERE regexp_full_match(url, 'https?://[^\\s<>"\\\\@]+') AND length(url) <= 1900""")
+def free_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with contacts masked and links checked."""
+    rows = table(spark, d, "pages").where(F.col("url").rlike(r"^https?://[^\s<>\"\\@]+$") & (F.length("url") <= 1900))
+    given = F.concat(F.lit("Write to ed"), F.col("page_id").cast("string"), F.lit("@mail.example.com or +1 555 1234 5678, see "), F.col("url"), F.lit(" and http://localhost/"), F.col("page_id").cast("string"))
+    return rows.select("page_id", text.free_text(given, []).alias("cleaned"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def charset_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as bytes of either charset, read back: German ones are sent as Latin-1 where it has all their letters."""
+    single = (F.col("lang") == "de") & F.col("text").rlike(r"^[\x00-\xFF]*$")
+    raw = F.when(single, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.resolved(raw, F.lit(None).cast("string")), 256).alias("digest"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) AS l, lower(coalesce(text, '')) AS t FROM documents), s AS (SELECT doc_id, len(list_intersect(l, ['the', 'of', 'and'])) + CAST(contains(t, 'tion') AS INTEGER) AS a, len(list_intersect(l, ['der', 'das', 'von'])) + CAST(contains(t, 'lich') AS INTEGER) AS b, len(list_intersect(l, ['la', 'el', 'de'])) + CAST(contains(t, 'ado') AS INTEGER) AS c FROM w)
+SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN NULL WHEN a >= b AND a >= c THEN 'english' WHEN b >= c THEN 'german' ELSE 'spanish' END AS sector FROM s""")
+def keyword_sectors(spark: SparkSession, d: str) -> DataFrame:
+    """The sector with most hits of its words and parts of words; the first of equals."""
+    t = F.lower(F.coalesce("text", F.lit("")))
+    rows = table(spark, d, "documents").select("doc_id", F.split(t, "[^a-z]+").alias("l"), t.alias("t"))
+    hits = lambda words, part: F.size(F.array_intersect("l", F.array(*[F.lit(w) for w in words]))) + F.contains("t", F.lit(part)).cast("int")
+    rows = rows.select("doc_id", hits(["the", "of", "and"], "tion").alias("a"), hits(["der", "das", "von"], "lich").alias("b"), hits(["la", "el", "de"], "ado").alias("c"))
+    return rows.select("doc_id", aggregates.first_of_greatest([("english", F.col("a")), ("german", F.col("b")), ("spanish", F.col("c"))]).alias("sector"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, year(l_shipdate) AS y, l_quantity FROM lineitem WHERE l_returnflag <> 'A'), m AS (SELECT *, bool_or(y = 1996) OVER (PARTITION BY l_orderkey) AS any_ FROM s)
+SELECT l_orderkey, count(*) AS sheets, sum(l_quantity) AS quantity FROM m WHERE y = 1996 OR NOT any_ GROUP BY 1""")
+def sheet_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Sheets that are drawn, cut to a year only where any of them has it."""
+    drawn = table(spark, d, "lineitem").where("l_returnflag <> 'A'").groupBy("l_orderkey", (F.year("l_shipdate") == 1996).alias("cut")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    value = lambda c: F.coalesce(F.max(F.when(F.col("cut"), F.col(c))), F.sum(c))  # noqa: E731 - one row of the year, if any
+    return drawn.groupBy("l_orderkey").agg(value("n").alias("sheets"), value("q").alias("quantity"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_type, p_partkey, sum(p_retailprice) OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey ROWS UNBOUNDED PRECEDING) AS spent FROM part) SELECT p_partkey, spent <= 3000 AS runs FROM r""")
+def work_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs by cadence and place, run until the deadline of their queue."""
+    spent = F.sum("p_retailprice").over(Window.partitionBy("p_brand", "p_type").orderBy("p_size", "p_partkey").rowsBetween(Window.unboundedPreceding, 0))
+    return table(spark, d, "part").select("p_partkey", (spent <= 3000).alias("runs"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), q AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity >= 49) SELECT p_partkey, r.k IS NOT NULL AS returned, q.k IS NOT NULL AS bulk FROM part LEFT JOIN r ON p_partkey = r.k LEFT JOIN q ON p_partkey = q.k WHERE r.k IS NULL OR q.k IS NULL""")
+def symmetric_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of the registry that one side or both lack, from one pass over the items."""
+    flags = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("returned"), F.bool_or(F.col("l_quantity") >= 49).alias("bulk"))
+    rows = table(spark, d, "part").select("p_partkey").join(flags, "p_partkey", "left").fillna(False, ["returned", "bulk"])
+    return rows.where("NOT (returned AND bulk)")

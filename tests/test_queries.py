@@ -224,3 +224,16 @@ def test_content_hash(spark):
     b = spark.range(1).select(F.array(F.struct(F.lit("zz").alias("stamp"), F.lit(2).alias("y"))).alias("l"), F.struct(F.lit(1).alias("x")).alias("s"))
     digest = lambda df: df.select(views.content_hash(df, {"stamp"}).alias("h")).first().h
     assert digest(a) == digest(b) != digest(b.select("l"))
+
+
+def test_free_text(spark):
+    given = "mail a.b@x.org https://ok.org/a@b?x=1 and http://u:p@h.org/ or http://10.1.2.3/ https://end.org"
+    assert one(spark, text.free_text(F.lit(given), [])) == "mail [email] https://ok.org/a@b?x=1 and [link] or [link] https://end.org"
+    assert one(spark, text.free_text(F.lit(""), [])) == "" and one(spark, text.free_text(F.lit(None).cast("string"), [])) is None
+
+
+def test_charsets(spark):
+    raw = F.lit("né".encode("latin-1"))
+    assert one(spark, text.resolved(raw, F.lit(None).cast("string"))) == "né"
+    assert one(spark, text.resolved(F.lit("né".encode()), F.lit("utf-8"))) == "né"
+    assert one(spark, text.resolved(F.lit("né".encode()), F.lit("ISO-8859-1"))) == "nÃ©"
