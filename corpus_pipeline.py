@@ -2,7 +2,8 @@
 
 1. toxicity: documents that score as toxic go.
 2. quality: documents that score as poor go.
-3. simhash: of each component of near-duplicates the document with the smallest id stays.
+3. near copies: of texts linked by a Jaccard similarity of 0.8 over five-word shingles (candidates by SimHash and
+   MinHash, checked exactly) the document with the smallest id stays.
 4. decontamination: documents that hold a benchmark item go.
 5. bpe: the last stage; token counts and digests of each document left.
 
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, decontaminate, quality, queries, simhash, toxicity
+from loomline.llm import bpe, decontaminate, near_copies, quality, queries, toxicity
 from loomline.llm.common import shared_dir, table
 
 #: SQL has none of the models, automata and walks of these stages; tests hold run() against a brute-force version.
@@ -34,7 +35,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, spark)
+    return near_copies.keep_one(docs, spark)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,14 @@ SEED = 42
 BLOCK = 1 << 15
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), BLOCK):
+        ones += np.unpackbits(h[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words_each: int = 3) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
@@ -43,10 +51,7 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(words_each)), strict=False)))
     h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), BLOCK):
-        ones += np.unpackbits(h[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
