@@ -1,11 +1,9 @@
-"""Main text of pages by template deduction from equivalence classes (operator 10).
+"""Main text of pages by the constants of their host's template (operator 10).
 
-Pages of a host come from a template. Tokens are element paths (tags with class and id) and text blocks at their path.
-The occurrence vector of a token says how often each page of the host has it; tokens with the same vector make an
-equivalence class. Vectors are not built: a class is known by its number of pages and by a sum over pages of hashes of
-(page, count), which adds up map-side, so that no host's pages meet in one task. A text class is valid if at least
-three pages and half of the host's have it, and if it nests in a class of paths that covers its pages. Valid text
-classes are the template's constants; every other text block is a slot.
+Pages of a host come from a template. Tokens are text blocks at their element path (tags with class and id). A text
+token that at least three different pages and half of the host's different pages have is a constant; every other text
+block is a slot. Pages with the same text outside menus, notices and the like are copies and count as one. This is a
+rule of frequency: equivalence classes of tokens, their order and nesting are not built (see the README).
 
 From a page's slots the article is read: of an <article> or <main> element if the page has one that is not a
 comment, else of all slots outside menus, headers, footers, sidebars, notices, adverts, forms and comments, which
@@ -157,15 +155,14 @@ def token(path: str, text: str = "") -> int:
     return signed(xxh64_intdigest(f"{path}\x00{text}".encode("utf-8", "surrogatepass")))
 
 
-def tokens(found: list[tuple[str, bool, int, str]]) -> dict[tuple[int, int], int]:
-    """(token, token of its path) to the times a page has it. Text inside articles is no token."""
-    out: Counter = Counter()
-    for path, _, article, text in found:
-        place = token(path)
-        out[place, place] += 1
-        if not article:
-            out[token(path, text), place] += 1
-    return out
+def tokens(found: list[tuple[str, bool, int, str]]) -> list[int]:
+    """The text tokens of a page, each once. Text inside articles is no token."""
+    return sorted({token(path, text) for path, _, article, text in found if not article})
+
+
+def content(found: list[tuple[str, bool, int, str]]) -> int:
+    """A digest of a page's text outside menus, notices and the like: equal for copies, whatever surrounds them."""
+    return signed(xxh64_intdigest("\x01".join(f"{path}\x00{text}" for path, kept, _, text in found if kept).encode("utf-8", "surrogatepass")))
 
 
 def host(url: str):
@@ -173,29 +170,21 @@ def host(url: str):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and constants, the text tokens of its valid classes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for h, text in zip(b["host"], b["html"], strict=True):
-                page = xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-                rows.append((h, 0, 0, 1, 0))
-                rows += [(h, t, p, 1, signed(xxh64_intdigest(f"{page}:{n}")) >> 16) for (t, p), n in tokens(blocks(text)).items()]
-            out = pd.DataFrame(rows, columns=["host", "token", "path", "pages", "vector"])
-            yield out.groupby(["host", "token", "path"], as_index=False).sum()
-
-    sums = pages.select(host("url").alias("host"), "html").mapInPandas(run, "host string, token long, path long, pages long, vector long")
-    # Sums of 48-bit hashes: they fit a long for 65,536 pages of a batch, and beyond that wrap alike on either side.
-    all_ = sums.groupBy("host", "token", "path").agg(F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"))
-    all_, _ = stash(all_, pages.sparkSession)  # read three times below; pages are parsed once
-    total = all_.where("token = 0").select(F.col("host").alias("h"), F.col("pages").alias("total"))
-    paths = all_.where("token = path AND token <> 0").select(F.col("host").alias("ph"), F.col("token").alias("place"), F.col("pages").alias("covers"))
-    frequent = all_.where("token <> path").join(total, F.col("host") == F.col("h")).where((F.col("pages") >= PAGES) & (F.col("pages") >= SHARE * F.col("total")))
-    # A class: the text tokens of a host with the same vector. It nests if paths of all its tokens cover its pages.
-    nested = frequent.join(paths, (F.col("host") == F.col("ph")) & (F.col("path") == F.col("place")))
-    valid = nested.groupBy("host", "pages", "vector").agg(F.collect_set("token").alias("members"), F.min("covers").alias("least")).where("least >= pages")
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("constants"))
+    """host and constants: text tokens of at least PAGES different pages and SHARE of the host's different pages."""
+
+    @F.pandas_udf("content long, tokens array<long>")
+    def run(htmls: pd.Series) -> pd.DataFrame:
+        found = [blocks(h) for h in htmls]
+        return pd.DataFrame({"content": [content(f) for f in found], "tokens": [tokens(f) for f in found]})
+
+    parsed = pages.select(host("url").alias("host"), run("html").alias("r")).select("host", "r.*")
+    # Copies count once: a token counts where any page of that content has it, as the parts around copies may differ.
+    each = parsed.select("host", "content", F.explode_outer("tokens").alias("token")).distinct()
+    each, _ = stash(each, pages.sparkSession)  # read twice below; pages are parsed once
+    total = each.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    counted = each.where("token IS NOT NULL").groupBy("host", "token").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
+    frequent = counted.join(total, "host").where(F.col("pages") >= SHARE * F.col("total"))
+    return frequent.groupBy("host").agg(F.collect_list("token").alias("constants"))
 
 
 def main_text(html: str | None, constants: set[int] | frozenset[int] = frozenset()) -> str:
