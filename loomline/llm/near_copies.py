@@ -71,20 +71,31 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), class, SimHash, band keys and shingles of each row."""
+    """doc_id, th (hash of the text), class, SimHash and band keys of each row."""
 
-    @F.pandas_udf("class long, fp long, keys array<long>, shingles array<long>")
+    @F.pandas_udf("class long, fp long, keys array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             h = shingles(t)
             ids = np.array([xxh64_intdigest(h.tobytes()), majority(h)], np.uint64).view(np.int64)
-            rows.append((*ids, band_keys(h).view(np.int64), h.view(np.int64)))
-        return pd.DataFrame(rows, columns=["class", "fp", "keys", "shingles"])
+            rows.append((*ids, band_keys(h).view(np.int64)))
+        return pd.DataFrame(rows, columns=["class", "fp", "keys"])
 
     return docs.select("doc_id", text_hash().alias("th"), sketch("text").alias("s")).select("doc_id", "th", "s.*")
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class and shingles of wanted (class, th)."""
+
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).view(np.int64) for t in texts], dtype="object")
+
+    texts = docs.select(text_hash().alias("th"), "text").join(wanted, "th").dropDuplicates(["class"])
+    return texts.select("class", sets("text").alias("shingles"))
+
+
 def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -113,7 +124,7 @@ def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
     stars = ordered(alike.union(crowded.selectExpr("class", "low")).union(crowded.selectExpr("class", "high")))
     stars, _ = stash(stars.distinct(), spark)
     wanted = crowded.select("class").union(stars.select("a")).union(stars.select("b")).distinct()
-    sets, _ = stash(rows.select("class", "shingles").join(wanted, "class", "left_semi").dropDuplicates(["class"]), spark)
+    sets, _ = stash(shingle_sets(docs, first.join(wanted, "class")), spark)
     edges, _ = stash(checked(stars, sets), spark)
     label = components(edges, spark)
     # What is still apart in a bucket, pair by pair.
