@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a local master may do without: it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of open workspaces, the innermost last.
+_open: list[str] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Tables stashed inside go to a folder that is deleted at the end."""
+    path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    _open.append(path)
+    try:
+        yield path
+    finally:
+        _open.remove(path)
+        discard(spark, path)
+
+
 def stash(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{_open[-1] if _open else shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -46,7 +65,8 @@ def in_fold(doc_id: str, folds: int, fold: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int) -> pd.DataFrame:
     """At most `bound` labelled rows outside the held-out fold, with whole texts, picked by a hash of the id.
 
-    The pick is ordered by hash, so it is the same on every run. Only ids reach the broadcast side, and at most `bound` of them.
+    The pick is ordered by hash, so it is the same on every run. Only ids reach the broadcast side, and at most `bound`
+    of them. An id with several texts is taken with the least of them, one row per id, before anything is collected.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_fold("doc_id", folds, fold))
@@ -56,7 +76,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .limit(bound)
     )
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:

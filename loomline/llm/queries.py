@@ -13,7 +13,7 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.conversations(table(spark, sf_dir, "conversations"), spark)
+    return quotes.conversations(quotes.quoting(table(spark, sf_dir, "conversations")), spark)
 
 
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import tiktoken
 
 from loomline.llm import bpe, decontaminate, html_template, licenses, merkle, quality, queries, quotes, simhash, syncmers, toxicity
 
+
+
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, fp string, score double, match string"
 BIG = (1 << 62) + 1
@@ -143,35 +145,83 @@ def test_simhash_fingerprint():
     assert simhash.fingerprint(None) == 0 and simhash.fingerprint("a b") != simhash.fingerprint("a b")
 
 
-def test_decontamination(spark, odd, none):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+def edited(text, kind, rng):
+    """A text at a similarity of 0.8 or a little more, by one kind of edits or all."""
+    s = list(text)
+    for _ in range(int(len(text) * 0.19)):
+        k, i = rng.choice(["sub", "ins", "del"]) if kind == "mix" else kind, rng.randrange(len(s))
+        if k == "del":
+            del s[i]
+        else:
+            s[i : i + (k == "sub")] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(s)
+
+
+def word_edits(text, every, rng):
+    """A letter changed in each nth word."""
+    words = text.split()
+    for i in range(0, len(words), every):
+        k = rng.randrange(len(words[i]))
+        words[i] = words[i][:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + words[i][k + 1 :]
+    return " ".join(words)
+
+
+def test_decontamination_recall(spark):
+    """At the stated similarity, for typos, insertions, deletions and all of them, and for letters changed in words."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
     found = decontaminate.Items(items)
+    hosts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
     rng = random.Random(4)
-    hosts = [r.text.split() for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
-    for edits, least in ((0, 1.0), (1, 0.98), (3, 0.9)):
-        n = hit = 0
-        for k, (_, text) in enumerate(items):
-            words = text.split()
-            for _ in range(edits):
-                words[rng.randrange(len(words))] = rng.choice(["zap", "nul"])
-            host = hosts[rng.randrange(len(hosts))]
+    kinds = {k: (lambda t, k=k: edited(t, k, rng)) for k in ("sub", "ins", "del", "mix")}
+    kinds |= {n: (lambda t, n=n: word_edits(t, n, rng)) for n in (8, 5, 4, 3, 2, 1)}
+    kinds |= {"word": lambda t: " ".join(w + " zap" * (i % 4 == 3) for i, w in enumerate(t.split())), "copy": lambda t: t}
+    for kind, change in kinds.items():
+        texts, want = [], []
+        for k, (_, text) in enumerate(found.rows):
+            passage, host = change(items[k][1]), rng.choice(hosts)
             at = rng.randrange(len(host) + 1)
-            passage = b" ".join(decontaminate.WORD.findall(decontaminate.plain(" ".join(words))))
-            if decontaminate.distance(found.text[k], passage, 999)[0] <= found.most[k]:
-                n += 1
-                hit += any(i == k for _, i, *_ in found.scan([None, " ".join([*host[:at], *words, *host[at:]]), ""]))
-        assert hit >= least * n
-    benchmark = spark.createDataFrame([*items, (900, None), (901, ""), (902, "lone"), (903, "two words"), items[0]], "item_id long, text string")
-    docs = spark.createDataFrame([*[r[:2] for r in ROWS], (50, "before " + items[3][1].upper() + " after"), (51, "a lone voice"), (52, "two words")], "doc_id long, text string")
-    rows = decontaminate.leaks(docs, benchmark).collect()
-    assert {(r.doc_id, r.item_id) for r in rows} == {(50, items[3][0]), (51, 902), (52, 903)}
-    assert all(r.distance == 0 and r.similarity == 1 for r in rows)
-    joined = decontaminate.leaks_by_join(docs, benchmark).collect()
-    assert {tuple(r) for r in joined} == {tuple(r) for r in rows}
-    assert decontaminate.leaks(none, benchmark).collect() == [] == decontaminate.leaks(docs, benchmark.limit(0)).collect()
-    kept = decontaminate.clean_filter(odd, benchmark)
-    assert kept.columns == odd.columns and kept.count() == len(ROWS)
-    assert decontaminate.clean_filter(docs, benchmark).count() == docs.count() - 3
+            if decontaminate.distance(text, decontaminate.plain(passage), 999)[0] <= found.most[k]:
+                texts.append(f"{host[:at]} {passage} {host[at:]}")
+                want.append(k)
+        got = {(r, k) for r, k, *_ in found.scan(texts)}
+        share = sum((r, k) in got for r, k in enumerate(want)) / len(want)
+        assert len(want) > 100 and share >= (1.0 if kind == "copy" else 0.9), (kind, share)
+
+
+def test_decontamination_against_all_pairs(spark):
+    """The result of the query, and of blocks of items, against the distance of every document and item."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: f" {decontaminate.plain(r.text)} " for r in docs.collect()}
+    items = [(r.item_id, decontaminate.plain(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = set()
+    for i, t in texts.items():
+        for k, item in items:
+            most = int(0.2 * len(item) + 1e-9)
+            if (d := decontaminate.distance(item, t, most)[0]) <= most:
+                want.add((i, k, d))
+    got = {(r.doc_id, r.item_id, r.distance) for r in queries.op3_benchmark_decontamination(spark, SF).collect()}
+    assert got == want and len(want) >= 3
+
+
+def test_decontamination(spark, odd, none):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    thai = "การทดสอบภาษาไทยที่ไม่มีช่องว่างระหว่างคำในประโยคยาวๆเพื่อดูว่าพบข้อความที่คัดลอกมาหรือไม่"
+    extra = [(900, None), (901, ""), (902, "lone"), (903, "two words"), items[0], (904, thai), (905, "a short item of some words"), (None, items[5][1]), (906, "...")]
+    benchmark = spark.createDataFrame([(*r, "x") for r in [*items, *extra]], "item_id long, text string, doc_id string")
+    planted = [(50, "before " + items[3][1].upper() + " after"), (51, "a lone voice"), (52, "Two, words"), (53, "cyclones are no lonely thing"), (54, thai * 2), (55, "so a shrt item of same words it is"), (None, items[7][1]), (56, items[5][1]), (56, items[5][1])]
+    long = "lorem ipsum dolor " * 120_000
+    planted += [(57, long[:1_000_050] + items[9][1] + long)]
+    docs = spark.createDataFrame([*[r[:2] for r in ROWS], *planted], "doc_id long, text string")
+    want = [(50, 3, 0), (51, 902, 0), (52, 903, 0), (54, 904, 0), (55, 905, 2), (None, 7, 0), *[(56, 5, 0), (56, None, 0)] * 2, (57, 9, 0)]
+    for chars in (decontaminate.CHARS, 3000):
+        rows = decontaminate.leaks(docs, benchmark, chars=chars).collect()
+        assert sorted(((r.doc_id, r.item_id, r.distance) for r in rows), key=repr) == sorted(want, key=repr)
+        assert all((r.similarity == 1) == (r.distance == 0) for r in rows)
+        assert decontaminate.leaks(none, benchmark, chars=chars).collect() == [] == decontaminate.leaks(docs, benchmark.limit(0), chars=chars).collect()
+        kept = decontaminate.clean_filter(odd, benchmark, chars=chars)
+        assert kept.columns == odd.columns and kept.count() == len(ROWS)
+        assert decontaminate.clean_filter(docs, benchmark, chars=chars).count() == docs.count() - 9
+        assert decontaminate.clean_filter(docs, benchmark.limit(0), chars=chars).count() == docs.count()
 
 
 def test_edit_distance():
@@ -186,7 +236,7 @@ def test_edit_distance():
 
     rng = random.Random(8)
     for _ in range(300):
-        a, p = (bytes(rng.choice(b"abc ") for _ in range(rng.randint(lo, hi))) for lo, hi in ((1, 90), (0, 120)))
+        a, p = ("".join(rng.choice("abc ") for _ in range(rng.randint(lo, hi))) for lo, hi in ((1, 90), (0, 120)))
         assert decontaminate.distance(a, p, len(a))[0] == slow(a, p)
 
 
@@ -311,10 +361,11 @@ def test_html_templates(spark):
 
 
 def oracle(name, **tables):
+    """Rows of a query's SQL, or of SQL itself."""
     con = duckdb.connect()
     for t, rows in tables.items():
         con.register(t, rows.toPandas())
-    r = con.execute(queries.SQL[name])
+    r = con.execute(queries.SQL.get(name, name))
     return [c[0] for c in r.description], r.fetchall()
 
 
@@ -376,12 +427,40 @@ def test_quotes(spark):
     assert by[1, 4].reply_to == 0 and by[1, 5].reply_to == 4 and by[1, 3].thread == 3
     assert by[2, 0].reply_to is None and by[3, 4000].reply_to == 1500 and by[3, 4001].reply_to == 1500
     assert [r.turn for r in got.where("conv_id = 1").orderBy("reply_order").collect()] == [0, 1, 2, 4, 5, 3]
-    same(got, "op1_quotation_linking", conversations=rows)
-    odd = spark.createDataFrame([*t, (None, 1, "u", "> hm"), (1, None, "u", "> hm"), (None, None, None, None)], schema)
-    assert quotes.conversations(odd, spark).count() == len(t) + 3
+    same(got, f"WITH RECURSIVE {quotes.LINKING_SQL}", messages=rows)
+    odd = [*t, (None, 1, "u", "> hm"), (1, None, "u", "> hm"), (None, None, None, None), (None, None, None, None), t[0], t[0]]
+    wide = spark.createDataFrame([(*r, "x", 1, 2) for r in odd], f"{schema}, body string, n long, thread long")
+    assert quotes.conversations(wide, spark).count() == len(odd)
+    again = quotes.conversations(wide, spark).where("conv_id = 1 AND turn = 0").collect()
+    assert sorted(r.reply_order for r in again) == [2, 3, 4] and len({r.body for r in again}) == 1
     assert quotes.conversations(rows.limit(0), spark).collect() == []
 
 
+def test_quotes_votes_and_long_runs(spark):
+    t = [
+        (1, 0, "u", "One thing. Another thing. A third thing."),
+        (1, 1, "a", "I agree."),
+        (1, 2, "b", "> One thing. I agree. Another thing.\nok"),
+        (1, 3, "c", ">" * 100_000 + " I agree."),
+        (1, 4, "c", "\t" * 50_000 + "> \n" + "." * 100_000 + " " * 100_000 + "end\n" + "> ok\n" * 20_000),
+        (1, 5, "d", "line\n" * 30_000 + "> ok"),
+    ]
+    rows = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")
+    got = quotes.conversations(rows, spark)
+    by = {r.turn: r for r in got.collect()}
+    assert by[2].reply_to == 0 and by[2].linked_passages == 1  # two sentences against one
+    assert by[3].quote_levels == 100_000 and by[3].reply_to == 1
+    assert by[5].reply_to == 2 and by[4].quoted_passages == 2
+    same(got, f"WITH RECURSIVE {quotes.LINKING_SQL}", messages=rows)
+
+
+def test_quotes_of_the_tables(spark):
+    """The query's quoting replies do link, and no exchange of its passages carries a row twice."""
+    got = queries.op1_quotation_linking(spark, SF)
+    same(got, "op1_quotation_linking", conversations=spark.read.parquet(f"{SF}/conversations.parquet"))
+    assert got.where("linked_passages > 0").count() > 10 and got.where("depth > 1").count() > 0 and got.where("quote_levels = 2").count() > 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -392,10 +471,54 @@ def test_pipeline(spark):
     left = {i: t for i, t in docs.items() if tox.score(toxicity.sums(t, a)) < toxicity.THRESHOLD}
     model = quality.train(read("documents").where(f"doc_id IN ({','.join(map(str, left))})"), read("labels"))
     left = {i: t for i, t in left.items() if model.score([t])[0] >= quality.THRESHOLD}
-    parts = brute_components(left.items())
-    left = {i: t for i, t in left.items() if parts[simhash.fingerprint(t)] == i}
+    left = {i: left[i] for _, i in brute_near_copies(left.items())}
     items = decontaminate.Items([(r.item_id, r.text) for r in read("benchmark").collect()])
     left = {i: t for i, t in left.items() if not items.scan([t])}
     c = bpe.codec(queries.VOCABULARY, queries.PATTERN)
     assert {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, SF).collect()} == {i: c.digest(t) for i, t in left.items()}
     assert 0 < len(left) < len(docs)
+
+
+def test_pipeline_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeats, clashing columns and empty tables in every stage."""
+    import corpus_pipeline
+    from loomline.llm.common import workspace
+
+    tables = {"documents": odd, "labels": spark.createDataFrame([(1, 1, 0), (7, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog again"), (2, None)], "item_id long, text string")}
+    for n, df in tables.items():
+        df.write.parquet(f"{tmp_path}/odd/{n}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/none/{n}.parquet")
+    docs = odd
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        with workspace(spark):
+            stage(spark, docs, f"{tmp_path}/odd").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == odd.columns
+    assert {r.doc_id for r in docs.collect()} <= {2, None, BIG, 7, 8}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_labelled_sample_is_one_row_per_id(spark):
+    """An id on most rows sends one text to the driver; of several texts it is the least."""
+    from loomline.llm.common import labelled_sample
+
+    docs = spark.range(10_000).selectExpr("3L AS doc_id", "concat('text ', 99999 - id % 7) AS text").union(spark.createDataFrame([(4, None), (None, "x")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(3, 1), (4, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 1, 5, 100)
+    assert rows.to_dict("records") == [{"doc_id": 3, "y": 1, "text": "text 99993"}, {"doc_id": 4, "y": 0, "text": ""}]
+
+
+def test_shared_folder_is_asked_for(spark):
+    """Without spark.checkpoint.dir only a local master gets a folder of its own."""
+    from types import SimpleNamespace
+
+    from loomline.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    for master, fine in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://x:7077", False), ("yarn", False)):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fine:
+            assert shared_dir(session)
+        else:
+            with pytest.raises(ValueError, match="checkpoint"):
+                shared_dir(session)
