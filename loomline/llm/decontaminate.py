@@ -1,121 +1,115 @@
 """Benchmark passages in documents, by CGK embedding and bit-sampling LSH over item-sized windows (operator 3).
 
-A text is its sequence of lower-case words. The CGK embedding walks along it: at each step it puts out the word it
-stands on and, by a random bit of that word and step, moves on or stays, so that two texts a few edits apart soon
-walk in step and differ in few places. The LSH keys of a window are its embedding at randomly sampled places, anew for
-each repetition. Item and documents are cut into windows at the same places, the words whose hash is the least of
-some WIDTH consecutive words. A window is as long as what is left of the item there; its walk never leaves it.
-Every key that a document shares with an item is checked exactly: the least edit distance (in characters, of the
-normalised words) between the item and any passage around the window, by bit-parallel dynamic programming.
-
-An item's recall adds up over repetitions and over its many windows: a copy is found for certain, and one with edits
-as soon as a few consecutive words after any window's start are whole or the walks have met again.
-
-The benchmark goes to every task if it has at most ITEMS items and CHARS characters, which is counted first; a larger
-one is joined by key instead (`leaks_by_join`), with the same results.
-
-Defined results: null or empty texts and items match nothing; repeated rows give repeated results, repeated items
-one row each; extra columns are ignored.
+A text is its lower-case letters and digits, all else one space. The CGK embedding walks along it: at each step it puts
+out the character it stands on and, by a random bit of that character and step, moves on or stays, so that two texts a
+few edits apart fall into step again and differ in few places. An LSH key is the embedding at randomly sampled places,
+anew for each repetition. A window is as long as an item. It has a walk from each of its anchors, the places whose next
+GRAM characters have a small hash: one walk over a whole window would, at one edit in five characters, hardly ever be
+in step (see the README). The windows of a document that share keys from enough anchors with an item, at about the
+same distance from each other, are checked exactly: the least edit distance in characters between the item and any
+part of the passage there, by bit-parallel dynamic programming.
+
+Items of fewer than SHORT characters or of too few anchors are looked up by their parts instead: of an item with at most k edits,
+cut into k + 1 parts, one part is whole. Short ones must begin and end with words.
+
+Distinct items go to every task in blocks of about CHARS characters, one pass over the documents for each; a benchmark
+of any size has the same results. Long documents are scanned in overlapping pieces.
+
+Defined results: null or empty texts and items match nothing; repeated rows give repeated results, repeated items one
+row each; rows and items without an id are reported without one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, stash
 
-#: Of consecutive words, the one with the least hash starts a window.
-WIDTH = 6
-#: Steps of the walk that a key samples from, by size class of items; and the repetitions.
-STEPS, REPEATS = (16, 8, 4), 6
+#: Characters that make an anchor, and the share of places that are one.
+GRAM, DENSITY = 4, 1 / 3
+#: Steps of a walk, the places of the embedding that a key samples, and the repetitions.
+STEPS, SAMPLED, REPEATS = 24, 14, 3
+#: Least share of an item's anchors that must agree before it is checked, and least number.
+SHARE, AGREE = 0.07, 3
 #: Least similarity, 1 - distance / characters of the item.
 SIMILARITY = 0.8
-#: A benchmark of no more items and characters is sent to every task.
-ITEMS, CHARS = 20_000, 16_000_000
+#: Characters of an item that is looked up by its parts, and anchors that an item must have else.
+SHORT, ANCHORS = 48, 10
+#: Characters of items in a block (one item at least).
+CHARS = 2_000_000
+#: Characters scanned at once.
+PIECE = 1_000_000
 
 _rng = np.random.default_rng(20240)
-_ODD = _rng.integers(1, 1 << 63, (REPEATS, max(STEPS)), dtype=np.uint64) | np.uint64(1)
+#: Whether the walk moves on, by repetition, step and character (folded to a byte); never past the end of a text.
+_MOVES = _rng.integers(0, 2, (REPEATS, STEPS, 256)).astype(np.int32)
+_MOVES[:, :, 0] = 0
+_PLACES = [{0, *(_rng.permutation(STEPS - 1)[: SAMPLED - 1] + 1).tolist()} for _ in range(REPEATS)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Of each class, the places of the embedding that each repetition samples: the first, then half of the others.
-_SAMPLED = [[{0, *_rng.permutation(np.arange(1, n))[: n // 2].tolist()} for _ in range(REPEATS)] for n in STEPS]
-# Bytes that belong to words: letters, digits, and all of other alphabets.
-_IN_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
-_POWER = np.cumprod(np.full(256, 1_000_003, np.uint64), dtype=np.uint64)
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * _MIX
-    return h ^ (h >> np.uint64(32))
-
-
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word in lower-case UTF-8."""
-    raw = np.frombuffer(data, np.uint8)
-    edge = np.flatnonzero(np.diff(_IN_WORD[raw], prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end
-    size = end - start
-    at = np.arange(len(raw)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(raw)]))
-    value = np.where(_IN_WORD[raw], (raw.astype(np.uint64) + np.uint64(1)) * _POWER[np.minimum(at, 255)] * (at // 256 + 1).astype(np.uint64), np.uint64(0))
-    h = np.add.reduceat(value, start)
-    return mixed(h + size.astype(np.uint64)) | np.uint64(1), start, end
-
-
-def anchors(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Where windows start. h: words of texts, each followed by a zero; first, last: of each text."""
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64)
-    big = np.iinfo(np.uint64).max
-    order = np.where(h == 0, big, mixed(h))  # the words between texts never are the least
-    least = order.copy()
-    for k in range(1, min(WIDTH, n)):
-        least[: n - k] = np.minimum(least[: n - k], np.where(h[k:] == 0, big, order[k:]))
-    whole = np.ones(n, bool)  # windows within one text; a shorter text is one window
-    gap = np.flatnonzero(h == 0)
-    for k in range(WIDTH):
-        whole[np.maximum(gap - k, 0)] = False
-    short = last - first < WIDTH
-    whole[first[short & (last > first)]] = True
-    least[~whole] = 0
-    most = least.copy()
-    for k in range(1, min(WIDTH, n)):
-        most[k:] = np.maximum(most[k:], least[:-k])
-    return np.flatnonzero((most == order) & (h != 0))
-
-
-def keys(h: np.ndarray, at: np.ndarray, classes: list[int], repeat: int) -> dict[int, np.ndarray]:
-    """The LSH key, in each class, of the windows that start at `at`. The walk stops at a zero word."""
+_BITS = 22
+_PLAIN = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(128)) + bytes(range(128, 256))
+_OTHER = re.compile(r"[^\w\x00-\x7f]+")
+
+
+def plain(text: str | None) -> str:
+    """Lower-case letters and digits with single spaces between them."""
+    low = (text or "").lower()
+    if low.isascii():
+        return b" ".join(low.encode().translate(_PLAIN).split()).decode()
+    low = _OTHER.sub(" ", low)
+    return b" ".join(low.encode("utf-8", "surrogatepass").translate(_PLAIN).split()).decode("utf-8", "surrogatepass")
+
+
+def codes(text: str) -> np.ndarray:
+    """A byte for each character; zero for NUL only, which stands between texts."""
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8)
+    wide = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(wide < 256, wide, (wide ^ wide >> 7) % 255 + 1).astype(np.uint8)
+
+
+def anchors(c: np.ndarray) -> np.ndarray:
+    if len(c) < GRAM:
+        return np.zeros(0, np.int32)
+    wide = c.astype(np.uint32)
+    h = wide[: len(c) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        h *= np.uint32(1_000_003)
+        h += wide[k : len(c) - GRAM + 1 + k]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    return np.flatnonzero(h < np.uint32(DENSITY * (1 << 32))).astype(np.int32)
+
+
+def keys(c: np.ndarray, at: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """The LSH keys of the walks from `at`, and where the walks end. c ends with a zero."""
     pos = at.copy()
-    out = {c: np.full(len(at), (c + 1) * 1009 + repeat, np.uint64) for c in classes}
-    for step in range(max(STEPS[c] for c in classes) if classes else 0):
-        word = h[pos]
-        for c in classes:
-            if step < STEPS[c] and step in _SAMPLED[c][repeat]:
-                out[c] = (out[c] ^ word) * _MIX
-                out[c] ^= out[c] >> np.uint64(32)
-        pos += ((word * _ODD[repeat, step]) >> np.uint64(63)).astype(pos.dtype)
-    return out
-
-
-def plain(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "surrogatepass")
-
-
-def distance(item: bytes, passage: bytes, most: int) -> tuple[int, int]:
+    key = np.full(len(at), 1009 + repeat, np.uint64)
+    for step in range(STEPS):
+        here = c[pos]
+        if step in _PLACES[repeat]:
+            key *= np.uint64(0x100000001B3)
+            key += here
+        pos += _MOVES[repeat, step][here]
+    key *= _MIX
+    return key ^ key >> np.uint64(29), pos
+
+
+def distance(item: str, passage: str, most: int) -> tuple[int, int]:
     """Least edit distance between item and any part of passage, and where that part ends; most + 1 if it is more."""
     size = len(item)
+    if (at := passage.find(item)) >= 0:
+        return 0, at + size
     mask, top = (1 << size) - 1, 1 << (size - 1)
-    where: dict[int, int] = {}
+    where: dict[str, int] = {}
     for i, c in enumerate(item):
         where[c] = where.get(c, 0) | 1 << i
     up, down, score = mask, 0, size
@@ -131,178 +125,159 @@ def distance(item: bytes, passage: bytes, most: int) -> tuple[int, int]:
         down = plus & diag & mask
         if score < best:
             best, end = score, j
-            if not best:
-                break
     return best, end
 
 
 class Items:
-    """Windows and keys of the benchmark."""
-
-    def __init__(self, rows: list[tuple[int, str | None]], similarity: float = SIMILARITY):
-        self.rows = [(i, WORD.findall(plain(t))) for i, t in rows]
-        self.text = [b" ".join(w) for _, w in self.rows]
-        self.most = [int((1 - similarity) * len(t) + 1e-9) for t in self.text]
-        self.classes: list[int] = []
-        parts: list[tuple[np.ndarray, ...]] = []
-        for k, (_, w) in enumerate(self.rows):
-            size = len(w)
-            fits = [c for c, n in enumerate(STEPS) if size >= n + WIDTH - 1]
-            if not fits:
+    """Anchors and keys of distinct benchmark items; rows: (name, text)."""
+
+    def __init__(self, rows: list[tuple[object, str | None]], similarity: float = SIMILARITY):
+        self.rows = [(name, t) for name, text in rows if (t := plain(text))]
+        size = [len(t) for _, t in self.rows]
+        self.most = [int((1 - similarity) * n + 1e-9) for n in size]
+        self.longest = max(size, default=0)
+        self.least = np.zeros(len(size), np.int64)  # anchors that must agree
+        self.parts: dict[str, list[tuple[int, int]]] = {}  # of short items: item and offset
+        found: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
+        for k, (_, t) in enumerate(self.rows):
+            c = np.r_[codes(t), np.uint8(0)]
+            at = anchors(c[:-1])
+            walks = [keys(c, at, r) for r in range(REPEATS)]
+            whole = sum(int((end < size[k]).sum()) for _, end in walks) // REPEATS
+            if size[k] < SHORT or whole < ANCHORS:
+                self._cut(k)
                 continue
-            c = fits[0]
-            h = np.r_[words_of(self.text[k])[0], np.uint64(0)]
-            at = anchors(h, np.array([0]), np.array([size]))
-            at = at[at + STEPS[c] <= size]
-            if c not in self.classes:
-                self.classes.append(c)
-            parts += [(keys(h, at, [c], r)[c], np.full(len(at), k), at) for r in range(REPEATS)]
-        found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        order = np.argsort(found[0], kind="stable")
-        self.keys, self.item, self.offset = (x[order] for x in found)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys & np.uint64((1 << 20) - 1)] = True
-        # Items too short for windows of words are looked up by each of their words.
-        self.by_word: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, w) in enumerate(self.rows):
-            if w and not any(len(w) >= n + WIDTH - 1 for n in STEPS):
-                for j, x in enumerate(words_of(self.text[k])[0].tolist()):
-                    self.by_word.setdefault(x, []).append((k, j))
-        self.short = np.array(sorted(self.by_word), np.uint64)
-
-    def candidates(self, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Rows (start of the item in h, item)."""
-        out = []
-        if self.classes:
-            at = anchors(h, first, last)
+            self.least[k] = max(AGREE, int(SHARE * whole))
+            for r, (key, end) in enumerate(walks):
+                own = end < size[k]
+                found[r].append(np.c_[key[own].view(np.int64), np.full(own.sum(), k), at[own]])
+        self.keys: list[np.ndarray] = []
+        self.hits: list[np.ndarray] = []
+        self.bits = np.zeros((REPEATS, 1 << _BITS), bool)
+        for r in range(REPEATS):
+            rows_ = np.concatenate(found[r]) if found[r] else np.zeros((0, 3), np.int64)
+            key = rows_[:, 0].view(np.uint64)
+            order = np.argsort(key, kind="stable")
+            self.keys.append(key[order])
+            self.hits.append(rows_[order, 1:].astype(np.int32))
+            self.bits[r][(key >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.any = any(len(k) for k in self.keys)
+
+    def text(self, k: int) -> str:
+        """The item as it is compared: short ones with the spaces around their words."""
+        t = self.rows[k][1]
+        return f" {t} " if len(t) < SHORT else t
+
+    def _cut(self, k: int) -> None:
+        t, n = self.text(k), self.most[k] + 1
+        edges = [len(t) * i // n for i in range(n + 1)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            self.parts.setdefault(t[a:b], []).append((k, a))
+
+    def windows(self, joined: str, c: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, low, high) of windows to check: low and high are where the item may start. first: of each text."""
+        if self.any:
+            at = anchors(c)
+            hits = []
+            wide = (len(c) + 2 * self.longest).bit_length()  # of a start, moved up by the longest item
             for r in range(REPEATS):
-                for got in keys(h, at, self.classes, r).values():
-                    near = np.flatnonzero(self.bits[got & np.uint64((1 << 20) - 1)])
-                    low, high = np.searchsorted(self.keys, got[near], "left"), np.searchsorted(self.keys, got[near], "right")
-                    n = high - low
-                    pick = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-                    out.append(np.c_[np.repeat(at[near], n) - self.offset[pick], self.item[pick]])
-        if len(self.short):
-            near = np.flatnonzero(np.isin(h, self.short))
-            out.append(np.array([(p - j, k) for p in near.tolist() for k, j in self.by_word[int(h[p])]], np.int64).reshape(-1, 2))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+                key, _ = keys(c, at, r)
+                near = np.flatnonzero(self.bits[r][(key >> np.uint64(64 - _BITS)).astype(np.int64)])
+                got = key[near]
+                low = np.searchsorted(self.keys[r], got, "left")
+                n = np.searchsorted(self.keys[r], got, "right") - low
+                pick = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+                item, offset = self.hits[r][pick].T.astype(np.int64)
+                place = np.repeat(at[near].astype(np.int64), n)
+                hits.append(((item << wide) + place - offset + self.longest << wide) + place)
+            rows = np.unique(np.concatenate(hits))
+            place, start = rows & ((1 << wide) - 1), (rows >> wide & ((1 << wide) - 1)) - self.longest
+            yield from self._agreeing(rows >> 2 * wide, start, place, first)
+        for part, owners in self.parts.items():
+            at_ = joined.find(part)
+            while at_ >= 0:
+                d = int(np.searchsorted(first, at_, "right")) - 1
+                for k, offset in owners:
+                    yield d, k, at_ - offset, at_ - offset
+                at_ = joined.find(part, at_ + 1)
+
+    def _agreeing(self, item: np.ndarray, start: np.ndarray, place: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Windows of hits of one item, sorted by start: in one text, starts within the edits allowed, enough anchors."""
+        text = np.searchsorted(first, place, "right") - 1
+        most = np.array([*self.most, 0], np.int64)[item]
+        # In one order of (item, start), how many hits come no further than the edits allowed after each.
+        line = item * (int(place.max(initial=0)) + 4 * self.longest + 2) + start + self.longest
+        after = np.searchsorted(line, line + most, "right")
+        full = np.flatnonzero(after - np.arange(len(line)) >= self.least[item]) if len(line) else np.zeros(0, np.int64)
+        # Windows that overlap, of one item and text, are one passage to check.
+        new = np.r_[True, (full[1:] >= after[full[:-1]]) | (item[full[1:]] != item[full[:-1]]) | (text[full[1:]] != text[full[:-1]])] if len(full) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        for a, b in zip(full[begin].tolist(), after[full[np.r_[begin[1:], len(full)] - 1]].tolist() if len(full) else [], strict=True):
+            yield int(text[a]), int(item[a]), int(start[a]), int(start[b - 1])
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(row, item, distance, word of the document where the item's window starts) of the best match of each pair."""
-        out: list[tuple[int, int, int, int]] = []
-        for a, b in chunks([t or "" for t in texts], 1_500_000):
-            out += [(a + row, *rest) for row, *rest in self._scan(texts[a:b])]
-        return out
-
-    def _scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
-        data = [plain(t) for t in texts]
-        joined = b" ".join(data)
-        edges = np.cumsum([0, *(len(d) + 1 for d in data)])
-        h, start, end = words_of(joined)
-        row = np.searchsorted(edges, start, "right") - 1
-        first = np.searchsorted(row, np.arange(len(texts)), "left") + np.arange(len(texts))
-        last = np.searchsorted(row, np.arange(len(texts)), "right") + np.arange(len(texts))
-        spaced = np.zeros(len(h) + len(texts), np.uint64)  # a zero word after each text
-        spaced[np.arange(len(h)) + row] = h
+        """(row, item, distance, end in the plain text) of the best match of each text and item."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for pos, k in self.candidates(spaced, first, last).tolist():
-            d = int(np.searchsorted(first, pos + len(self.rows[k][1]) // 2, "right")) - 1
-            d = max(0, min(d, len(texts) - 1))
-            if not first[d] <= min(max(pos, first[d]), last[d] - 1):
-                continue
-            found = best.get((d, k), (1 << 30, 0))
-            if not found[0]:
-                continue
-            size = len(self.rows[k][1])
-            slack = max(2, size // 4)
-            low, high = max(pos - slack, int(first[d])), min(pos + size + slack, int(last[d]))
-            passage = b" ".join(joined[start[i - d] : end[i - d]] for i in range(low, high))
-            got, _ = distance(self.text[k], passage, self.most[k])
-            if got <= self.most[k] and got < found[0]:
-                best[d, k] = got, max(pos, int(first[d])) - int(first[d])
-        for (d, k), (got, pos) in sorted(best.items()):
-            yield d, k, got, pos
-
-    def key_rows(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-        """Of each text its keys in all classes, for the join."""
-        for n, t in enumerate(texts):
-            h = np.r_[words_of(plain(t))[0], np.uint64(0)]
-            at = anchors(h, np.array([0]), np.array([len(h) - 1]))
-            got = [x for r in range(REPEATS) for x in keys(h, at, list(range(len(STEPS))), r).values()]
-            yield n, np.unique(np.concatenate([*got, h[:-1]]) if len(h) > 1 else np.zeros(0, np.uint64))
-
-
-SCHEMA = "item_id long, distance int, similarity double, start_word long"
-
-
-def _report(items: Items, texts: list[str | None]) -> pd.Series:
-    """Of each text an array of what it holds."""
-    out: list[list[dict]] = [[] for _ in texts]
-    for row, k, d, start in items.scan(texts):
-        out[row].append({"item_id": items.rows[k][0], "distance": d, "similarity": 1 - d / len(items.text[k]), "start_word": start})
-    return pd.Series(out, dtype="object")
-
-
-def small(benchmark: DataFrame, items: int = ITEMS, chars: int = CHARS) -> bool:
-    n, c = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    return n <= items and c <= chars
-
-
-def gathered(benchmark: DataFrame, similarity: float = SIMILARITY) -> Items:
-    """The items of a benchmark that small() has found small."""
-    return Items([(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").collect()], similarity)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, distance, similarity and start_word of each benchmark item found in a document."""
-    if not small(benchmark):
-        return leaks_by_join(docs, benchmark, similarity)
-    sent = docs.sparkSession.sparkContext.broadcast(gathered(benchmark, similarity))
-
-    @F.pandas_udf(f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
+        pieces: list[tuple[int, int, str]] = []
+        lap = 2 * self.longest + 2 * STEPS
+        for row, text in enumerate(texts):
+            t = f" {plain(text)} "
+            step = max(PIECE, lap)
+            for a in range(0, max(1, len(t) - lap), step):
+                pieces.append((row, a, t[a : a + step + lap]))
+        for a, b in chunks([p for *_, p in pieces], PIECE):
+            joined = "\0".join(p for *_, p in pieces[a:b]) + "\0"
+            ends = np.cumsum([len(p) + 1 for *_, p in pieces[a:b]])
+            first = np.r_[0, ends[:-1]]
+            c = codes(joined)
+            for d, k, low, high in self.windows(joined, c, first):
+                row, offset, _ = pieces[a + d]
+                found = best.get((row, k), (self.most[k] + 1, 0))
+                if not found[0]:
+                    continue
+                begin = max(low - self.most[k], int(first[d]))
+                got, end = distance(self.text(k), joined[begin : min(high + len(self.text(k)) + self.most[k], int(ends[d]) - 1)], self.most[k])
+                best[row, k] = min(found, (got, offset + begin + end - int(first[d]) - 1))
+        return [(row, k, got, end) for (row, k), (got, end) in sorted(best.items()) if got <= self.most[k]]
+
+
+FOUND = "name string, distance int, similarity double, end_char long"
+
+
+def blocks(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct texts of a benchmark with their digests, dealt by digest into blocks of about so many characters."""
+    spark = benchmark.sparkSession
+    texts, _ = stash(benchmark.where("text IS NOT NULL").select(F.md5("text").alias("name"), "text").distinct(), spark)
+    n = -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // chars) or 1
+    for k in range(n):
+        yield [tuple(r) for r in texts.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k).orderBy("name").collect()]
+
+
+def found_in(docs: DataFrame, similarity: float, block: list[tuple[str, str]]) -> DataFrame:
+    """doc_id and what each document holds of a block of items."""
+    sent = docs.sparkSession.sparkContext.broadcast(Items(block, similarity))
+
+    @F.pandas_udf(f"array<struct<{FOUND.replace(' ', ':').replace(',:', ',')}>>")
     def run(texts: pd.Series) -> pd.Series:
-        return _report(sent.value, texts.tolist())
+        items = sent.value
+        out: list[list[dict]] = [[] for _ in texts]
+        for row, k, d, end in items.scan(texts.tolist()):
+            out[row].append({"name": items.rows[k][0], "distance": d, "similarity": 1 - d / len(items.rows[k][1]), "end_char": end})
+        return pd.Series(out, dtype="object")
 
     return docs.select("doc_id", F.explode(run("text")).alias("m")).select("doc_id", "m.*")
 
 
-def leaks_by_join(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The same for a benchmark of any size: keys are shuffled, then each pair that shares one is checked."""
-
-    def keyed(name: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            none = Items([])
-            for batch in batches:
-                rows = list(none.key_rows(batch["text"].tolist()))
-                ids = np.repeat(batch[name].to_numpy(), [len(k) for _, k in rows])
-                yield pd.DataFrame({name: ids, "key": np.concatenate([k for _, k in rows]).view(np.int64) if rows else np.zeros(0, np.int64)})
-
-        return run
-
-    @F.pandas_udf("distance int, similarity double, start_word long")
-    def check(passages: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, Items] = {}
-        rows = []
-        for p, t in zip(passages, texts, strict=True):
-            found = _report(known.setdefault(p, Items([(0, p)], similarity)), [t])[0]
-            rows.append([found[0][c] for c in ("distance", "similarity", "start_word")] if found else [None] * 3)
-        return pd.DataFrame(rows, columns=["distance", "similarity", "start_word"]).astype({"distance": "Int32", "similarity": "float64", "start_word": "Int64"})
-
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    benchmark = benchmark.where("item_id IS NOT NULL")
-    left = texts.mapInPandas(keyed("doc_id"), "doc_id long, key long")
-    right = benchmark.select("item_id", "text").mapInPandas(keyed("item_id"), "item_id long, key long")
-    pairs = left.join(right, "key").select("doc_id", "item_id").distinct()
-    full = pairs.join(benchmark.select("item_id", F.col("text").alias("item")), "item_id").join(texts, "doc_id")
-    return full.select("doc_id", "item_id", check("item", "text").alias("m")).where("m.distance IS NOT NULL").select("doc_id", "item_id", "m.*")
-
-
-def clean_filter(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept. No shuffle of documents if the benchmark is small."""
-    if not small(benchmark):
-        found = leaks_by_join(docs, benchmark, similarity).select("doc_id").distinct()
-        return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    sent = docs.sparkSession.sparkContext.broadcast(gathered(benchmark, similarity))
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
+    """doc_id, item_id, distance, similarity and end_char (in the plain text) of each benchmark item found in a document."""
+    found = reduce(DataFrame.union, map(partial(found_in, docs, similarity), blocks(benchmark, chars)))
+    ids = benchmark.select("item_id", F.md5("text").alias("of"))
+    return found.join(ids, found.name == ids.of).select("doc_id", "item_id", "distance", "similarity", "end_char")
+
+
+def leaking(docs: DataFrame, similarity: float, block: list[tuple[str, str]]):
+    """A column function: whether a text holds an item of a block."""
+    sent = docs.sparkSession.sparkContext.broadcast(Items(block, similarity))
 
     @F.pandas_udf("boolean")
     def leaked(texts: pd.Series) -> pd.Series:
@@ -310,4 +285,14 @@ def clean_filter(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         hit[[row for row, *_ in sent.value.scan(texts.tolist())]] = True
         return pd.Series(hit)
 
-    return docs.where(~leaked(F.col("text")))
+    return leaked
+
+
+def clean_filter(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
+    """The documents that hold no benchmark item, all columns kept. With one block of items no document is shuffled."""
+    tests = [leaking(docs, similarity, b) for b in blocks(benchmark, chars)]
+    if len(tests) == 1:
+        return docs.where(~tests[0](F.col("text")))
+    bad = reduce(DataFrame.union, (docs.where(t(F.col("text"))).select(F.md5("text").alias("bad")) for t in tests)).distinct()
+    bad, _ = stash(bad, docs.sparkSession)
+    return docs.join(bad, F.md5(docs.text) == bad.bad, "left_anti")
