@@ -10,11 +10,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from test_near_copies import brute as brute_near_copies
 
 from loomline.llm import bpe, decontaminate, html_template, licenses, merkle, quality, queries, quotes, simhash, syncmers, toxicity
 
-
-
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, fp string, score double, match string"
 BIG = (1 << 62) + 1
@@ -238,6 +237,8 @@ def test_edit_distance():
     for _ in range(300):
         a, p = ("".join(rng.choice("abc ") for _ in range(rng.randint(lo, hi))) for lo, hi in ((1, 90), (0, 120)))
         assert decontaminate.distance(a, p, len(a))[0] == slow(a, p)
+    pairs = [("".join(rng.choice("abcé漢 ") for _ in range(rng.randint(1, 90))), "".join(rng.choice("abcé漢 ") for _ in range(rng.randint(0, 120))), rng.randint(0, 40)) for _ in range(700)]
+    assert decontaminate.distances(pairs) == [decontaminate.distance(*p) for p in pairs] and decontaminate.distances([]) == []
 
 
 def slow_syncmers(text):
@@ -349,17 +350,102 @@ def test_html():
     assert html_template.main_text("<p>open <b>end") == "open end"
 
 
+def test_html_attributes_and_runs():
+    """Words in other attributes hide nothing; unclosed tags, deep nesting and the like take linear time."""
+    import time
+
+    assert html_template.main_text('<p title="the hidden ad">kept</p><p hidden>gone</p><p data-x="class=nav">too</p>') == "kept\n\ntoo"
+    for page, text in (("<a " * 350_000, None), ("<!" * 300_000, None), ("<div>" * 100_000 + "x", "x"), ("<div>" * 50_000 + "x" + "</div>" * 50_000, "x"), ('<a "<a ""' * 100_000, None), ("<ul>" + "<li>a" * 50_000, None), ("</x>" * 200_000, ""), ("word " * 200_000, ("word " * 200_000).strip())):
+        start = time.process_time()
+        got = html_template.main_text(page)
+        assert time.process_time() - start < 3 and (text is None or got == text), page[:20]
+
+
+SITE = "<html><body><div class=top>{1} daily</div><div class=z><h2>Head {0}</h2>{2}<p>Story {0} is told</p><div class=legal>All rights reserved</div></div></body></html>"
+
+
 def test_html_templates(spark):
-    row = "<div class=top>Acme daily</div><div class=z><h2>Head {0}</h2><p>Story {0} is told</p><div class=legal>All rights reserved</div></div>"
-    rows = [(i, f"https://x.org/{i}", row.format(i), 1) for i in range(6)] + [(10, None, None, 1), (None, "https://y.org/1", "<p>one</p>", 1)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    """Constants go wherever they stand, by the broadcast and by the join."""
+    rows = [(i, f"https://x.org/{i}", SITE.format(i, "Acme", "<p>More</p>" * (i % 3)), 1) for i in range(6)]
+    rows += [(20 + i, f"https://z.org/{i}", f"<main><h1>Title {i}</h1><p>Text {i} of it</p><p class=tail>Write to us</p></main>", 1) for i in range(4)]
+    rows += [(30 + i, f"https://two.org/{i}", SITE.format(i, "Two", ""), 1) for i in range(2)]
+    near = [f"<article>{''.join(f'<p>Paragraph {k} of one article</p>' for k in range(10))}<p>Edit {i}</p></article>" for i in range(5)]
+    rows += [(40 + i, f"https://near.org/{i}", h, 1) for i, h in enumerate(near)]
+    rows += [(10, None, None, 1), (11, None, "", 1), (None, "https://y.org/1", "<p>one</p>", 1), (3, "https://x.org/3", rows[3][2], 1)]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, host int, text int, size int")
     sent, joined = (sorted(map(tuple, html_template.extract(pages, most).collect()), key=repr) for most in (1000, -1))
     assert sent == joined and len(sent) == len(rows)
-    assert (3, "https://x.org/3", "Head 3\n\nStory 3 is told", 23) in sent
-    assert (10, None, "", 0) in sent and (None, "https://y.org/1", "one", 3) in sent
+    text = {r[0]: r[2] for r in sent}
+    assert text[3] == "Head 3\n\nStory 3 is told" and text[5] == "Head 5\n\nMore\n\nMore\n\nStory 5 is told"
+    assert text[21] == "Title 1\n\nText 1 of it"  # a constant inside the article element
+    assert text[31] == "Two daily\n\nHead 1\n\nStory 1 is told\n\nAll rights reserved"  # two pages make no template
+    assert text[43].startswith("Paragraph 0 of one article") and text[43].endswith("Edit 3") and text[43].count("\n\n") == 10  # near copies
+    assert (10, None, "", 0) in sent and (None, "https://y.org/1", "one", 3) in sent and [r[0] for r in sent].count(3) == 2
     assert html_template.extract(pages.limit(0)).collect() == []
 
 
+def test_html_classes_against_brute_force(spark):
+    """Vectors, orders and nesting of small sites, counted page by page."""
+    rng = random.Random(21)
+    pages = []
+    for site in range(4):
+        for i in range(rng.randint(3, 9)):
+            body = "".join(f"<div class=item><b>x</b><h3>Name</h3><p>{rng.randrange(10**6)}</p></div>" for _ in range(rng.randint(1, 4)))
+            extra = "<div class=note><p>Note</p></div>" if rng.random() < 0.7 else ""
+            swapped = "<p>one</p><h4>two</h4>" if i % 2 else "<h4>two</h4><p>one</p>"
+            pages.append((f"https://s{site}.org/{i}", f"<body><p>Fixed</p>{extra}<section>{body}</section>{swapped}<p>unique text number {rng.randrange(10**9)} of the page</p></body>"))
+    df = spark.createDataFrame(pages, "url string, html string")
+    seqs = html_template.sequences(df)
+    got = {(r.host, frozenset(r.tokens), r.support) for r in html_template.classes(seqs).collect()}
+    by_host = {}
+    for r in seqs.collect():
+        by_host.setdefault(r.host, []).append(r.tokens)
+    want, chosen = set(), {}
+    for host, rows in by_host.items():
+        vectors = {}
+        for t in {t for seq in rows for t in seq}:
+            vectors.setdefault(tuple(seq.count(t) for seq in rows), []).append(t)
+        ordered = []
+        for v, tokens in vectors.items():
+            support = sum(n > 0 for n in v)
+            if support < 3 or support * 2 < len(rows) or len(tokens) < 2 or not any(t & 1 for t in tokens):
+                continue
+            want.add((host, frozenset(tokens), support))
+            own = [[t for t in seq if t in tokens] for seq in rows]
+            base = next(o for o in own if o)[: len(tokens)]
+            if sorted(base) == sorted(tokens) and all(o == base * (len(o) // len(base)) for o in own):
+                ordered.append((support, base))
+
+        def spans(seq, base):
+            at = [i for i, t in enumerate(seq) if t in base]
+            return [at[k : k + len(base)] for k in range(0, len(at), len(base))]
+
+        def nests(a, b):
+            inside = {(x, y): set() for x, y in ((0, 1), (1, 0))}
+            for seq in rows:
+                both = spans(seq, a), spans(seq, b)
+                for x, y in inside:
+                    for p in both[x]:
+                        for q in both[y]:
+                            if p[0] < q[0] < p[-1]:
+                                slot = sum(z < q[0] for z in p)
+                                inside[x, y].add(slot if slot == sum(z < q[-1] for z in p) else -1)
+            return all(len(s) < 2 and -1 not in s for s in inside.values())
+
+        kept = []
+        for _, base in sorted(ordered, key=lambda x: (-x[0], -len(x[1]))):
+            if all(nests(base, o) for o in kept):
+                kept.append(base)
+        chosen[host] = {tuple(b) for b in kept}
+    assert got == want
+    for r in html_template.templates(df).collect():
+        orders = {}
+        for t, c, i, n in zip(r.tokens, r["class"], r.place, r["size"], strict=True):
+            orders.setdefault(c, [None] * n)[i] = t
+        assert {tuple(o) for o in orders.values()} == chosen[r.host]
+        assert len(orders) >= 2
+
+
 def oracle(name, **tables):
     """Rows of a query's SQL, or of SQL itself."""
     con = duckdb.connect()
@@ -376,16 +462,98 @@ def same(df, name, **tables):
     assert sorted((tuple(r) for r in df.select(*cols).collect()), key=key) == sorted(rows, key=key)
 
 
+# Notices as they are printed.
+BSD = """Copyright (c) 2020, {0}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+{1}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.""",
+    "BSD-2-Clause": BSD.format("Some Body", ""),
+    "BSD-2-Clause,BSD-3-Clause": BSD.format("The Such University", "3. Neither the name of The Such University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"),
+    "Apache-2.0": """Copyright 2019 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": """Copyright (c) 2018, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
+}
+
+
+def wrapped(text, width, mark):
+    import textwrap
+
+    paragraphs = text.split("\n\n")
+    return f"\n{mark}\n".join("\n".join(mark + line for line in textwrap.wrap(p, width)) for p in paragraphs)
+
+
+def test_licence_notices(spark):
+    """Whole notices, wrapped and in comments; other versions and parts of sentences are not taken for them."""
+    rows, want = [], {}
+    for licence, text in NOTICES.items():
+        forms = [text, *(wrapped(text, w, m) for w, m in ((72, ""), (60, "# "), (76, "// "), (70, " * "), (66, "dnl ")))]
+        for form in (*forms, f"/*\n{forms[4]}\n */\nint main;"):
+            want[len(rows)] = licence
+            rows.append((len(rows), form))
+    other = ["SPDX-License-Identifier: GPL-3.0", "# SPDX-License-Identifier: CC-BY-SA-4.0", "This project is licensed under the\nMIT License", "Released under the MIT License", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"]
+    for text, licence in zip(other, ["GPL-3.0", "CC-BY-SA-4.0", "MIT", "MIT", "GPL-3.0"], strict=True):
+        want[len(rows)] = licence
+        rows.append((len(rows), text))
+    changed = [("MPL-2.0", "v. 2.0", "v. 9.9"), ("Apache-2.0", "Version 2.0", "Version 7.0"), ("GPL-3.0-or-later", "version 3", "version 5"), ("LGPL-2.1-or-later", "2.1", "2.7"), ("MIT", "sublicense, and/or sell", "sublicense"), ("ISC", "with or without fee", "without fee")]
+    for licence, old, new in changed:
+        text = NOTICES[licence].replace(old, new).replace("MIT License", "")
+        want[len(rows)] = "Apache-2.0" if licence == "Apache-2.0" else ""  # its other sentences still make a rule
+        rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.recognise(docs)
+    assert {r.doc_id: r.licences for r in got.collect()} == want
+    same(got, "op5_license_sentences", documents=docs)
+
+
 def test_licences(spark, odd, none):
-    text = "Intro. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the X)\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nReleased under the MIT License."
-    docs = spark.createDataFrame([(1, text), (2, "Licensed under the Apache License,  Version 2.0. Thanks!"), (3, None), (4, ""), (4, ""), (5, "No licence here.")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Intro. Released under the MIT License."), (2, "Licensed under the Apache License,  Version 2.0. Thanks!"), (3, None), (4, ""), (4, ""), (5, "No licence here."), (6, "the\n" * 20_000 + "." * 50_000 + " the " * 20_000)], "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in licenses.recognise(docs).collect()}
-    assert got[2] == ("apache-reference", "Apache-2.0") and got[3] == ("", "")
-    assert "MIT" in got[1][1] and got[5] == ("", "")
-    same(licenses.recognise(docs), "op5_license_sentences", documents=docs)
+    assert got[2] == ("apache-2.0-named-2", "Apache-2.0") and got[3] == ("", "")
+    assert got[1][1] == "MIT" and got[5] == got[6] == ("", "")
+    same(licenses.recognise(docs.where("doc_id < 6")), "op5_license_sentences", documents=docs.where("doc_id < 6"))
     assert licenses.recognise(odd).count() == len(ROWS) and licenses.recognise(none).collect() == []
-    backwards = licenses.recognise(docs, rules=[("X", ["mit-notice", "mit-grant"])])
+    backwards = licenses.recognise(spark.createDataFrame([(1, NOTICES["MIT"])], "doc_id long, text string"), rules=[("X", ["mit-notice", "mit-grant"])])
     assert backwards.where("licences <> ''").count() == 0
+    with pytest.raises(ValueError, match="more than one sentence"):
+        licenses.known({"two": "One. Two"})
 
 
 def test_merkle(spark):

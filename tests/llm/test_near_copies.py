@@ -54,3 +54,19 @@ def test_near_copies_of_the_tables(spark):
     got = near_copies.keep_one(docs, spark)
     assert got.columns == docs.columns
     assert sorted((False, r.doc_id) for r in got.collect()) == brute(rows)
+
+
+def test_large_groups_equal_brute_force(spark):
+    """A group around one text, with copies near and just beyond the bound, and texts made of shared passages."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for k in range(220):
+        copy = base[:]
+        for _ in range(rng.randint(0, 8)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    parts = [" ".join(f"p{rng.randrange(900)}" for _ in range(12)) for _ in range(10)]
+    rows += [(300 + k, " ".join(rng.sample(parts, rng.randint(6, 9)))) for k in range(120)]
+    got = near_copies.keep_one(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, label long, th_ long").drop("th_"), spark).collect()
+    assert sorted((False, r.doc_id) for r in got) == brute(rows)
