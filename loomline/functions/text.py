@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import re
 
 from pyspark.sql import Column
@@ -175,3 +177,14 @@ def resolved(raw: Column, declared: Column) -> Column:
     """Bytes as text: by the declared charset if it is Latin-1, else as UTF-8 where they are valid, else as Latin-1."""
     latin = F.decode(raw, "ISO-8859-1")
     return F.when(F.lower(declared).isin("iso-8859-1", "latin-1"), latin).otherwise(F.coalesce(F.try_validate_utf8(raw.cast("string")), latin))
+
+
+# Letters that stand for a plain letter and a mark, by rule: every code point below 0x250 or in 0x1E00 to 0x1EFF whose
+# decomposition begins with an ASCII letter.
+_MARKED = [(chr(i), d[0]) for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (d := unicodedata.normalize("NFD", chr(i))) != chr(i) and d[0].isascii()]
+
+
+def folded(c: Column) -> Column:
+    """Lower case, letters without their marks, and no marks that stand alone."""
+    plain = F.translate(c, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+    return F.lower(F.regexp_replace(plain, r"\p{M}+", ""))

@@ -28,11 +28,16 @@ def attempts(df: DataFrame, key: str, order: list[str], failed: Column, most: in
     return df.withColumn("attempt", F.row_number().over(w)).withColumn("allowed", (F.col("attempt") <= most) & ~(F.coalesce(bad, F.lit(0)) >= broken_after))
 
 
-def backlog(df: DataFrame, day: str, first: Column, order: list[Column], cost: str, quota: float) -> DataFrame:
-    """Rows of each day, those with `first` before others, while the sum of costs stays within the quota. Days are the
-    unit of work; a busy day's rows are one window."""
-    w = Window.partitionBy(day).orderBy(first.desc(), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= quota)
+def backlog(df: DataFrame, day: str, first: Column, order: str, cost: str, quota: float, block: int = 4096) -> DataFrame:
+    """Rows of each day, those with `first` before others, then by order (a whole number), while the sum of costs stays
+    within the quota. Costs are summed up by blocks of the order first, so that a busy day is no single window."""
+    keys = [day, "late_", "block_"]
+    rows = df.withColumns({"late_": ~F.coalesce(first, F.lit(False)), "block_": F.floor(F.col(order) / block)})
+    prior = Window.partitionBy(day).orderBy("late_", "block_").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(*keys).agg(F.sum(cost).alias("sum_")).withColumn("base_", F.coalesce(F.sum("sum_").over(prior), F.lit(0.0))).drop("sum_")
+    base = base.where(F.col("base_") <= quota)  # costs are not negative: later blocks are over
+    within = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(base, keys).withColumn("used", F.col("base_") + F.sum(cost).over(within)).where(F.col("used") <= quota).drop("late_", "block_", "base_")
 
 
 def ranked_providers(df: DataFrame, group: str, name: str, load: str, capacity: str, slow: str, quality: str, least: float = 0.2) -> DataFrame:

@@ -45,7 +45,8 @@ def token_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     """Pairs whose token sets have Jaccard similarity of `least` or more. tokens: an array of distinct strings.
 
     Prefix filter: a pair that reaches `least` shares one of the first n - ceil(least * n) + 1 tokens of either set, in
-    the order rarest first. Only these are joined; whole sets are compared once for each pair that meets there.
+    the order rarest first. Only these are joined, by fitting sizes and by how many tokens can still follow; whole sets
+    are compared once for each pair that meets there.
     """
     rank = right.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
 
@@ -53,9 +54,11 @@ def token_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str
         flat = df.select(i, F.size(tokens).alias("size"), F.explode(tokens).alias("t")).join(rank, "t", "left")
         w = Window.partitionBy(i).orderBy(F.coalesce("n", F.lit(0)), "t")
         kept = flat.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-        return kept.select(i, "t")
+        return kept.select(i, "t", "size", (F.col("size") - F.col("r")).alias("after"))
 
-    pairs = prefix(left, left_id).join(prefix(right, right_id), "t").select(left_id, right_id).distinct()
+    x, y = prefix(left, left_id), prefix(right, right_id).withColumnsRenamed({"size": "size_", "after": "after_"})
+    fits = (F.least("size", "size_") >= F.greatest("size", "size_") * least - 1e-9) & ((1 + F.least("after", "after_")) * (1 + least) >= (F.col("size") + F.col("size_")) * least - 1e-9)
+    pairs = x.join(y, "t").where(fits).select(left_id, right_id).distinct()
     sets = pairs.join(left.select(left_id, F.col(tokens).alias("a")), left_id).join(right.select(right_id, F.col(tokens).alias("b")), right_id)
     both = F.size(F.array_intersect("a", "b"))
     return sets.select(left_id, right_id, (both / F.greatest(F.size("a") + F.size("b") - both, F.lit(1))).alias("jaccard")).where(F.col("jaccard") >= least)

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline import streaming
 from loomline.operators import joins
+from loomline.plans.registry import registry
 from loomline.sources import feeds, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("""WITH r AS (SELECT user_id, event_id, CASE WHEN event_id % 9 <> 0 THEN date_trunc('second', ts) END AS published FROM events), c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY published DESC NULLS LAST, 'https://x.org/' || event_id) AS r FROM r WHERE published IS NULL OR published >= TIMESTAMP '2024-01-10')
@@ -103,8 +95,15 @@ def preferred_order(spark: SparkSession, d: str) -> DataFrame:
     """Places within each source: listed languages first in the order given, others by name, then by length."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(F.lit("en"), F.lit("es")), F.col("lang")), F.lit(0)), F.lit(3))
     rest = F.when(F.col("lang").isin("en", "es"), "").otherwise(F.col("lang"))
-    w = Window.partitionBy("source").orderBy(rank, rest, F.desc_nulls_last("n_chars"), "doc_id")
-    return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).alias("place"))
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars", rank.alias("rank"), rest.alias("rest"), F.floor(F.col("n_chars") / 64).alias("size"))
+    # Counted by size first, so that a large source is no single window.
+    keys = ["source", "rank", "rest", "size"]
+    prior = Window.partitionBy("source").orderBy("rank", "rest", F.desc_nulls_last("size")).rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(prior), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("n_chars"), "doc_id"))
+    ranked = rows.withColumn("place", place)
+    same = reduce(lambda a, b: a & b, (ranked[c].eqNullSafe(base[c]) for c in keys))
+    return ranked.join(base, same).select("doc_id", ranked["source"], (F.col("place") + F.col("base")).alias("place"))
 
 
 @query("SELECT user_id, event_type, least(count(*), 8) AS passed, count(*) AS seen FROM events GROUP BY ALL")

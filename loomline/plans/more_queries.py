@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from loomline import streaming
 from loomline.functions import text, times
 from loomline.operators import series
+from loomline.plans.registry import registry
 from loomline.sources import feeds, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("SELECT page_id, url FROM pages WHERE url IS NOT NULL")
@@ -85,13 +75,14 @@ def stale_feeds(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(now)).where("last < now - INTERVAL 5 DAYS").drop("now")
 
 
-@query("""WITH d AS (SELECT CAST(x AS DATE) AS day FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(x) WHERE isodow(x) < 6), u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT * FROM d, u)
+@query("""WITH d AS (SELECT day FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events) WHERE isodow(day) < 6), u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT * FROM d, u)
 SELECT day, user_id FROM g WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = g.user_id AND CAST(e.ts AS DATE) = g.day)""")
 def missed_captures(spark: SparkSession, d: str) -> DataFrame:
     """Business days on which a user has no event at all."""
     rows = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
-    days = F.filter(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")), lambda x: F.weekday(x) < 5)
-    grid = rows.select("user_id").distinct().select("user_id", F.explode(days).alias("day"))
+    span = F.broadcast(rows.agg(F.min("day").alias("a"), F.max("day").alias("b")))  # one row
+    days = F.filter(F.sequence("a", "b"), lambda x: F.weekday(x) < 5)
+    grid = rows.select("user_id").distinct().crossJoin(span).select("user_id", F.explode(days).alias("day"))
     return grid.join(rows, ["user_id", "day"], "left_anti").select("day", "user_id")
 
 

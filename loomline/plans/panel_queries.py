@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from loomline.functions import times
 from loomline.operators import aggregates, budgets, repair
+from loomline.plans.registry import registry
 from loomline.plans.series_queries import WEIGHTS
 from loomline.sources import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 _DAILY = """s AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) AS v, count(*) = 1 AS phantom FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
@@ -88,7 +78,7 @@ def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
 def daily_backlog(spark: SparkSession, d: str) -> DataFrame:
     """Work of each day within its quota, purchases first."""
     rows = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    return budgets.backlog(rows, "day", F.col("event_type") == "purchase", [F.col("event_id")], "value", 400.0).select("event_id", F.round("used", 2).alias("used"))
+    return budgets.backlog(rows, "day", F.col("event_type") == "purchase", "event_id", "value", 400.0).select("event_id", F.round("used", 2).alias("used"))
 
 
 @query("""WITH l AS (SELECT l_suppkey, count(*) AS load, sum(l_quantity) AS q FROM lineitem GROUP BY 1), h AS (SELECT s_nationkey, s_suppkey, s_acctbal < 3000 AS slow, s_acctbal, 1 - load / 700 AS headroom FROM supplier JOIN l ON s_suppkey = l_suppkey),

@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from loomline.functions import conditions, text
 from loomline.operators import classify
+from loomline.plans.registry import registry
 from loomline.plans.text_queries import BLOCKED, SECTORS, TOPICS, _count, _words, title
 from loomline.sources import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("SELECT doc_id, text AS repaired FROM documents")

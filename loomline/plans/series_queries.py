@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import numbers, times
 from loomline.operators import aggregates, joins, series
+from loomline.plans.registry import registry
 from loomline.sources import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def takes(spark: SparkSession, d: str) -> DataFrame:
@@ -30,21 +20,17 @@ def takes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "ts", "user_id", "value", take.alias("take"), desk.alias("desk"))
 
 
-def business_days(spark: SparkSession, first: str, last: str) -> DataFrame:
-    days = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS day")
-    return days.where(F.weekday("day") < 5)
-
-
-def cuts(spark: SparkSession) -> DataFrame:
-    """(day, cut, start, end): from 17:00 local of the business day before to the cut of the day, in UTC."""
-    hours = spark.sql("SELECT cut FROM VALUES (9), (17) AS c(cut)")
-    grid = business_days(spark, "2024-01-03", "2024-01-30").crossJoin(hours)
+def cuts(spark: SparkSession, d: str) -> DataFrame:
+    """(day, cut, start, end): from 17:00 local of the business day before to the cut of the day, in UTC; days of the events."""
+    span = table(spark, d, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))  # one row
+    days = span.select(F.explode(F.sequence("a", "b")).alias("day")).where(F.weekday("day") < 5)
+    grid = days.select("day", F.explode(F.array(F.lit(9), F.lit(17))).alias("cut"))
     at = lambda d, h: times.to_utc(d.cast("timestamp") + F.make_interval(hours=h))
     return grid.select("day", "cut", at(times.previous_business_day(F.col("day")), F.lit(17)).alias("start"), at(F.col("day"), F.col("cut")).alias("end"))
 
 
 CUTS = """
-days AS (SELECT CAST(d AS DATE) AS day FROM range(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6),
+days AS (SELECT day FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events) WHERE isodow(day) < 6),
 cuts AS (SELECT day, cut, (day - CASE WHEN isodow(day) = 1 THEN 3 ELSE 1 END)::TIMESTAMP + INTERVAL 20 HOUR AS s, day::TIMESTAMP + INTERVAL 3 HOUR + cut * INTERVAL 1 HOUR AS e FROM days, (VALUES (9), (17)) c(cut))"""
 TAKES = """
 takes AS (SELECT event_id, ts, user_id, value, CASE event_type WHEN 'purchase' THEN '+' WHEN 'error' THEN '-' WHEN 'view' THEN '=' WHEN 'click' THEN '' END AS take,
@@ -60,9 +46,9 @@ SELECT *, CASE WHEN up + down + neutral >= 20 THEN CAST(round_even(50 + (up - do
 def gauge_by_session(spark: SparkSession, d: str) -> DataFrame:
     """Takes counted per session, cut and desk, and their gauge. Sessions without a take have rows of zeros."""
     desks = F.explode(F.array_compact(F.array(F.lit("all"), F.col("desk")))).alias("desk")
-    hit = joins.in_range(takes(spark, d), cuts(spark), "ts", "start", "end", 86_400)
+    hit = joins.in_range(takes(spark, d), cuts(spark, d), "ts", "start", "end", 86_400)
     counts = hit.select("day", "cut", "take", desks).groupBy("day", "cut", "desk").agg(F.count("*").alias("n_items"), *aggregates.take_counts(F.col("take")))
-    grid = cuts(spark).select("day", "cut").crossJoin(spark.sql("SELECT desk FROM VALUES ('all'), ('sm'), ('pp') AS g(desk)"))
+    grid = cuts(spark, d).select("day", "cut").crossJoin(spark.sql("SELECT desk FROM VALUES ('all'), ('sm'), ('pp') AS g(desk)"))
     out = grid.join(counts, ["day", "cut", "desk"], "left").fillna(0)
     scored = F.col("up") + F.col("down") + F.col("neutral")
     return out.withColumn("gauge", aggregates.gauge(F.col("up"), F.col("down"), scored, 20))
@@ -71,7 +57,7 @@ def gauge_by_session(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CUTS} SELECT day, cut, event_id FROM cuts JOIN events ON ts >= s AND ts < e")
 def range_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Each event with every (session, cut) whose window holds it."""
-    return joins.in_range(table(spark, d, "events").select("event_id", "ts"), cuts(spark), "ts", "start", "end", 86_400).select("day", "cut", "event_id")
+    return joins.in_range(table(spark, d, "events").select("event_id", "ts"), cuts(spark, d), "ts", "start", "end", 86_400).select("day", "cut", "event_id")
 
 
 def _purchases(spark: SparkSession, d: str) -> DataFrame:

@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import times
 from loomline.operators import joins, stores
+from loomline.plans.registry import registry
 from loomline.sources import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 OLD = "old AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 3 <> 0)"

@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import numbers, text
 from loomline.operators import aggregates, classify, html, joins, series
+from loomline.plans.registry import registry
 from loomline.sources import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 # Rule tables for the driver's invented texts; any others may be passed to the operators.
@@ -98,11 +88,11 @@ _TOKENS = "list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(l
 
 @query(f"""WITH a AS (SELECT doc_id, {_TOKENS} AS a FROM documents), b AS (SELECT item_id, {_TOKENS} AS b FROM benchmark),
 j AS (SELECT doc_id, item_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM a, b)
-SELECT doc_id, item_id, round(i / greatest(n - i, 1), 6) AS jaccard FROM j WHERE i / greatest(n - i, 1) >= 0.1""")
+SELECT doc_id, item_id, round(i / greatest(n - i, 1), 6) AS jaccard FROM j WHERE i / greatest(n - i, 1) >= 0.3""")
 def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Documents and benchmark items whose token sets are alike."""
     sets = lambda name, i: table(spark, d, name).select(i, text.tokens(F.col("text"), STOP).alias("tokens"))
-    return joins.token_jaccard(sets("documents", "doc_id"), sets("benchmark", "item_id"), "doc_id", "item_id", "tokens", 0.1).withColumn("jaccard", F.round("jaccard", 6))
+    return joins.token_jaccard(sets("documents", "doc_id"), sets("benchmark", "item_id"), "doc_id", "item_id", "tokens", 0.3).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY md5(lower(trim(text))) ORDER BY lang IS NULL, length(text) DESC, doc_id) AS r FROM documents) WHERE r = 1")
@@ -189,7 +179,8 @@ def price_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Gold labels against a plain rule."""
     pred = F.when(F.col("text").rlike(r"!!|\*\*\*|\$\$\$|%%%| \| "), 0).otherwise(1)
-    return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy(F.col("quality").alias("gold"), pred.alias("pred")).agg(F.count("*").alias("n"))
+    ruled = table(spark, d, "documents").select("doc_id", pred.alias("pred"))  # below the join, so that no text is shuffled
+    return table(spark, d, "labels").join(ruled, "doc_id").groupBy(F.col("quality").alias("gold"), "pred").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r <= 3")

@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text
 from loomline.operators import aggregates, series, views
+from loomline.plans.registry import registry
 from loomline.sources import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("""WITH s AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS top FROM events WHERE ts < TIMESTAMP '2024-01-29' GROUP BY ALL), p AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS top FROM events GROUP BY ALL)
@@ -208,11 +198,12 @@ def missing_days(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN b.text IS NOT NULL THEN 'pasted' WHEN p.html IS NOT NULL THEN 'cached' ELSE 'live' END AS origin, length(coalesce(b.text, p.html, d.text)) AS n FROM documents d LEFT JOIN benchmark b ON b.item_id = doc_id LEFT JOIN pages p ON p.page_id = doc_id""")
 def body_precedence(spark: SparkSession, d: str) -> DataFrame:
     """The body of each document: a pasted one, else the cached one, else its own."""
-    pasted = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("pasted"))
-    cached = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("cached"))
-    rows = table(spark, d, "documents").select("doc_id", "text").join(pasted, "doc_id", "left").join(cached, "doc_id", "left")
-    origin = F.when(F.col("pasted").isNotNull(), "pasted").when(F.col("cached").isNotNull(), "cached").otherwise("live")
-    return rows.select("doc_id", origin.alias("origin"), F.length(F.coalesce("pasted", "cached", "text")).cast("long").alias("n"))
+    size = lambda name, key, text: table(spark, d, name).select(F.col(key).alias("doc_id"), F.length(text).cast("long").alias(name))
+    rows = size("documents", "doc_id", "text")  # lengths are taken before the joins, so that no text is shuffled
+    for name, key, text in (("benchmark", "item_id", "text"), ("pages", "page_id", "html")):
+        rows = rows.join(size(name, key, text), "doc_id", "left")
+    origin = F.when(F.col("benchmark").isNotNull(), "pasted").when(F.col("pages").isNotNull(), "cached").otherwise("live")
+    return rows.select("doc_id", origin.alias("origin"), F.coalesce("benchmark", "pages", "documents").alias("n"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN s_acctbal / 1000 WHEN s_nationkey < 10 THEN s_acctbal / 500 WHEN s_nationkey < 15 THEN s_acctbal / nullif(round((s_nationkey + s_suppkey) / 5.0), 0) END AS ratio FROM supplier""")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder in the one that the cluster shares. Only a local master may do without: it gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -52,11 +57,6 @@ def first_of(stream: DataFrame, ts: str, late: str, keys: list[str]) -> DataFram
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def merged(old: DataFrame, batch: DataFrame, key: str, stamp: str, merge: Callable[[DataFrame, DataFrame, str, str], DataFrame]) -> DataFrame:
-    """A stored table after a micro-batch; for foreachBatch."""
-    return merge(old, batch, key, stamp)
-
-
 def limited(stream: DataFrame, keys: list[str], most: int) -> DataFrame:
     """keys, passed and seen after each micro-batch: at most `most` rows of a key pass, over the whole stream. The state of
     a key is two counts; rows come in chunks and are never held."""
