@@ -23,9 +23,9 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def events(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stream of the files at path (a glob), with ts as a timestamp."""
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, path: str, schema, files: int = 1000) -> DataFrame:
+    """A stream of the files at path (a glob), with ts as a timestamp; `files` of them in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, spark: SparkSession, keys: list[str], order: str) -> DataFrame:
