@@ -6,9 +6,11 @@ for each true one. So candidates are SimHash links (three bits, over the anchors
 of BANDS keys of ROWS MinHashes each; a pair at 0.8 shares a key with probability 0.99997. Each candidate is then
 checked on the whole sets.
 
-Texts of the same set are folded into one class first. In a bucket each class is checked against the bucket's first and
-last class; what these links leave in different components is then checked pair by pair, so a large group of near
-copies costs links in proportion to its size, and no pair of a bucket that could still join two components is left out.
+Texts of the same set are folded into one class first. In a bucket each class is checked against PIVOTS of its classes
+only, so that a large group of near copies costs links in proportion to its size. Classes of buckets that these links
+leave in several components are then joined by prefix filter: their shingles are put in one order, those of fewest
+classes first, and two sets at SIMILARITY must share one among the first fifth of each; only pairs of different
+components, of fitting sizes and places, are made. No pair that could still join two components is left out.
 
 Defined results: texts without words are one class; of each component one row stays, that of the smallest (doc_id, text
 hash), rows with a null doc_id last; repeated rows give one row; all columns are kept.
@@ -16,22 +18,25 @@ hash), rows with a null doc_id last; repeated rows give one row; all columns are
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import stash
+from .common import discard, once, stash
 from .simhash import LOWER, SEED, components, links, majority
 
 WORDS = 5
 #: As a fraction, so that the check is in whole numbers.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 20, 4
+#: Orders of classes; the first class of a bucket in each is one of its pivots.
+PIVOTS = 3
 #: Shingles whose MinHashes are taken at once.
 BLOCK = 2048
 
@@ -75,6 +80,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("class long, fp long, keys array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
+        once("near_copies")
         rows = []
         for t in texts:
             h = shingles(t)
@@ -109,34 +115,61 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.distinct().join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
+def apart(sets: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with different labels (class, label) that may still be near copies, by prefix filter.
+
+    The order is by the number of classes, then the shingle. Those of one class come first and are only counted.
+    """
+    up, down = SIMILARITY
+    rows = sets.join(label, "class").select("class", "label", F.size("shingles").alias("m"), F.explode("shingles").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("label").alias("home"), F.max("label").alias("last")).where("classes > 1")
+    rows = rows.join(shared, "token")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("classes", "token")) - F.count("*").over(Window.partitionBy("class")) + F.col("m")
+    rows = rows.withColumn("j", place).where((F.col("j") <= F.col("m") - F.expr(f"(m * {up} + {down - 1}) div {down}") + 1) & (F.col("home") < F.col("last")))
+    x = rows.where("label <> home").select("token", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("m").alias("mx"), F.col("j").alias("jx"))
+    y = rows.select("token", F.col("class").alias("y"), F.col("label").alias("ly"), F.col("m").alias("my"), F.col("j").alias("jy"))
+    fits = (F.least("mx", "my") * down >= F.greatest("mx", "my") * up) & ((1 + F.least(F.col("mx") - F.col("jx"), F.col("my") - F.col("jy"))) * (up + down) >= (F.col("mx") + F.col("my")) * up)
+    return x.join(y, "token").where((F.col("lx") != F.col("ly")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """One document of each component of near copies."""
-    rows, _ = stash(sketched(docs), spark)
+    used: list[str] = []
+
+    def held(df: DataFrame) -> DataFrame:
+        out, path = stash(df, spark)
+        used.append(path)
+        return out
+
+    rows = held(sketched(docs))
     first = rows.groupBy("class").agg(F.min("th").alias("th"))
     sketches = rows.select("class", "th", "fp", "keys").distinct().join(first, ["class", "th"]).select("class", F.concat("keys", F.array("fp")).alias("keys"), "fp")
     keyed = sketches.select("class", "fp", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    crowded, _ = stash(keyed.join(ends, "key").select("key", "class", "low", "high"), spark)
+    order = lambda k: F.xxhash64("class", F.lit(k))
+    ends = keyed.groupBy("key").agg(*[F.min_by("class", order(k)).alias(f"p{k}") for k in range(PIVOTS)], F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    crowded = held(keyed.join(ends, "key").select("key", "class", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots")))
     by_fp = sketches.groupBy("fp").agg(F.min("class").alias("class"))
     alike = links(by_fp.select("fp"))
     alike = alike.join(by_fp.select(F.col("fp").alias("a"), F.col("class").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("class").alias("y")), "b").select("x", "y")
-    ordered = lambda d: d.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    stars = ordered(alike.union(crowded.selectExpr("class", "low")).union(crowded.selectExpr("class", "high")))
-    stars, _ = stash(stars.distinct(), spark)
+    both = alike.union(crowded.select("class", F.explode("pivots")))
+    stars = held(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     wanted = crowded.select("class").union(stars.select("a")).union(stars.select("b")).distinct()
-    sets, _ = stash(shingle_sets(docs, first.join(wanted, "class")), spark)
-    edges, _ = stash(checked(stars, sets), spark)
+    sets = held(shingle_sets(docs, first.join(wanted, "class")))
+    edges = held(checked(stars, sets))
     label = components(edges, spark)
-    # What is still apart in a bucket, pair by pair.
-    apart = crowded.select("key", "class").join(label, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-    split = apart.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-    apart = apart.join(split, "key", "left_semi")
-    x, y = (apart.select("key", F.col("class").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
-    rest = x.join(y, "key").where("x < y AND lx <> ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more, _ = stash(checked(rest.join(stars, ["a", "b"], "left_anti"), sets), spark)
+    # Classes of buckets that are still in several components.
+    named = crowded.select("key", "class").join(label, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    split = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
+    open_ = held(named.join(split, "key", "left_semi").select("class", "label").distinct())
+    more = held(checked(apart(sets, open_).join(stars, ["a", "b"], "left_anti"), sets))
     label = components(edges.union(more), spark)
     tied = rows.select("doc_id", "th", "class").join(label, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
-    kept = tied.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th"))
-    whole = docs.withColumn("th_", text_hash())
-    whole = whole.join(kept, whole.doc_id.eqNullSafe(kept.kept_id) & (whole.th_ == kept.kept_th), "left_semi")
-    return whole.dropDuplicates(["doc_id", "th_"]).select(*docs.columns)
+    none = F.col("doc_id").isNull()
+    key = [f"{c}_{uuid.uuid4().hex}" for c in ("none", "id", "th")]  # names that no column of docs has
+    least = tied.groupBy("label").agg(F.min(F.struct(none.alias(key[0]), F.coalesce("doc_id", F.lit(0)).alias(key[1]), F.col("th").alias(key[2]))).alias("k"))
+    kept, _ = stash(least.select("k.*"), spark)
+    for path in used:
+        discard(spark, path)
+    # One shuffle: the copies of a kept row are then together.
+    whole = docs.withColumns(dict(zip(key, (none, F.coalesce("doc_id", F.lit(0)), text_hash()), strict=True)))
+    return whole.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
