@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -27,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 #: Pieces that a worker remembers. When there are as many, they become the old generation; those of it in use come back.
 CACHE = 250_000
 #: Pairs that a worker remembers; beyond that it forgets all and starts anew.
@@ -152,12 +153,15 @@ class BytePairCodec:
         return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> BytePairCodec:
     """Read once by each Python worker from the installed vocabulary."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(t): int(i) for t, i in (line.split() for line in lines if line.strip())}
-    return BytePairCodec(ranks, pattern)
+
+    def read() -> BytePairCodec:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(t): int(i) for t, i in (line.split() for line in lines if line.strip())}
+        return BytePairCodec(ranks, pattern)
+
+    return once("bpe", (path, pattern), read)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +90,22 @@ def chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]
         held += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Of this Python worker: what its operators keep over tasks (key, value, task of the last use), tasks so far and the last one.
+_kept: dict[str, list] = {}
+_tasks: list = [0, None]
+
+
+def once(name: str, key: Hashable = None, make: Callable[[], object] = lambda: None):
+    """What an operator makes once in a worker and uses over tasks. What no task has used lately is dropped."""
+    task = TaskContext.get()
+    if (now := task.taskAttemptId() if task else -1) != _tasks[1]:
+        _tasks[:] = _tasks[0] + 1, now
+        for old in [n for n, held in _kept.items() if held[2] < _tasks[0] - 2]:
+            del _kept[old]
+    if name not in _kept or _kept[name][0] != key:
+        _kept.pop(name, None)
+        _kept[name] = [key, make(), 0]
+    _kept[name][2] = _tasks[0]
+    return _kept[name][1]

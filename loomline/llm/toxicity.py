@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import in_fold, labelled_sample
+from .common import in_fold, labelled_sample, once
 
 FOLDS, HELD_OUT = 4, 2
 #: Most labelled rows that the lexicon and the model are fitted on.
@@ -247,16 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, base: tuple[str, ...] = BASE, boun
     return fit(list(rows["text"]), [int(v) for v in rows["y"]], base)
 
 
-_made: dict[tuple, Automaton] = {}
-
-
 def automaton_of(model: Model) -> Automaton:
     """One per worker and lexicon, so that its states and known words last over tasks."""
-    key = tuple(model.terms.items())
-    if key not in _made:
-        _made.clear()
-        _made[key] = Automaton(model.terms)
-    return _made[key]
+    return once("toxicity", tuple(model.terms.items()), lambda: Automaton(model.terms))
 
 
 def scorer(model: Model):
