@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,19 +55,26 @@ def nearest(text: str | None, topics: list[tuple[str, str]], ups: list[str], dow
     """topic: 1 or -1, by the direction word nearest to it within `reach` characters of its clause. The first clause that
     settles a topic wins, ups win over downs at equal distance, a negator up to `back` characters before turns it."""
     out: dict[str, int] = {}
+    rising, signs = set(ups), dict.fromkeys(downs, -1) | dict.fromkeys(ups, 1)
     for clause in re.split(r"[.;!?\n]+", (text or "").lower()):
         words = [(m.start(), m[0]) for m in re.finditer(r"\w+", clause)]
-        marks = []
-        for order, (sign, listed) in enumerate(((1, set(ups)), (-1, set(downs)))):
-            for at, w in words:
-                if w in listed:
-                    turned = any(n in negators and at - back <= p < at for p, n in words)
-                    marks.append((at, order, -sign if turned else sign))
-        for name, pattern in topics:
-            if name in out or not marks:
+        turns = [at for at, w in words if w in negators]
+        places, marks = [], []
+        for at, w in words:
+            if w in signs:
+                k = bisect_left(turns, at)
+                turned = k > 0 and turns[k - 1] >= at - back
+                places.append(at)
+                marks.append((w not in rising, at, -signs[w] if turned else signs[w]))
+        for name, pattern in topics if marks else ():
+            if name in out:
                 continue
-            found = [(abs(at - m.start()), order, at, sign) for m in re.finditer(pattern, clause) for at, order, sign in marks]
-            best = min(found, default=None)
+            best = None
+            for m in re.finditer(pattern, clause):
+                k = bisect_left(places, m.start())
+                for j in (k - 1, k):
+                    if 0 <= j < len(marks) and (best is None or (abs(places[j] - m.start()), *marks[j]) < best):
+                        best = (abs(places[j] - m.start()), *marks[j])
             if best and best[0] <= reach:
                 out[name] = best[3]
     return out

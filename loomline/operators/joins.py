@@ -46,8 +46,11 @@ def token_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
     Prefix filter: a pair that reaches `least` shares one of the first n - ceil(least * n) + 1 tokens of either set, in
     the order rarest first. Only these are joined, by fitting sizes and by how many tokens can still follow; whole sets
-    are compared once for each pair that meets there.
+    are compared once for each pair that meets there. Sets whose size no set of the other side fits go before that.
     """
+    bounds = F.broadcast(right.agg(F.min(F.size(tokens)).alias("low_"), F.max(F.size(tokens)).alias("high_")))  # one row
+    fitting = (F.size(tokens) >= F.col("low_") * least - 1e-9) & (F.size(tokens) * least <= F.col("high_") + 1e-9)
+    left = left.crossJoin(bounds).where(fitting).drop("low_", "high_")
     rank = right.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, i: str) -> DataFrame:

@@ -7,6 +7,7 @@ Python is the nearest direction word, in Arrow batches.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -55,15 +56,19 @@ def signals(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
 
     low = F.lower(F.coalesce(text, F.lit("")))
     kept = F.array_join(T.kept_clauses(low, v.causal, v.contrast), "\n")
-    out = df.withColumns({"low_": low, "kept_": kept})
-    out = out.withColumns({"near_": near("kept_"), "words_": F.array_distinct(F.regexp_extract_all("kept_", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))})
+    split = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    out = df.withColumns({"low_": low, "kept_": kept}).withColumns({"near_": near("kept_"), "all_": split("low_"), "words_": F.array_distinct(split("kept_"))})
+    out = out.withColumn("set_", F.array_distinct("all_"))
+    # Plain words are looked up among the text's own; only patterns are searched for.
+    inside = lambda listed: F.arrays_overlap("set_", F.array(*map(F.lit, listed))) if all(re.fullmatch(r"\w+", w) for w in listed) else F.col("low_").rlike(word(listed))
     many = lambda listed: F.size(F.array_intersect("words_", F.array(*map(F.lit, listed))))
-    has = {f"has_{n}": F.col("low_").rlike(word(listed)) for n, listed in v.topics.items()}
+    has = {f"has_{n}": inside(listed) for n, listed in v.topics.items()}
     way = F.signum(many(v.ups) - many(v.downs)).cast("int")
     towards = {f"d_{n}": F.when(~F.arrays_overlap("words_", F.array(*map(F.lit, listed))), 0).otherwise(F.coalesce(F.nullif(F.try_element_at("near_", F.lit(n)), F.lit(0)), way)) for n, listed in v.topics.items()}
-    found = F.array_compact(F.array(*[F.when(F.col("low_").rlike(word([c])), F.lit(c)) for c in v.companies])) if v.companies else F.array().cast("array<string>")
-    regions = {n: F.size(F.regexp_extract_all("low_", F.lit(word(listed)), F.lit(0))) for n, listed in v.regions.items()}
-    flags = {n: F.col("low_").rlike(word(listed)) for n, listed in v.flags.items()}
+    found = F.array_compact(F.array(*[F.when(inside([c]), F.lit(c)) for c in v.companies])) if v.companies else F.array().cast("array<string>")
+    times = lambda listed: F.size(F.filter("all_", lambda w: w.isin(listed)))
+    regions = {n: times(listed) for n, listed in v.regions.items()}
+    flags = {n: inside(listed) for n, listed in v.flags.items()}
     labels = F.array_compact(F.array(*[F.when(c, F.lit(n.removeprefix("has_"))) for n, c in has.items()]))
     out = out.withColumns(has | towards | flags | {"topics": labels, "covered": found, "region": first_of_most(regions, "unknown") if regions else F.lit("unknown")})
     votes = {
@@ -71,7 +76,7 @@ def signals(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
         for n, (w, topics_, c, names) in v.sectors.items()
     }
     sector = first_of_most(votes, "unknown") if votes else F.lit("unknown")
-    return out.withColumn("sector", F.when((sector == "unknown") & (F.size("covered") > 0), "company").otherwise(sector)).drop("low_", "kept_", "near_", "words_")
+    return out.withColumn("sector", F.when((sector == "unknown") & (F.size("covered") > 0), "company").otherwise(sector)).drop("low_", "kept_", "near_", "words_", "all_", "set_")
 
 
 Rule = tuple[str, str, int, float]
