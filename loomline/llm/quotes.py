@@ -78,8 +78,7 @@ def split_up(messages: DataFrame) -> DataFrame:
 def _latest(asked: DataFrame, held: DataFrame) -> DataFrame:
     """asked (conv, turn, h, ...) with target: the greatest turn below its own at which held (conv, turn, h) has h."""
     keyed = lambda d: d.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    asked = keyed(asked)
-    held = keyed(held.join(asked.select("conv", "h").distinct(), ["conv", "h"], "left_semi"))
+    asked, held = keyed(asked), keyed(held)
     before = Window.partitionBy("conv", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     points = asked.select("conv", "h", "block").distinct().withColumn("m", F.lit(None).cast("long"))
     maxima = held.groupBy("conv", "h", "block").agg(F.max("turn").alias("m")).unionByName(points).groupBy("conv", "h", "block").agg(F.max("m").alias("m"))
@@ -99,12 +98,14 @@ def links(messages: DataFrame, spark: SparkSession) -> DataFrame:
     parts = quoted.select("conv", "turn", "at", "level", F.lit(0).alias("whole"), F.explode(F.array_distinct(F.transform(F.split("text", SENTENCES), hashed))).alias("h"))
     asked, path = stash(whole.union(parts).where("h IS NOT NULL").distinct(), spark)
     unit = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", r"\n"), F.split("own", SENTENCES)))
-    held = keyed.where("own <> ''").select("conv", "turn", F.explode(F.array_distinct(F.transform(unit, hashed))).alias("h")).where("h IS NOT NULL").distinct()
+    units = keyed.where("own <> ''").select("conv", "turn", F.explode(F.array_distinct(F.transform(unit, hashed))).alias("h")).where("h IS NOT NULL")
+    held, other = stash(units.join(asked.select("conv", "h").distinct(), ["conv", "h"], "left_semi").distinct(), spark)  # read twice
     found = _latest(asked, held).where("target IS NOT NULL")
     votes = found.groupBy("conv", "turn", "at", "level", "whole", "target").agg(F.count("*").alias("n"))
     passage = votes.groupBy("conv", "turn", "at", "level").agg(F.max(F.struct("whole", "n", "target")).alias("best"))
     linked, _ = stash(passage.groupBy("conv", "turn").agg(F.count("*").alias("linked"), F.max_by("best.target", F.struct(-F.col("level"), "at")).alias("reply_to")), spark)
-    discard(spark, path)
+    for p in (path, other):
+        discard(spark, p)
     return linked
 
 
