@@ -5,7 +5,9 @@ bytes make a leaf; FANOUT neighbouring ranges make the range above, up to one ro
 children's numbers and digests in order. Ranges are of offsets, not counts, so a lost record changes the nodes above
 it only. Replicas are compared from the roots; a level is looked at only below nodes that differ.
 
-The manifests (no payloads) and trees are tables in the shared folder; a level reads just its nodes.
+Payloads are hashed where they are read; only manifests (no payloads) are shuffled. Manifests and the levels of trees
+are tables in the shared folder, each level made of the one below; a level's comparison reads just its nodes. Records of
+a leaf are hashed in groups by their own digests first, so that any number of them at one offset is no one task's list.
 
 Defined results: a null payload is an empty one; repeated records count once; a record with a null archive, offset or
 record_id is compared like any other value; an empty replica lacks everything; extra columns are ignored.
@@ -13,7 +15,7 @@ record_id is compared like any other value; an empty replica lacks everything; e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -22,23 +24,28 @@ SPAN, FANOUT = 65_536, 16
 KEY = ("archive", "rec_offset", "record_id")
 
 
+def digest_of(payload: Column) -> Column:
+    body = F.coalesce(payload, F.lit(""))
+    return F.sha2(F.concat_ws(":", F.octet_length(body).cast("string"), body), 256)
+
+
 def manifest(records: DataFrame) -> DataFrame:
-    """archive, rec_offset, record_id and digest of records (archive, rec_offset, record_id, payload)."""
-    body = F.coalesce(F.col("payload"), F.lit(""))
-    digest = F.sha2(F.concat_ws(":", F.octet_length(body).cast("string"), body), 256)
+    """archive, rec_offset, record_id and digest of records (archive, rec_offset, record_id, and payload or its digest)."""
+    digest = F.col("digest") if "payload" not in records.columns else digest_of(F.col("payload"))
     return records.select(*KEY, digest.alias("digest")).groupBy(*KEY, "digest").agg(F.count("*").alias("n")).drop("n")
 
 
-def tree(found: DataFrame, top: int) -> DataFrame:
-    """level, archive, node, digest. A leaf holds the records of SPAN bytes, a node FANOUT nodes: both are bounded."""
+def tree(found: DataFrame, top: int, spark: SparkSession) -> list[DataFrame]:
+    """archive, node, digest of each level. A leaf holds the records of SPAN bytes, a node FANOUT nodes."""
     row = F.concat_ws(":", F.col("rec_offset").cast("string"), F.col("record_id").cast("string"), "digest")
     digest = lambda c: F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(c))), 256).alias("digest")
-    level = found.groupBy("archive", F.coalesce(F.floor(F.col("rec_offset") / SPAN), F.lit(0)).alias("node")).agg(digest(row))
-    out = level.select(F.lit(0).alias("level"), "archive", "node", "digest")
-    for k in range(1, top + 1):
+    rows = found.select("archive", F.coalesce(F.floor(F.col("rec_offset") / SPAN), F.lit(0)).alias("node"), row.alias("row")).withColumn("part", F.substring(F.md5("row"), 1, 4))
+    level, _ = stash(rows.groupBy("archive", "node", "part").agg(digest("row")).groupBy("archive", "node").agg(digest(F.concat_ws(":", "part", "digest"))), spark)
+    out = [level]
+    for _ in range(top):
         child = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 20, "0"), "digest")
-        level = level.groupBy("archive", F.floor(F.col("node") / FANOUT).alias("node")).agg(digest(child))
-        out = out.union(level.select(F.lit(k).alias("level"), "archive", "node", "digest"))
+        level, _ = stash(level.groupBy("archive", F.floor(F.col("node") / FANOUT).alias("node")).agg(digest(child)), spark)
+        out.append(level)
     return out
 
 
@@ -57,12 +64,12 @@ def audit(a: DataFrame, b: DataFrame, spark: SparkSession) -> DataFrame:
     top = 0
     while last:
         last, top = last // FANOUT, top + 1
-    trees = [stash(tree(m, top), spark)[0] for m in sides]
-    bad = differing(*(t.where(f"level = {top}") for t in trees), ["archive", "node"]).select("archive", "node")
+    trees = [tree(m, top, spark) for m in sides]
+    bad = differing(*(t[top] for t in trees), ["archive", "node"]).select("archive", "node")
     for k in range(top - 1, -1, -1):
         above = bad.select(F.col("archive").alias("up"), F.col("node").alias("over"))
         bad, _ = stash(
-            differing(*(t.where(f"level = {k}").join(above, F.col("archive").eqNullSafe(F.col("up")) & (F.floor(F.col("node") / FANOUT) == F.col("over")), "left_semi") for t in trees), ["archive", "node"]).select("archive", "node"),
+            differing(*(t[k].join(above, F.col("archive").eqNullSafe(F.col("up")) & (F.floor(F.col("node") / FANOUT) == F.col("over")), "left_semi") for t in trees), ["archive", "node"]).select("archive", "node"),
             spark,
         )
     below = bad.select(F.col("archive").alias("up"), F.col("node").alias("over"))
@@ -72,28 +79,30 @@ def audit(a: DataFrame, b: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def page_records(pages: DataFrame, per_archive: int = 512) -> DataFrame:
-    """Pages as records of archives: page_id divided by per_archive, offsets by running length in page_id order.
+    """Pages as records of archives, hashed: page_id divided by per_archive, offsets by running length in page_id order.
 
-    An archive holds per_archive ids, so its window is bounded; pages without an id are dealt out by url.
+    An archive holds per_archive ids, so its window is bounded; pages without an id are dealt out by url. worn: the digest
+    in a replica with damage that follows from record ids (a byte turned, an end cut off); lost: a record it lacks.
     """
     archive = F.coalesce(F.floor(F.col("page_id") / per_archive), -1 - F.pmod(F.xxhash64("url"), F.lit(1 << 20)))
     size = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit(""))) + 200
-    before = Window.partitionBy("archive").orderBy("page_id", "url", "payload").rowsBetween(Window.unboundedPreceding, -1)
-    rows = pages.select(archive.alias("archive"), "page_id", "url", F.col("html").alias("payload"), size.cast("long").alias("size"))
-    return rows.select("archive", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("rec_offset"), F.col("page_id").alias("record_id"), "payload")
+    i = F.col("page_id")
+    damaged = F.when(i % 97 == 13, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).when(i % 211 == 5, F.expr("substring(html, 1, length(html) - 10)")).otherwise(F.col("html"))
+    rows = pages.select(archive.alias("archive"), "page_id", "url", size.cast("long").alias("size"), digest_of(F.col("html")).alias("digest"), digest_of(damaged).alias("worn"), F.coalesce(i % 193 == 7, F.lit(False)).alias("lost"))
+    before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("archive", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("rec_offset"), F.col("page_id").alias("record_id"), "digest", "worn", "lost")
 
 
-def worn(records: DataFrame) -> DataFrame:
-    """A replica with damage that follows from record ids: a byte turned, a record lost, an end cut off."""
-    i = F.col("record_id")
-    payload = F.when(i % 97 == 13, F.concat(F.lit("#"), F.substring("payload", 2, 1 << 30))).when(i % 211 == 5, F.expr("substring(payload, 1, length(payload) - 10)")).otherwise(F.col("payload"))
-    return records.where(F.coalesce(i % 193 != 7, F.lit(True))).select("archive", "rec_offset", "record_id", payload.alias("payload"))
+def audit_pages(pages: DataFrame, spark: SparkSession) -> DataFrame:
+    """The audit of pages as records against their damaged replica."""
+    records, _ = stash(page_records(pages), spark)
+    return audit(records.select(*KEY, "digest"), records.where("NOT lost").select(*KEY, F.col("worn").alias("digest")), spark)
 
 
 SQL = """
 WITH r AS (
   SELECT page_id // 512 AS archive, page_id AS record_id, html AS payload,
-    CAST(coalesce(sum(octet_length(encode(coalesce(html, ''))) + octet_length(encode(coalesce(url, ''))) + 200) OVER (PARTITION BY page_id // 512 ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rec_offset
+    CAST(coalesce(sum(octet_length(encode(coalesce(html, ''))) + octet_length(encode(coalesce(url, ''))) + 200) OVER (PARTITION BY page_id // 512 ORDER BY page_id, url, sha256(octet_length(encode(coalesce(html, ''))) || ':' || coalesce(html, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rec_offset
   FROM pages),
 a AS (SELECT archive, rec_offset, record_id, sha256(octet_length(encode(payload)) || ':' || payload) AS digest_a FROM r),
 b AS (SELECT archive, rec_offset, record_id, sha256(octet_length(encode(payload)) || ':' || payload) AS digest_b FROM (

@@ -17,8 +17,7 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = merkle.page_records(table(spark, sf_dir, "pages"))
-    return merkle.audit(records, merkle.worn(records), spark)
+    return merkle.audit_pages(table(spark, sf_dir, "pages"), spark)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,17 +5,24 @@ closed syncmer if the least of them stands first or last. Whether it is depends
 equal passages have the same anchors in any text, at the same distances from each other.
 
 A fingerprint is a one-permutation min-hash of a text's syncmers: BINS least values by the leading bits, empty bins
-filled from the next one that is not, 16 bits kept of each. Likeness is the share of equal bins.
+filled from the next one that is not, 16 bits kept of each, and the rank of its anchor's (first) position among them.
+Likeness matches positions: of the bins whose values are equal, as many as stand in one order in both texts (the longest
+run of ranks that never falls), as a share of all.
+
+`edited_fingerprints` deals the texts out by ranges of (doc_id, digest) once and reads the next document on the way, so
+that each text is shuffled and fingerprinted once. Only the documents of each range's last id wait for the next range's
+first; a range gives the first document of each of its first two ids for that.
 
 Defined results: a text without a syncmer (shorter than K, mostly) is one anchor itself; a null or empty text has
 the fingerprint of all zeros, like another empty text only. In `edited_fingerprints`, a null id has no next document
-and its edited text ends where the cut is; of repeated ids the next document is the least text; extra columns are
-ignored.
+and its edited text ends where the cut is; of repeated ids the next document is the text of least SHA-256; repeated rows
+give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,26 +63,39 @@ def syncmers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, whole[at]
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """BINS values of 16 bits; zeros only for no hashes."""
+def sketch(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """BINS values of 16 bits and the ranks of their positions, two rows; zeros only for no hashes."""
     if not len(hashes):
-        return np.zeros(BINS, np.uint16)
-    none = np.iinfo(np.uint64).max
-    bins = np.full(BINS, none, np.uint64)
-    np.minimum.at(bins, (hashes >> np.uint64(58)).astype(np.int64), hashes)
-    full = np.flatnonzero(bins != none)
-    source = full[np.searchsorted(full, np.arange(BINS)) % len(full)]  # of an empty bin, the next full one
-    far = (source - np.arange(BINS)) % BINS
-    values = _mixed(bins[source] + far.astype(np.uint64) * _MIX)
-    return ((values >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
+        return np.zeros((2, BINS), np.uint16)
+    order = np.lexsort((at, hashes))
+    of, first = np.unique((hashes[order] >> np.uint64(58)).astype(np.int64), return_index=True)
+    least = order[first]
+    source = np.searchsorted(of, np.arange(BINS)) % len(of)  # of an empty bin, the next full one
+    far = (of[source] - np.arange(BINS)) % BINS
+    values = _mixed(hashes[least[source]] + far.astype(np.uint64) * _MIX)
+    ranks = np.unique(at[least[source]], return_inverse=True)[1]
+    return np.stack([((values >> np.uint64(48)) | np.uint64(1)).astype(np.uint16), ranks.astype(np.uint16)])
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    return sketch(syncmers(text)[1])
+    return sketch(*syncmers(text))
+
+
+def printed(a: np.ndarray) -> str:
+    """Four hex digits of each value, then two of each rank."""
+    return a[0].astype(">u2").tobytes().hex() + a[1].astype(np.uint8).tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float((a == b).mean())
+    same = a[0] == b[0]
+    if not same.any():
+        return 0.0
+    x, y = a[1][same], b[1][same]
+    run: list[int] = []
+    for r in y[np.lexsort((y, x))].tolist():
+        k = bisect_right(run, r)
+        run[k : k + 1] = [r]
+    return len(run) / BINS
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -89,46 +109,71 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(run("text")).alias("a")).select("doc_id", "a.*")
 
 
-def next_ids(ids: DataFrame, spark: SparkSession) -> DataFrame:
-    """Adds next_id, the next greater doc_id, and after the last one the first. ids: one row per doc_id.
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Results, or (waits) a text whose next document is in another range, or (heads) a document that others may wait for.
+DEALT = f"doc_id long, kind string, text string, {RESULT}"
 
-    Ids are dealt out by range. Only the ranges' first ids (a row for each partition) meet in one task.
-    """
-    dealt, _ = stash(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), spark)
-    firsts = dealt.groupBy("part").agg(F.min("doc_id").alias("first"))
-    order = Window.orderBy("part")
-    turn = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("then"))
-    within = Window.partitionBy("part").orderBy("doc_id")
-    return dealt.join(F.broadcast(turn), "part").select(*ids.columns, F.coalesce(F.lead("doc_id").over(within), "then").alias("next_id"))
 
+def _result(text: str, own: np.ndarray, head: str, then: np.ndarray | None) -> tuple:
+    cut = len(text) // 4
+    edited = text[: len(text) - cut] + head[:cut]
+    new = own if edited == text else fingerprint(edited)
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return len(text), sha, printed(own), printed(new), likeness(own, new), likeness(own, then) if then is not None else 0.0
 
-SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+def _range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The documents of one range in order: results of all but those of its last id."""
+    none = [None] * 6
+    ids, last, waiting, early, done = 0, None, [], False, []
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+            own = fingerprint(text)
+            if doc_id != last:
+                ids += 1
+                done += [(last, "done", None, *_result(t, p, text, own)) for t, p in waiting]
+                if ids < 3 or early:
+                    done.append((doc_id, "head", text, *none))
+                last, waiting, early = doc_id, [], False
+            waiting.append((text, own))
+            if len(waiting) > 256:  # an id on many rows: they wait as rows of the result, not in memory
+                done += [(last, "waits", t, *none) for t, _ in waiting]
+                waiting, early = [], True
+            if len(done) > 512:
+                yield _rows(done)
+                done = []
+    yield _rows(done + [(last, "waits", t, *none) for t, _ in waiting])
 
-def edited_fingerprints(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """Fingerprints of each text and of its edited text, whose last quarter comes from the start of the next document."""
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = texts.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("cut"))
-    pairs = next_ids(ids, spark).select(F.col("doc_id").alias("prior"), "next_id", "cut")
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"prior": b["prior"], "head": [t[:n] for t, n in zip(b["text"], b["cut"], strict=True)], "print": [fingerprint(t).tobytes() for t in b["text"]]})
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in DEALT.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({"doc_id": "int64", "n_chars": "Int64"})
+
 
-    @F.pandas_udf(SCHEMA)
-    def run(texts: pd.Series, heads: pd.Series, prints: pd.Series) -> pd.DataFrame:
+def edited_fingerprints(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """Fingerprints of each text and of its edited text, whose last quarter comes from the start of the next document."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = ["doc_id", F.sha2("text", 256)]
+    dealt, _ = stash(texts.where("doc_id IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_range, DEALT), spark)
+    heads = dealt.where("kind = 'head'").groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("head"))
+    # Of each id that waits the next head; two ids a range at most, so that the window has few rows.
+    ids = heads.select("doc_id", F.col("doc_id").alias("at")).union(dealt.where("kind = 'waits'").select("doc_id", F.lit(None).cast("long")).distinct())
+    ids = ids.groupBy("doc_id").agg(F.max("at").alias("at"))
+    after = F.min("at").over(Window.orderBy("doc_id").rowsBetween(1, Window.unboundedFollowing))
+    turn = ids.select("doc_id", F.coalesce(after, F.min("at").over(Window.partitionBy(F.lit(0)))).alias("next_id"))
+    turn = turn.join(heads.withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", "head")
+
+    @F.pandas_udf(RESULT)
+    def run(texts: pd.Series, heads: pd.Series) -> pd.DataFrame:
+        known: dict[str | None, np.ndarray | None] = {None: None}
         rows = []
-        for text, head, then in zip(texts, heads, prints, strict=True):
-            cut = len(text) // 4
-            edited = text[: len(text) - cut] + (head or "")[:cut]
-            own, new = fingerprint(text), fingerprint(edited)
-            near = likeness(own, np.frombuffer(then, np.uint16)) if then is not None else 0.0
-            sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((len(text), sha, own.astype(">u2").tobytes().hex(), new.astype(">u2").tobytes().hex(), likeness(own, new), near))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    after = texts.join(pairs, texts.doc_id == pairs.next_id).select("prior", "text", "cut").mapInPandas(heads, "prior long, head string, print binary")
-    least = after.groupBy("prior").agg(F.min(F.struct("head", "print")).alias("it")).select("prior", "it.head", "it.print")
-    whole = texts.join(least, texts.doc_id == least.prior, "left").select("doc_id", "text", "head", "print")
-    alone = docs.where("doc_id IS NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("binary").alias("print"))
-    return whole.union(alone).select("doc_id", run("text", "head", "print").alias("r")).select("doc_id", "r.*")
+        for text, head in zip(texts, heads, strict=True):
+            if head not in known:
+                known = {None: None, head: fingerprint(head)}
+            rows.append(_result(text, fingerprint(text), head or "", known[head]))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    waits = dealt.where("kind = 'waits'").select("doc_id", "text").join(turn, "doc_id")
+    alone = texts.where("doc_id IS NULL").withColumn("head", F.lit(None).cast("string"))
+    late = waits.union(alone).select("doc_id", run("text", "head").alias("r")).select("doc_id", "r.*")
+    return dealt.where("kind = 'done'").select(*late.columns).union(late)
