@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import chunks, in_fold, labelled_sample
+from .common import chunks, in_fold, labelled_sample, once
 
 FOLDS, HELD_OUT = 3, 1
 #: Most labelled rows that word vectors, network and temperature are fitted on.
@@ -54,7 +54,7 @@ class Vectors:
         return np.array([i if (i := get(t)) is not None else get(shape(t), none) for t in tokens], np.int32)
 
     def pool(self, texts: list[str]) -> np.ndarray:
-        """A row per text. Long texts are pooled in blocks, so that memory stays bounded."""
+        """A row per text. Memory is bounded by the longest text's tokens."""
         out = np.zeros((len(texts), 2 * DIM + 2))
         for k, text in enumerate(texts):
             tokens = TOKEN.findall(text or "")
@@ -82,6 +82,7 @@ def learn_vectors(texts: list[str]) -> Vectors:
     names = [*kept, *shapes, "\x00"]
     index = {t: i for i, t in enumerate(names)}
     places, signs = index_vectors(names)
+    signs[-1] = 0  # what stands between documents
     vectors = Vectors(index, np.zeros((len(names), DIM)))
     total = np.zeros(len(names) * DIM)
     gap = np.full(WINDOW, len(names) - 1, np.int64)  # between documents
@@ -157,6 +158,7 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        once("quality")
         return pd.Series(sent.value.score(list(texts)), dtype="float64")
 
     return score

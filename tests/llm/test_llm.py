@@ -279,13 +279,49 @@ def test_syncmers(spark, odd, none):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + after.get(r.doc_id, "")[:cut]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == syncmers.fingerprint(t).astype(">u2").tobytes().hex()
-        assert r.edited_fingerprint == syncmers.fingerprint(edited).astype(">u2").tobytes().hex()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        own, new = syncmers.fingerprint(t), syncmers.fingerprint(edited)
+        assert (r.fingerprint, r.edited_fingerprint, r.near_edited) == (syncmers.printed(own), syncmers.printed(new), syncmers.likeness(own, new))
+        assert r.near_next == (syncmers.likeness(own, syncmers.fingerprint(after[r.doc_id])) if r.doc_id in after else 0)
     assert syncmers.edited_fingerprints(none, spark).collect() == []
     assert syncmers.anchor_rows(odd).where("doc_id = 2").count() == 0
 
 
+def test_syncmers_match_positions():
+    """Passages in another order are less alike; inserted text leaves the order of what is around it."""
+    rng = random.Random(10)
+    parts = [" ".join(rng.choice(["ab", "cde", "fg", "hij", "kl", "mno"]) + str(rng.randrange(99)) for _ in range(60)) for _ in range(5)]
+    a, moved, grown = (syncmers.fingerprint(" ".join(p)) for p in (parts[:4], parts[3::-1], [*parts[:2], parts[4], *parts[2:4]]))
+    assert syncmers.likeness(a, a) == 1 and syncmers.likeness(a, moved) < 0.5 < syncmers.likeness(a, grown) < 1
+    assert syncmers.likeness(a, syncmers.fingerprint(parts[4])) < 0.1
+
+
+def test_syncmers_over_ranges(spark):
+    """Ids on many rows and in many ranges: next documents are those of the next greater id, and of the first after the last."""
+    rng = random.Random(12)
+    text = lambda: " ".join(str(rng.randrange(999)) for _ in range(rng.randint(0, 40)))
+    rows = [(i, text()) for i in rng.sample(range(1000), 90)] + [(500, text()) for _ in range(700)] + [(501, text()) for _ in range(3)] + [(500, "same")] * 5
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        got = syncmers.edited_fingerprints(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, head string").repartition(9), spark).collect()
+        one = syncmers.edited_fingerprints(spark.createDataFrame(rows[:1], "doc_id long, text string"), spark).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    first = {}
+    for i, t in rows:
+        first[i] = min(first.get(i, t), t, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    ids = sorted(first)
+    after = {i: first[ids[(k + 1) % len(ids)]] for k, i in enumerate(ids)}
+    want = []
+    for i, t in rows:
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[i][:cut]
+        own = syncmers.fingerprint(t)
+        want.append((i, hashlib.sha256(edited.encode()).hexdigest(), syncmers.printed(own), syncmers.likeness(own, syncmers.fingerprint(after[i]))))
+    assert sorted((r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in got) == sorted(want)
+    assert len(one) == 1 and one[0].near_next == 1
+
+
 def held_out(spark, query, label, folds, fold):
     rows = query(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r[label] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
@@ -568,6 +604,12 @@ def test_merkle(spark):
     empty = spark.createDataFrame([], schema)
     assert merkle.audit(empty, empty, spark).collect() == []
     assert merkle.audit(spark.createDataFrame(good, schema), empty, spark).count() == len(good)
+    # One offset for all, and columns of clashing names; a payload of a megabyte.
+    one = [(1, None if i % 2 else 7, i, "x" * 1_000_000 if i == 3 else "p") for i in range(400)]
+    wide = lambda rows: spark.createDataFrame([(*r, "d", 1, 2) for r in rows], f"{schema}, digest string, node long, part long")
+    got = merkle.audit(wide(one), wide([*one[:3], (*one[3][:3], one[3][3] + "y"), *one[4:]]), spark)
+    assert [(r.record_id, r.status) for r in got.collect()] == [(3, "changed")]
+    same(queries.op2_merkle_audit(spark, SF), "op2_merkle_audit", pages=spark.read.parquet(f"{SF}/pages.parquet"))
 
 
 def test_quotes(spark):
@@ -690,3 +732,40 @@ def test_shared_folder_is_asked_for(spark):
         else:
             with pytest.raises(ValueError, match="checkpoint"):
                 shared_dir(session)
+
+
+def test_quality_against_brute_force(spark):
+    """Vectors, pooling and the network, token by token and number by number."""
+    rng = random.Random(31)
+    words = ["alpha", "Beta", "12", "!!", "gamma", "δέλτα", "OMEGA", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    model = quality.fit(texts, [k % 2 for k in range(60)])
+    v = model.vectors
+    docs = [quality.TOKEN.findall(t) for t in texts]
+    counts = {}
+    for d in docs:
+        for t in d:
+            counts[t] = counts.get(t, 0) + 1
+    name = lambda t: t if counts[t] >= quality.LEAST else quality.shape(t)
+    total = {}
+    for d in docs:
+        for i, t in enumerate(d):
+            row = total.setdefault(name(t), np.zeros(quality.DIM))
+            for j in range(max(0, i - quality.WINDOW), min(len(d), i + quality.WINDOW + 1)):
+                places, signs = quality.index_vectors([name(d[j])])
+                for p, s in zip(places[0], signs[0], strict=True):
+                    row[p] += s * (2 if i == j else 1)
+    for t, row in total.items():
+        assert np.allclose(v.rows[v.index[t]], row / np.linalg.norm(row))
+    for text, d in zip(texts, docs, strict=True):
+        x = np.zeros(2 * quality.DIM + 2)
+        if d:
+            rows = [v.rows[v.index[name(t)]] for t in d]
+            x[: quality.DIM] = sum(rows) / len(d)
+            kinds = {v.index[name(t)] for t in d}
+            x[quality.DIM : -2] = sum(v.rows[k] for k in kinds) / len(kinds)
+            x[-2:] = np.log1p(len(d)), len(set(d)) / len(d)
+        z = (x - model.mean) / model.scale
+        hidden = [np.tanh(sum(z[i] * model.layers[0][i, k] for i in range(len(z))) + model.layers[1][k]) for k in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, model.layers[2], strict=True)) + model.layers[3]
+        assert abs(model.score([text])[0] - 1 / (1 + np.exp(-logit / model.temperature))) < 1e-9
