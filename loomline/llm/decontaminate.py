@@ -30,22 +30,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stash
+from .common import chunks, once, stash
 
 #: Characters that make an anchor, and the share of places that are one.
 GRAM, DENSITY = 4, 1 / 3
 #: Steps of a walk, the places of the embedding that a key samples, and the repetitions.
 STEPS, SAMPLED, REPEATS = 24, 14, 3
 #: Least share of an item's anchors that must agree before it is checked, and least number.
-SHARE, AGREE = 0.07, 3
+SHARE, AGREE = 0.09, 3
 #: Least similarity, 1 - distance / characters of the item.
 SIMILARITY = 0.8
 #: Characters of an item that is looked up by its parts, and anchors that an item must have else.
 SHORT, ANCHORS = 48, 10
 #: Characters of items in a block (one item at least).
 CHARS = 2_000_000
-#: Characters scanned at once.
-PIECE = 1_000_000
+#: Characters scanned at once, pairs whose distances are taken at once, and the characters of an item up to which they are.
+PIECE, TOGETHER, LONG = 1_000_000, 512, 2000
 
 _rng = np.random.default_rng(20240)
 #: Whether the walk moves on, by repetition, step and character (folded to a byte); never past the end of a text.
@@ -128,6 +128,67 @@ def distance(item: str, passage: str, most: int) -> tuple[int, int]:
     return best, end
 
 
+def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
+    """distance() of many (item, passage, most) at once: the same bits, in words of 64, of all pairs of a group.
+
+    An item's last character stands at the last bit. The bits before its first match every character and cost nothing.
+    Pairs of items over LONG characters are left to distance().
+    """
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
+    left = []
+    for k, (item, passage, most) in enumerate(pairs):
+        if len(item) > LONG or item in passage:
+            out[k] = distance(item, passage, most)
+        else:
+            left.append(k)
+    left.sort(key=lambda k: (-(-len(pairs[k][0]) // 64), len(pairs[k][1])))
+    one, high = np.uint64(1), np.uint64(63)
+    for group in (left[i : i + TOGETHER] for i in range(0, len(left), TOGETHER)):
+        items = {t: j for j, t in enumerate(dict.fromkeys(pairs[k][0] for k in group))}
+        letters = {c: j for j, c in enumerate(sorted(set().union(*items)), 1)}
+        words = -(-max(map(len, items)) // 64)
+        match = np.zeros((words, len(items), len(letters) + 1), np.uint64)
+        whole = np.zeros((words, len(items)), np.uint64)
+        for t, j in items.items():
+            pad = 64 * words - len(t)
+            bits = [(1 << pad) - 1] * (len(letters) + 1)
+            for i, c in enumerate(t, pad):
+                bits[letters[c]] |= 1 << i
+            for w in range(words):
+                match[w, j] = [b >> 64 * w & (1 << 64) - 1 for b in bits]
+                whole[w, j] = ((1 << 64 * words) - (1 << pad)) >> 64 * w & (1 << 64) - 1
+        which = np.array([items[pairs[k][0]] for k in group])
+        lengths = np.array([len(pairs[k][1]) for k in group])
+        seen = np.zeros((lengths.max(initial=0), len(group)), np.int32)
+        for j, k in enumerate(group):
+            seen[: lengths[j], j] = [letters.get(c, 0) for c in pairs[k][1]]
+        up, down = list(whole[:, which]), [np.zeros(len(group), np.uint64) for _ in range(words)]
+        score = np.array([len(pairs[k][0]) for k in group])
+        best, end = score.copy(), np.zeros(len(group), np.int64)
+        for j in range(len(seen)):
+            eqs = match[:, which, seen[j]]
+            carry = more = less = np.zeros(len(group), np.uint64)
+            for w in range(words):
+                eq, u, d = eqs[w], up[w], down[w]
+                x = eq & u
+                total = x + u
+                over = total < x
+                total = total + carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                diag = total ^ u | eq | d
+                plus, minus = d | ~(diag | u), u & diag
+                shifted, lowered = plus << one | more, minus << one | less
+                more, less = plus >> high, minus >> high
+                up[w], down[w] = lowered | ~(diag | shifted), shifted & diag
+            score = score + more.astype(np.int64) - less.astype(np.int64)
+            better = (score < best) & (j < lengths)
+            if better.any():
+                best[better], end[better] = score[better], j + 1
+        for j, k in enumerate(group):
+            out[k] = (int(best[j]), int(end[j])) if best[j] <= pairs[k][2] else (pairs[k][2] + 1, 0)
+    return out
+
+
 class Items:
     """Anchors and keys of distinct benchmark items; rows: (name, text)."""
 
@@ -190,7 +251,9 @@ class Items:
                 item, offset = self.hits[r][pick].T.astype(np.int64)
                 place = np.repeat(at[near].astype(np.int64), n)
                 hits.append(((item << wide) + place - offset + self.longest << wide) + place)
-            rows = np.unique(np.concatenate(hits))
+            rows = np.concatenate(hits)
+            rows.sort()
+            rows = rows[np.diff(rows, prepend=-1) != 0]  # an anchor's hits of several repetitions are one
             place, start = rows & ((1 << wide) - 1), (rows >> wide & ((1 << wide) - 1)) - self.longest
             yield from self._agreeing(rows >> 2 * wide, start, place, first)
         for part, owners in self.parts.items():
@@ -218,27 +281,33 @@ class Items:
     def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, end in the plain text) of the best match of each text and item."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        pieces: list[tuple[int, int, str]] = []
         lap = 2 * self.longest + 2 * STEPS
-        for row, text in enumerate(texts):
-            t = f" {plain(text)} "
-            step = max(PIECE, lap)
-            for a in range(0, max(1, len(t) - lap), step):
-                pieces.append((row, a, t[a : a + step + lap]))
+        step = max(PIECE, lap)
+        for x, y in chunks([t or "" for t in texts], PIECE):
+            pieces: list[tuple[int, int, str]] = []
+            for row in range(x, y):
+                t = f" {plain(texts[row])} "
+                pieces += [(row, a, t[a : a + step + lap]) for a in range(0, max(1, len(t) - lap), step)]
+            self._scan(pieces, best)
+        return [(row, k, got, end) for (row, k), (got, end) in sorted(best.items()) if got <= self.most[k]]
+
+    def _scan(self, pieces: list[tuple[int, int, str]], best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """The best match of each text and item in pieces (row, place, text), added to best."""
         for a, b in chunks([p for *_, p in pieces], PIECE):
             joined = "\0".join(p for *_, p in pieces[a:b]) + "\0"
             ends = np.cumsum([len(p) + 1 for *_, p in pieces[a:b]])
             first = np.r_[0, ends[:-1]]
-            c = codes(joined)
-            for d, k, low, high in self.windows(joined, c, first):
+            pairs, where = [], []
+            for d, k, low, high in self.windows(joined, codes(joined), first):
                 row, offset, _ = pieces[a + d]
-                found = best.get((row, k), (self.most[k] + 1, 0))
-                if not found[0]:
-                    continue
-                begin = max(low - self.most[k], int(first[d]))
-                got, end = distance(self.text(k), joined[begin : min(high + len(self.text(k)) + self.most[k], int(ends[d]) - 1)], self.most[k])
-                best[row, k] = min(found, (got, offset + begin + end - int(first[d]) - 1))
-        return [(row, k, got, end) for (row, k), (got, end) in sorted(best.items()) if got <= self.most[k]]
+                item, most = self.text(k), self.most[k]
+                begin, stop = max(low - most, int(first[d])), min(high + len(item) + most, int(ends[d]) - 1)
+                reach = len(item) + most  # no match is longer; long passages are cut, each match is whole in one part
+                for at in range(begin, max(begin + 1, stop - reach), 2 * reach):
+                    pairs.append((item, joined[at : min(at + 3 * reach, stop)], most))
+                    where.append((row, k, offset + at - int(first[d]) - 1))
+            for (row, k, start), (got, end) in zip(where, distances(pairs), strict=True):
+                best[row, k] = min(best.get((row, k), (got, start + end)), (got, start + end))
 
 
 FOUND = "name string, distance int, similarity double, end_char long"
@@ -259,6 +328,7 @@ def found_in(docs: DataFrame, similarity: float, block: list[tuple[str, str]]) -
 
     @F.pandas_udf(f"array<struct<{FOUND.replace(' ', ':').replace(',:', ',')}>>")
     def run(texts: pd.Series) -> pd.Series:
+        once("decontaminate")
         items = sent.value
         out: list[list[dict]] = [[] for _ in texts]
         for row, k, d, end in items.scan(texts.tolist()):
@@ -281,6 +351,7 @@ def leaking(docs: DataFrame, similarity: float, block: list[tuple[str, str]]):
 
     @F.pandas_udf("boolean")
     def leaked(texts: pd.Series) -> pd.Series:
+        once("decontaminate")
         hit = np.zeros(len(texts), bool)
         hit[[row for row, *_ in sent.value.scan(texts.tolist())]] = True
         return pd.Series(hit)
