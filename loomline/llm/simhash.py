@@ -134,10 +134,3 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, threshold: int = 3) ->
     smallest = tied.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = tied.join(smallest, "label").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, spark: SparkSession, threshold: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns kept. Documents without an id stay."""
-    kept = near_duplicates(docs, spark, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return whole.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))

@@ -70,3 +70,11 @@ def test_large_groups_equal_brute_force(spark):
     rows += [(300 + k, " ".join(rng.sample(parts, rng.randint(6, 9)))) for k in range(120)]
     got = near_copies.keep_one(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, label long, th_ long").drop("th_"), spark).collect()
     assert sorted((False, r.doc_id) for r in got) == brute(rows)
+
+
+def test_two_texts_under_one_id(spark):
+    """Both stay if they are not alike; a row is dropped for another text only."""
+    one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, one), (1, two), (2, one), (1, one)]
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    assert sorted(map(tuple, got)) == [(1, one), (1, two)]
