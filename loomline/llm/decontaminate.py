@@ -35,9 +35,9 @@ from .common import chunks, once, stash
 #: Characters that make an anchor, and the share of places that are one.
 GRAM, DENSITY = 4, 1 / 3
 #: Steps of a walk, the places of the embedding that a key samples, and the repetitions.
-STEPS, SAMPLED, REPEATS = 24, 14, 3
+STEPS, SAMPLED, REPEATS = 24, 13, 3
 #: Least share of an item's anchors that must agree before it is checked, and least number.
-SHARE, AGREE = 0.09, 3
+SHARE, AGREE = 0.06, 3
 #: Least similarity, 1 - distance / characters of the item.
 SIMILARITY = 0.8
 #: Characters of an item that is looked up by its parts, and anchors that an item must have else.
@@ -128,6 +128,10 @@ def distance(item: str, passage: str, most: int) -> tuple[int, int]:
     return best, end
 
 
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
     """distance() of many (item, passage, most) at once: the same bits, in words of 64, of all pairs of a group.
 
@@ -145,23 +149,22 @@ def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
     one, high = np.uint64(1), np.uint64(63)
     for group in (left[i : i + TOGETHER] for i in range(0, len(left), TOGETHER)):
         items = {t: j for j, t in enumerate(dict.fromkeys(pairs[k][0] for k in group))}
-        letters = {c: j for j, c in enumerate(sorted(set().union(*items)), 1)}
         words = -(-max(map(len, items)) // 64)
-        match = np.zeros((words, len(items), len(letters) + 1), np.uint64)
+        letters, ids = np.unique(points("".join(items)), return_inverse=True)
+        size = np.array([len(t) for t in items])
+        row = np.repeat(np.arange(len(items)), size)
+        at = np.arange(len(ids)) + np.repeat(64 * words - np.cumsum(size), size)  # of each character, its bit
         whole = np.zeros((words, len(items)), np.uint64)
-        for t, j in items.items():
-            pad = 64 * words - len(t)
-            bits = [(1 << pad) - 1] * (len(letters) + 1)
-            for i, c in enumerate(t, pad):
-                bits[letters[c]] |= 1 << i
-            for w in range(words):
-                match[w, j] = [b >> 64 * w & (1 << 64) - 1 for b in bits]
-                whole[w, j] = ((1 << 64 * words) - (1 << pad)) >> 64 * w & (1 << 64) - 1
+        np.bitwise_or.at(whole, (at // 64, row), one << (at % 64).astype(np.uint64))
+        match = np.repeat(~whole[:, :, None], len(letters) + 1, 2)
+        np.bitwise_or.at(match, (at // 64, row, ids + 1), one << (at % 64).astype(np.uint64))
         which = np.array([items[pairs[k][0]] for k in group])
         lengths = np.array([len(pairs[k][1]) for k in group])
+        text = points("".join(pairs[k][1] for k in group))
+        near = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
         seen = np.zeros((lengths.max(initial=0), len(group)), np.int32)
-        for j, k in enumerate(group):
-            seen[: lengths[j], j] = [letters.get(c, 0) for c in pairs[k][1]]
+        lane = np.repeat(np.arange(len(group)), lengths)
+        seen[np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths), lane] = np.where(letters[near] == text, near + 1, 0)
         up, down = list(whole[:, which]), [np.zeros(len(group), np.uint64) for _ in range(words)]
         score = np.array([len(pairs[k][0]) for k in group])
         best, end = score.copy(), np.zeros(len(group), np.int64)
@@ -283,31 +286,41 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         lap = 2 * self.longest + 2 * STEPS
         step = max(PIECE, lap)
+        pairs: list[tuple[str, str, int]] = []
+        where: list[tuple[int, int, int]] = []  # row, item, and where the passage starts
+
+        def settle() -> None:
+            for (row, k, start), (got, end) in zip(where, distances(pairs), strict=True):
+                best[row, k] = min(best.get((row, k), (got, start + end)), (got, start + end))
+            pairs.clear()
+            where.clear()
+
         for x, y in chunks([t or "" for t in texts], PIECE):
             pieces: list[tuple[int, int, str]] = []
             for row in range(x, y):
                 t = f" {plain(texts[row])} "
                 pieces += [(row, a, t[a : a + step + lap]) for a in range(0, max(1, len(t) - lap), step)]
-            self._scan(pieces, best)
+            for row, k, start, passage in self._passages(pieces):
+                pairs.append((self.text(k), passage, self.most[k]))
+                where.append((row, k, start))
+            if len(pairs) >= 16 * TOGETHER:
+                settle()
+        settle()
         return [(row, k, got, end) for (row, k), (got, end) in sorted(best.items()) if got <= self.most[k]]
 
-    def _scan(self, pieces: list[tuple[int, int, str]], best: dict[tuple[int, int], tuple[int, int]]) -> None:
-        """The best match of each text and item in pieces (row, place, text), added to best."""
+    def _passages(self, pieces: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, str]]:
+        """(row, item, start, text) of what may hold an item, of pieces (row, place, text)."""
         for a, b in chunks([p for *_, p in pieces], PIECE):
             joined = "\0".join(p for *_, p in pieces[a:b]) + "\0"
             ends = np.cumsum([len(p) + 1 for *_, p in pieces[a:b]])
             first = np.r_[0, ends[:-1]]
-            pairs, where = [], []
             for d, k, low, high in self.windows(joined, codes(joined), first):
                 row, offset, _ = pieces[a + d]
-                item, most = self.text(k), self.most[k]
-                begin, stop = max(low - most, int(first[d])), min(high + len(item) + most, int(ends[d]) - 1)
-                reach = len(item) + most  # no match is longer; long passages are cut, each match is whole in one part
+                most = self.most[k]
+                reach = len(self.text(k)) + most  # no match is longer; long passages are cut, each match is whole in one part
+                begin, stop = max(low - most, int(first[d])), min(high + reach, int(ends[d]) - 1)
                 for at in range(begin, max(begin + 1, stop - reach), 2 * reach):
-                    pairs.append((item, joined[at : min(at + 3 * reach, stop)], most))
-                    where.append((row, k, offset + at - int(first[d]) - 1))
-            for (row, k, start), (got, end) in zip(where, distances(pairs), strict=True):
-                best[row, k] = min(best.get((row, k), (got, start + end)), (got, start + end))
+                    yield row, k, offset + at - int(first[d]) - 1, joined[at : min(at + 3 * reach, stop)]
 
 
 FOUND = "name string, distance int, similarity double, end_char long"
