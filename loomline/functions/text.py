@@ -9,14 +9,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their plain forms.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
-
 
 def folded(c: Column) -> Column:
     """Lower case without accents; what is neither a letter, digit nor hyphen becomes one space."""
-    s = F.translate(F.lower(c), ACCENTED, PLAIN)
+    s = unmarked(c)
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}_\s-]", " "), r"\s+", " "))
 
 
@@ -184,7 +180,7 @@ def resolved(raw: Column, declared: Column) -> Column:
 _MARKED = [(chr(i), d[0]) for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (d := unicodedata.normalize("NFD", chr(i))) != chr(i) and d[0].isascii()]
 
 
-def folded(c: Column) -> Column:
+def unmarked(c: Column) -> Column:
     """Lower case, letters without their marks, and no marks that stand alone."""
     plain = F.translate(c, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
     return F.lower(F.regexp_replace(plain, r"\p{M}+", ""))

@@ -291,9 +291,9 @@ def blocked_domains(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g') AS folded FROM documents WHERE lang IN ('fr', 'es', 'en')""")
 def folded_text(spark: SparkSession, d: str) -> DataFrame:
     """Lower case without accents: letters are taken apart from their marks, whatever the letter, and the marks go."""
-    from loomline.functions.text import folded
+    from loomline.functions.text import unmarked
 
-    c = F.regexp_replace(F.regexp_replace(folded(F.col("text")), "[^a-z0-9]+", " "), "^ | $", "")
+    c = F.regexp_replace(F.regexp_replace(unmarked(F.col("text")), "[^a-z0-9]+", " "), "^ | $", "")
     return table(spark, d, "documents").where(F.col("lang").isin("fr", "es", "en")).select("doc_id", c.alias("folded"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.functions.text import folded
+from loomline.functions.text import unmarked
 from loomline.operators import takes
 from loomline.plans import catalogue, take_queries
 
@@ -98,9 +98,9 @@ def test_ladder_order_and_exemptions(spark):
     assert ladder(spark, set(), ["billet", "ore"]) is None
 
 
-def test_folded(spark):
+def test_unmarked(spark):
     given = ["Éçñ Ǆ ŁÅå ṩ", "éä", "Straße", None]
-    got = [r.x for r in spark.createDataFrame(list(enumerate(given)), "i long, t string").orderBy("i").select(folded(F.col("t")).alias("x")).collect()]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(given)), "i long, t string").orderBy("i").select(unmarked(F.col("t")).alias("x")).collect()]
     assert got == ["ecn ǆ łaa s", "ea", "straße", None]
 
 
