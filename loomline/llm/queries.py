@@ -5,11 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_template, licenses, merkle, quality, quotes, simhash, syncmers, toxicity
+from . import bpe, decontaminate, divergence, html_template, licenses, merkle, quality, quotes, simhash, syncmers, token_counts, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+COUNTED = public_tokenizers.path("word_bpe_49k.json")
+#: Tokens above which a document is over the limit.
+LIMIT = 2048
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +57,14 @@ def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), COUNTED, LIMIT)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), spark)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +78,8 @@ QUERIES = {
         op8_byte_bpe,
         op9_quality,
         op10_template_extraction,
+        op11_token_counts,
+        op13_source_divergence,
     )
 }
-SQL = {"op1_quotation_linking": quotes.SQL, "op2_merkle_audit": merkle.SQL, "op5_license_sentences": licenses.sql()}
+SQL = {"op1_quotation_linking": quotes.SQL, "op2_merkle_audit": merkle.SQL, "op5_license_sentences": licenses.sql(), "op13_source_divergence": divergence.SQL}
