@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, html_template, licenses, merkle, quality, quotes, simhash, syncmers, token_counts, toxicity
+from . import bpe, decontaminate, divergence, html_template, licenses, merkle, negatives, quality, quotes, simhash, syncmers, token_counts, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +61,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), COUNTED, LIMIT)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), spark)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), spark)
 
@@ -79,7 +83,8 @@ QUERIES = {
         op9_quality,
         op10_template_extraction,
         op11_token_counts,
+        op12_hard_negatives,
         op13_source_divergence,
     )
 }
-SQL = {"op1_quotation_linking": quotes.SQL, "op2_merkle_audit": merkle.SQL, "op5_license_sentences": licenses.sql(), "op13_source_divergence": divergence.SQL}
+SQL = {"op1_quotation_linking": quotes.SQL, "op2_merkle_audit": merkle.SQL, "op5_license_sentences": licenses.sql(), "op12_hard_negatives": negatives.SQL, "op13_source_divergence": divergence.SQL}
