@@ -299,6 +299,6 @@ def folded_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def contacts_masked(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without contacts, by thirteen substitutions that SQL without look-around cannot say; tested on cases."""
+    """Texts without contacts, each run of figures judged by itself; SQL has no such patterns, so it is tested on cases."""
     text = contacts.masked(F.col("text"))
     return table(spark, d, "documents").select("doc_id", text.alias("masked"), (text != F.col("text")).alias("changed"))
