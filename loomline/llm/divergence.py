@@ -37,7 +37,7 @@ LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Bytes that a block of postings may hold, about; a posting counts as its term and this many more.
 BLOCK, POSTING = 96 << 20, 200
 #: Rows of a run that are handed on at once, and bytes of their terms.
-ROWS, TERM_BYTES = 20_000, 8 << 20
+ROWS, TERM_BYTES = 20_000, 32 << 20
 #: Sources of one block of pair sums, and blocks held at once.
 SIDE, HELD = 128, 256
 #: A text is cut where a term ends beyond this many characters.
@@ -78,25 +78,26 @@ class Block:
 
     def run(self) -> Iterator[pa.RecordBatch]:
         """The postings in order of group and term; a group without terms has a row of its own, with a null term."""
-        rows: list[tuple] = []
-        size = 0
         for (lang, source), counts in sorted(self.counts.items()):
             docs = self.docs[lang, source]
-            rows.append((lang, source, None, 0, 0))
-            for term in sorted(counts):
-                rows.append((lang, source, term, counts[term], docs[term]))
-                size += len(term)
-                if len(rows) >= ROWS or size >= TERM_BYTES:
-                    yield batch_of(rows, RUN)
-                    rows, size = [], 0
-        if rows:
-            yield batch_of(rows, RUN)
+            yield _rows(lang, source, [None], [0], [0])
+            terms = sorted(counts)
+            # As many rows as hold about TERM_BYTES, were all terms as long as the longest.
+            step = max(1, min(ROWS, TERM_BYTES // max(map(len, terms), default=1)))
+            for start in range(0, len(terms), step):
+                part = terms[start : start + step]
+                yield _rows(lang, source, part, list(map(counts.__getitem__, part)), list(map(docs.__getitem__, part)))
 
 
 RUN = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 SUMS = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("c", pa.int64())])
 
 
+def _rows(lang: str, source: str, terms: list[str | None], n: list[int], docs: list[int]) -> pa.RecordBatch:
+    group = (pa.array([x] * len(terms), pa.string()) for x in (lang, source))
+    return pa.RecordBatch.from_arrays([*group, pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=RUN)
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
