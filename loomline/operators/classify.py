@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
-from loomline.operators.joins import token_jaccard
-from loomline.streaming import folder
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -91,40 +89,6 @@ def directions(df: DataFrame, key: str, text: str, topics, ups, downs, negators)
     return df.select(key, text).mapInPandas(run, f"{key} long, topic string, direction int")
 
 
-def stories(df: DataFrame, keys: list[str], order: str, title: str, stop: list[str], least: float = 0.45) -> DataFrame:
-    """keys, order, story: each row joins the first earlier story of its key whose title is alike, in order of arrival;
-    a row that finds none begins a story, named by its order. Titles without tokens are stories of their own.
-
-    No group is brought together. Equal titles are folded, alike ones paired by the prefix filter, and rounds settle who
-    begins a story: whoever is alike to a story begun earlier does not, and those left without earlier likes do. Pairs
-    and rounds are written to the shared folder; the number of rounds is the longest chain of titles that wait for one
-    another.
-    """
-    spark, at = df.sparkSession, folder(df.sparkSession)
-
-    def written(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{at}/{name}")
-        return spark.read.parquet(f"{at}/{name}")
-
-    own = F.to_json(F.struct(*keys))
-    found = F.array_sort(F.transform(T.tokens(F.col(title), stop), lambda t: F.concat_ws("|", own, t)))
-    rows = df.select(*keys, order, found.alias("tokens_")).withColumn("class_", F.when(F.size("tokens_") > 0, F.sha2(F.array_join("tokens_", "\n"), 256)))
-    folded = written(rows.where("class_ IS NOT NULL").groupBy("class_").agg(F.min(order).alias("id"), F.first("tokens_").alias("tokens_")), "classes")
-    sets = folded.select("id", "tokens_")
-    alike = token_jaccard(sets, sets.withColumnRenamed("id", "other"), "id", "other", "tokens_", least)
-    pairs = written(alike.where("other < id").select("id", "other"), "pairs")
-    live, later, k = pairs, pairs.select("id").where("false"), 0
-    while not live.isEmpty():
-        waiting = live.select(F.col("id").alias("other")).distinct()
-        gone = written(live.join(waiting, "other", "left_anti").select("id").distinct(), f"gone-{k}")
-        later = later.union(gone)
-        live = written(live.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other"), f"live-{k}")
-        k += 1
-    first = pairs.join(later.withColumnRenamed("id", "other"), "other", "left_anti").groupBy("id").agg(F.min("other").alias("first_"))
-    named = folded.select("class_", "id").join(first, "id", "left").select("class_", F.coalesce("first_", "id").alias("story"))
-    return rows.join(named, "class_", "left").select(*keys, order, F.coalesce("story", order).alias("story"))
-
-
 def summary_reject(summary: Column, source: Column, least: int, most_words: int) -> Column:
     """The first reason against a summary, or null: empty, short, long, numbers (some that the source lacks)."""
     invented = F.size(F.array_except(T.numbers(summary), T.numbers(source))) > 0

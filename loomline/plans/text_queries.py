@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import numbers, text
-from loomline.operators import aggregates, classify, html, joins, series
+from loomline.operators import aggregates, classify, clusters, html, joins, series
 from loomline.plans.registry import registry
 from loomline.sources import table
 
@@ -19,6 +19,8 @@ BLOCKED = ["trash", "clown", "apache", "idiot"]
 TOPICS = [("licence", r"(?i)licensed?"), ("shout", r"[A-Z]{6,}!!"), ("table", r" \| "), ("contact", r"@[a-z]+\."), ("french", r"(?i)eau"), ("number", r"[0-9]{3}")]
 SECTORS = [("en", ["th", "ing", "tion"]), ("de", ["sch", "ung", "keit"]), ("es", ["ción", "rr", "ñ"])]
 UP, DOWN = ["and", "the", "for", "une", "und"], ["not", "was", "con", "les", "die"]
+#: Document numbers of a digest window.
+WINDOW = 400
 STOP = ["the", "and", "der", "die", "und", "les", "des", "que", "los", "las"]
 
 
@@ -209,8 +211,20 @@ def rule_scores(spark: SparkSession, d: str) -> DataFrame:
     return classify.scored(table(spark, d, "documents"), rules).select("doc_id", "score", "rules", "take")
 
 
-@query()
+_TITLE_WORDS = f"list_filter(list_distinct(regexp_split_to_array(trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\\pL\\pN]+', ' ', 'g')), ' ')), lambda w: length(w) > 2 AND w NOT IN ({', '.join(f"'{w}'" for w in STOP)}))"
+_TAGS = f"list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in TOPICS)}], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT lang, doc_id // {WINDOW} AS part, doc_id, row_number() OVER (PARTITION BY lang, doc_id // {WINDOW} ORDER BY doc_id) AS n, {_TITLE_WORDS} AS w, {_TAGS} AS c FROM documents),
+g AS (
+  SELECT lang, part, 0::BIGINT AS n, NULL::BIGINT AS doc_id, NULL::BIGINT AS story, []::STRUCT(story BIGINT, w VARCHAR[], c VARCHAR[])[] AS held FROM r WHERE n = 1
+  UNION ALL
+  SELECT lang, part, n, doc_id, CASE WHEN hit IS NULL THEN doc_id ELSE held[hit].story END,
+    CASE WHEN hit IS NULL THEN list_append(held, {{'story': doc_id, 'w': w, 'c': c}}) ELSE list_transform(held, lambda x, i: CASE WHEN i = hit THEN {{'story': x.story, 'w': list_distinct(list_concat(x.w, w)), 'c': list_distinct(list_concat(x.c, c))}} ELSE x END) END
+  FROM (SELECT r.*, held, nullif(list_position(list_transform(held, lambda x: (len(list_intersect(x.w, r.w)) > 0 AND len(list_intersect(x.w, r.w)) >= 0.45 * len(list_distinct(list_concat(x.w, r.w)))) OR (len(list_intersect(x.w, r.w)) >= 2 AND len(list_intersect(x.c, r.c)) > 0)), true), 0) AS hit
+    FROM g JOIN r ON r.lang = g.lang AND r.part = g.part AND r.n = g.n + 1))
+SELECT lang, part, doc_id, story FROM g WHERE n > 0""")
 def story_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Stories of near-equal titles per source and language, greedy in arrival order, with a representative each."""
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang", title().alias("title"))
-    return classify.stories(rows, ["source", "lang"], "doc_id", "title", STOP)
+    """Stories of each language's window of documents: titles that are alike, or share a tag and two words, as groups grow."""
+    rows = table(spark, d, "documents").select("lang", F.floor(F.col("doc_id") / WINDOW).alias("part"), "doc_id", text.tokens(title(), STOP).alias("words"), text.tagged(F.col("text"), TOPICS).alias("tags"))
+    return clusters.grown(rows, ["lang", "part"], "doc_id", "words", "tags")

@@ -99,31 +99,6 @@ def test_unique_and_banned(spark):
     assert stores.banned(nested, {"secret"}) == ["$.list[].secret"]
 
 
-def greedy(rows, least):
-    """Stories by one pass in order of arrival."""
-    out, begun = {}, []
-    for k, i, found in sorted(rows, key=lambda r: r[1]):
-        hit = next((s for g, s, other in begun if g == k and found and len(found & other) >= least * len(found | other)), None)
-        if hit is None:
-            begun.append((k, i, found))
-        out[i] = i if hit is None else hit
-    return out
-
-
-def test_stories_against_one_pass(spark):
-    rng = random.Random(5)
-    words = ["iron", "ore", "price", "rise", "fall", "mine", "ship", "port", "strike", "china"]
-    given = [(rng.choice("ab"), i, " ".join(rng.sample(words, rng.randint(1, 5)))) for i in range(300)]
-    given += [("a", 300, ""), ("a", 301, None), ("a", 302, ""), (None, 303, "iron ore"), (None, 304, "ore iron")]
-    rows = spark.createDataFrame(given, "k string, i long, title string")
-    got = {r.i: r.story for r in classify.stories(rows, ["k"], "i", "title", ["the"]).collect()}
-    assert got == greedy([(k, i, set((t or "").split())) for k, i, t in given], 0.45)
-
-
-def test_stories_of_nothing(spark):
-    assert classify.stories(spark.createDataFrame([], "k string, i long, title string"), ["k"], "i", "title", []).count() == 0
-
-
 def test_token_bucket_steps(spark):
     rng = random.Random(7)
     times_ = sorted(rng.randrange(10_000) for _ in range(200))
