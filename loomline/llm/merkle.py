@@ -37,7 +37,7 @@ def manifest(records: DataFrame) -> DataFrame:
 
 def tree(found: DataFrame, top: int, spark: SparkSession) -> list[DataFrame]:
     """archive, node, digest of each level. A leaf holds the records of SPAN bytes, a node FANOUT nodes."""
-    row = F.concat_ws(":", F.col("rec_offset").cast("string"), F.col("record_id").cast("string"), "digest")
+    row = F.to_json(F.struct("rec_offset", "record_id", "digest"), {"ignoreNullFields": "false"})  # a null has a place of its own
     digest = lambda c: F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(c))), 256).alias("digest")
     rows = found.select("archive", F.coalesce(F.floor(F.col("rec_offset") / SPAN), F.lit(0)).alias("node"), row.alias("row")).withColumn("part", F.substring(F.md5("row"), 1, 4))
     level, _ = stash(rows.groupBy("archive", "node", "part").agg(digest("row")).groupBy("archive", "node").agg(digest(F.concat_ws(":", "part", "digest"))), spark)
@@ -78,24 +78,32 @@ def audit(a: DataFrame, b: DataFrame, spark: SparkSession) -> DataFrame:
     return differing(*rows, list(KEY)).select(*KEY, status.alias("status"), "digest_a", "digest_b")
 
 
-def page_records(pages: DataFrame, per_archive: int = 512) -> DataFrame:
+def page_records(pages: DataFrame, spark: SparkSession, per_archive: int = 512) -> DataFrame:
     """Pages as records of archives, hashed: page_id divided by per_archive, offsets by running length in page_id order.
 
-    An archive holds per_archive ids, so its window is bounded; pages without an id are dealt out by url. worn: the digest
-    in a replica with damage that follows from record ids (a byte turned, an end cut off); lost: a record it lacks.
+    Pages without an id are dealt out by url. Lengths are added up in ranges of pages first, one task each, then over the
+    ranges of an archive; an id on most rows, or equal rows, fill as many ranges as they need. worn: the digest in a
+    replica with damage that follows from record ids (a byte turned, an end cut off); lost: a record it lacks.
     """
     archive = F.coalesce(F.floor(F.col("page_id") / per_archive), -1 - F.pmod(F.xxhash64("url"), F.lit(1 << 20)))
     size = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit(""))) + 200
     i = F.col("page_id")
     damaged = F.when(i % 97 == 13, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).when(i % 211 == 5, F.expr("substring(html, 1, length(html) - 10)")).otherwise(F.col("html"))
     rows = pages.select(archive.alias("archive"), "page_id", "url", size.cast("long").alias("size"), digest_of(F.col("html")).alias("digest"), digest_of(damaged).alias("worn"), F.coalesce(i % 193 == 7, F.lit(False)).alias("lost"))
-    before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("archive", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("rec_offset"), F.col("page_id").alias("record_id"), "digest", "worn", "lost")
+    # The number splits equal rows; a file's rows have the same numbers whenever they are read.
+    dealt = rows.withColumn("number", F.monotonically_increasing_id()).repartitionByRange("archive", "page_id", "url", "digest", "number")
+    ranged, _ = stash(dealt.withColumn("part", F.spark_partition_id()), spark)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("archive", "part").agg(F.sum("size").alias("held"))
+    start = sums.select("archive", "part", F.coalesce(F.sum("held").over(upto(Window.partitionBy("archive").orderBy("part"))), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("size").over(upto(Window.partitionBy("part", "archive").orderBy("page_id", "url", "digest", "number"))), F.lit(0))
+    placed = ranged.withColumn("within", within).join(start, ["archive", "part"])
+    return placed.select("archive", (F.col("start") + F.col("within")).alias("rec_offset"), F.col("page_id").alias("record_id"), "digest", "worn", "lost")
 
 
 def audit_pages(pages: DataFrame, spark: SparkSession) -> DataFrame:
     """The audit of pages as records against their damaged replica."""
-    records, _ = stash(page_records(pages), spark)
+    records, _ = stash(page_records(pages, spark), spark)
     return audit(records.select(*KEY, "digest"), records.where("NOT lost").select(*KEY, F.col("worn").alias("digest")), spark)
 
 
