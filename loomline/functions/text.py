@@ -142,12 +142,6 @@ def sections(c: Column, least: int = 3, longest_head: int = 60) -> Column:
     return F.when(F.size(heads) >= least, heads).otherwise(F.array().cast("array<string>"))
 
 
-def model_json(c: Column, schema: str) -> Column:
-    """The flat JSON object of a model's answer: what follows </think>, the last object in it; null if there is none."""
-    rest = F.substring_index(c, "</think>", -1)
-    return F.from_json(F.element_at(F.nullif(F.regexp_extract_all(rest, F.lit(r"\{[^{}]*\}"), F.lit(0)), F.array().cast("array<string>")), -1), schema)
-
-
 def labelled_row(line: Column) -> Column:
     """sector, headline, source and take of "SECTOR - headline [source] (take)"; any dash will do. Null for other lines."""
     form = r"^\s*([^-–—]+?)\s*[-–—]\s*(.+?)\s*\[([^\]]*)\]\s*\(([+=-])\)\s*$"

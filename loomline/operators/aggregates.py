@@ -155,3 +155,18 @@ def drift(rho: Column, n: Column, least: int = 10, low: float = -1.0, high: floa
 def score(value: Column, sigma: Column) -> Column:
     """-100..100: value over two sigmas, cut."""
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value / F.nullif(sigma * 2, F.lit(0)))) * 100, 1)
+
+
+def nested_counters(df: DataFrame, keys: list[str], tokens: Column, value: Column) -> DataFrame:
+    """keys and counts: of each token of a row, how many rows have it ("n") and how many of each value; a map of maps.
+
+    Tokens are trimmed and put in upper case, empty ones go, one of a row twice counts twice. Counting is by (keys, token,
+    value) before anything is shuffled; maps are put together of counts only. Null values count under "n" alone.
+    """
+    names = F.filter(F.transform(tokens, lambda t: F.upper(F.trim(t))), lambda t: t != "")
+    each = df.select(*keys, F.explode(names).alias("token_"), value.alias("value_"))
+    counted = each.groupBy(*keys, "token_", "value_").agg(F.count("*").alias("n_"))
+    entries = F.collect_list(F.when(F.col("value_").isNotNull(), F.struct("value_", "n_")))
+    inner = counted.groupBy(*keys, "token_").agg(F.sort_array(entries).alias("e"), F.sum("n_").alias("all"))
+    inner = inner.select(*keys, "token_", F.map_from_entries(F.concat(F.array(F.struct(F.lit("n").alias("value_"), F.col("all").alias("n_"))), "e")).alias("m"))
+    return inner.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token_", F.to_json("m").alias("m"))))).alias("t")).select(*keys, F.transform_values("t", lambda k, v: F.from_json(v, "map<string,bigint>")).alias("counts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.functions import conditions, text
+from loomline.functions import conditions, folds, text
 from loomline.operators import classify
 from loomline.plans.registry import registry
 from loomline.plans.text_queries import BLOCKED, SECTORS, TOPICS, _count, _words, title
@@ -64,7 +64,7 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct(F.col("event_type").alias("take"), (F.col("value") / 100).alias("confidence")))
     k = F.col("event_id") % 4
     answer = F.when(k == 0, body).when(k == 1, F.concat(F.lit('<think>{"take": "none"}</think> So: '), body)).when(k == 2, F.concat(F.lit('First {"take": "x"}\n```json\n'), body, F.lit("\n```"))).otherwise("no object")
-    got = table(spark, d, "events").select("event_id", text.model_json(answer, "take STRING, confidence DOUBLE").alias("a"))
+    got = table(spark, d, "events").select("event_id", folds.answer(answer, "take STRING, confidence DOUBLE", "take").alias("a"))
     take = F.when(F.col("a.take") == "purchase", "+").when(F.col("a.take") == "error", "-").when(F.col("a.take") == "view", "=")
     cut = F.when(F.col("a.confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "a.confidence")))
     return got.select("event_id", take.alias("take"), cut.alias("confidence"))

@@ -1,18 +1,16 @@
-"""Formats that feeds come in: sitemaps, chart payloads, listing pages and SQLite files."""
+"""Formats that feeds come in: sitemaps and their indexes, chart payloads and listing pages."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from loomline.functions.text import snippet, without_tags
+from loomline.functions.text import slug_title, snippet, without_tags
 
 SITEMAP = "loc STRING, title STRING, publication_date STRING, lastmod STRING"
 CHART = "timestamp ARRAY<BIGINT>, close ARRAY<DOUBLE>, volume ARRAY<BIGINT>"
@@ -30,6 +28,37 @@ def sitemap(df: DataFrame, xml: str) -> DataFrame:
     return row.where("u.loc IS NOT NULL").select(F.col("u.loc").alias("url"), F.coalesce(F.nullif(F.trim("u.title"), F.lit("")), F.trim(slug)).alias("title"), parsed_date(F.col("u.publication_date"), F.col("u.lastmod")).alias("published"))
 
 
+def sitemap_index(files: DataFrame, roots: DataFrame, most: int = 6, deepest: int = 5) -> DataFrame:
+    """root, file and xml of the <url> elements that indexes lead to. files has url and xml; roots has root, the urls of indexes.
+
+    An index leads to its first `most` sitemaps, which may be indexes again, down to `deepest`. One way of a root to a file
+    counts, so indexes that lead to one another end the search; a file that is not there is nothing.
+    """
+    spark = files.sparkSession
+    read = lambda tag: F.transform(F.regexp_extract_all("xml", F.lit(rf"(?s)<{tag}\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>.*?</{tag}>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    links = files.select("url", F.explode(F.slice(read("sitemap"), 1, most)).alias("child")).distinct()
+    reached = spark.sql(
+        """WITH RECURSIVE reached (root, file, depth, way) AS (
+          SELECT DISTINCT root, root, 0, array(root) FROM {roots}
+          UNION ALL
+          SELECT root, child, depth + 1, array_append(way, child) FROM reached JOIN {links} ON file = url WHERE depth < {deepest} AND NOT array_contains(way, child))
+        SELECT DISTINCT root, file FROM reached""",
+        roots=roots, links=links, deepest=deepest,
+    )
+    entries = files.select(F.col("url").alias("file"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<url\b[^>]*>.*?</url>"), F.lit(0))).alias("xml"))
+    return reached.join(entries, "file").select("root", "file", "xml")
+
+
+def news_of(entries: DataFrame, wanted: Column, unwanted: str, cut: Column, shortest: int = 12) -> DataFrame:
+    """root, url, title and published of sitemap entries: pages (no pictures) that the predicate on url takes, outside
+    unwanted sections, not older than the cut, with a title from the slug that is long enough. A url counts once a root."""
+    row = entries.select("root", F.from_xml(F.col("xml"), SITEMAP).alias("u")).select("root", F.col("u.loc").alias("url"), parsed_date(F.col("u.lastmod")).alias("published"))
+    title = slug_title(F.col("url"))
+    kept = row.where(F.col("url").isNotNull() & ~F.lower("url").rlike(r"\.(?:jpe?g|png|gif|webp)") & wanted & ~F.col("url").rlike(unwanted) & (F.col("published").isNull() | (F.col("published") >= cut)))
+    rows = kept.withColumn("title", title).where(F.length("title") >= shortest)
+    return rows.groupBy("root", "url").agg(F.min("title").alias("title"), F.max("published").alias("published"))
+
+
 def chart(df: DataFrame, key: str, payload: str) -> DataFrame:
     """key, ts, close and volume of chart payloads; points without a close are left out."""
     got = df.select(key, F.from_json(payload, CHART).alias("c"))
@@ -100,44 +129,3 @@ def listing(df: DataFrame, key: str, html: str, most: int = 150, shortest: int =
     rows = rows.select(key, "place", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace("a", r"<[^>]+>", " ")).alias("title"))
     w = Window.partitionBy(key, "href").orderBy("place")
     return rows.where(F.length("title") >= shortest).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-
-
-class SQLite(DataSource):
-    """spark.read.format("sqlite").option("table", t).load(path): a table of a SQLite file, read in ranges of rowid.
-
-    The file must be at the same path on every executor. All columns are strings; cast them as needed.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite"
-
-    def schema(self) -> str:
-        with _sqlite(self.options["path"]) as c:
-            names = [r[1] for r in c.execute(f'PRAGMA table_info("{self.options["table"]}")')]
-        return ", ".join(f"`{n}` string" for n in names)
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options["table"], int(self.options.get("rows", 20_000)))
-
-
-def _sqlite(path: str):
-    import sqlite3
-    from contextlib import closing
-
-    return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str, rows: int):
-        self.path, self.table, self.rows = path, table, rows
-
-    def partitions(self) -> list[InputPartition]:
-        with _sqlite(self.path) as c:
-            low, high = c.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        return [InputPartition(k) for k in range(low, high + 1, self.rows)] if low is not None else []
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with _sqlite(self.path) as c:
-            for row in c.execute(f'SELECT * FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (partition.value, partition.value + self.rows)):
-                yield tuple(None if v is None else str(v) for v in row)

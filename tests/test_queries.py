@@ -4,7 +4,6 @@ import datetime
 import decimal
 import os
 import random
-import sqlite3
 
 import duckdb
 import pytest
@@ -136,16 +135,6 @@ def test_run_length_gaps(spark):
     assert got == [(1, [1.0, None, 3.0]), (9, [9.0])]
 
 
-def test_sqlite(spark, tmp_path):
-    path = str(tmp_path / "x.db")
-    with sqlite3.connect(path) as c:
-        c.execute("CREATE TABLE t (period TEXT, v REAL)")
-        c.executemany("INSERT INTO t VALUES (?, ?)", [(f"2024-{i:02d}", i / 2) for i in range(1, 13)] + [(None, None)])
-    spark.dataSource.register(feeds.SQLite)
-    got = spark.read.format("sqlite").option("table", "t").option("rows", 5).load(path)
-    assert got.count() == 13 and got.where("period = '2024-03'").first().v == "1.5"
-
-
 def test_entry_without_llm(monkeypatch, spark):
     import importlib
     import sys
