@@ -66,7 +66,7 @@ def opened(files: DataFrame, content: str, version_key: str, version: int) -> Da
 
 
 def published(spark: SparkSession, folder: str, names: DataFrame, name: str, version_key: str, version: int) -> DataFrame:
-    """name, status and text for each name asked for, of the files of that name in a folder."""
+    """name, status and text for each name asked for, of the files of that name in a folder. An empty file is as good as absent."""
     try:
         files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias(name), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
         files.schema  # noqa: B018  a folder that is not there fails here
