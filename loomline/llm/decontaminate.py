@@ -38,10 +38,12 @@ GRAM, DENSITY = 4, 1 / 3
 STEPS, SAMPLED, REPEATS = 24, 13, 3
 #: Least share of an item's anchors that must agree before it is checked, and least number.
 SHARE, AGREE = 0.06, 3
+#: Characters from which an item needs two anchors that agree, and three: at one edit in five a short item has few that do.
+ONE, TWO = 96, 128
 #: Least similarity, 1 - distance / characters of the item.
 SIMILARITY = 0.8
 #: Characters of an item that is looked up by its parts, and anchors that an item must have else.
-SHORT, ANCHORS = 48, 10
+SHORT, ANCHORS = 56, 10
 #: Characters of items in a block (one item at least).
 CHARS = 2_000_000
 #: Characters scanned at once, pairs whose distances are taken at once, and the characters of an item up to which they are.
@@ -211,7 +213,7 @@ class Items:
             if size[k] < SHORT or whole < ANCHORS:
                 self._cut(k)
                 continue
-            self.least[k] = max(AGREE, int(SHARE * whole))
+            self.least[k] = max(min(AGREE, 1 + int(size[k] >= ONE) + int(size[k] >= TWO)), int(SHARE * whole))
             for r, (key, end) in enumerate(walks):
                 own = end < size[k]
                 found[r].append(np.c_[key[own].view(np.int64), np.full(own.sum(), k), at[own]])

@@ -43,6 +43,8 @@ MARKS = '"“”«»„'
 #: Plain swaps of characters that disguise a letter.
 LEET = str.maketrans("013457@$", "oieastas")
 REMEMBERED = 300_000
+#: States that an automaton holds before it begins anew, and what stands for letters that no term has.
+STATES, OTHER = 200_000, "\0"
 #: Bias and weights of exact, misspelt and quoted sums where nothing can be learnt.
 BLANK = (-4.0, 3.0, 2.0, 0.5)
 
@@ -75,12 +77,17 @@ class Automaton:
                 self.ends[node] = t
             if t.endswith("*"):
                 self.stems.add(node)
+        self.letters = {c for t in self.weights for c in t}
+        self.known: dict[str, tuple[str, int] | None] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """No states but the first."""
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.accepts: list[tuple[str, int] | None] = []
         self.steps: dict[tuple[int, str], int] = {}
-        self.start = self._state({0: 0}) if terms else -1
-        self.known: dict[str, tuple[str, int] | None] = {}
+        self.start = self._state({0: 0}) if self.weights else -1
 
     def _state(self, spent: dict[int, int]) -> int:
         todo = list(spent.items())
@@ -121,7 +128,12 @@ class Automaton:
             if state < 0:
                 return None
             after = steps.get((state, c))
-            state = self._step(state, c) if after is None else after
+            if after is None:  # letters that no term has are alike, so there are no more steps than states and letters of terms
+                c = c if c in self.letters else OTHER
+                after = steps.get((state, c))
+                if after is None:
+                    after = self._step(state, c)
+            state = after
         return self.accepts[state] if state >= 0 else None
 
     def lookup(self, word: str) -> tuple[str, int] | None:
@@ -129,6 +141,8 @@ class Automaton:
             return self.known[word]
         if len(self.known) >= REMEMBERED:
             self.known.clear()
+        if len(self.sets) >= STATES:
+            self._begin()
         found = self.match(word)
         if found is None and not word.isalpha():
             plain = self.match(re.sub(r"[^\w]|_", "", word.translate(LEET)))
