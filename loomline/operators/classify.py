@@ -49,30 +49,47 @@ def scored(df: DataFrame, rules: list[tuple[str, int, Column]]) -> DataFrame:
     return df.withColumns({"score": score, "rules": names}).withColumn("take", take)
 
 
-def nearest(text: str | None, topics: list[tuple[str, str]], ups: list[str], downs: list[str], negators: list[str], reach: int = 60, back: int = 18) -> dict[str, int]:
+WORD, CLAUSES = re.compile(r"\w+").finditer, re.compile(r"[.;!?\n]+").split
+
+
+def nearest(
+    text: str | None, topics: list[tuple[str, str]], ups: list[str], downs: list[str], negators: list[str], reach: int = 60, back: int = 18, owners: dict[str, list[str]] | None = None
+) -> dict[str, int]:
     """topic: 1 or -1, by the direction word nearest to it within `reach` characters of its clause. The first clause that
-    settles a topic wins, ups win over downs at equal distance, a negator up to `back` characters before turns it."""
+    settles a topic wins, ups win over downs at equal distance, a negator up to `back` characters before turns it.
+
+    Topics that are plain words may be given as owners (word: topics) instead of patterns: they are met in the pass over
+    the clause's words that finds directions, whatever their number."""
     out: dict[str, int] = {}
-    rising, signs = set(ups), dict.fromkeys(downs, -1) | dict.fromkeys(ups, 1)
-    for clause in re.split(r"[.;!?\n]+", (text or "").lower()):
-        words = [(m.start(), m[0]) for m in re.finditer(r"\w+", clause)]
-        turns = [at for at, w in words if w in negators]
-        places, marks = [], []
+    owners = owners or {}
+    rising, turning, signs = set(ups), set(negators), dict.fromkeys(downs, -1) | dict.fromkeys(ups, 1)
+    for clause in CLAUSES((text or "").lower()):
+        words = [(m.start(), m[0]) for m in WORD(clause)]
+        found = [(at, w) for at, w in words if w in signs]
+        if not found:
+            continue
+        turns = [at for at, w in words if w in turning]
+        places = [at for at, _ in found]
+        marks = []
+        for at, w in found:
+            k = bisect_left(turns, at)
+            turned = k > 0 and turns[k - 1] >= at - back
+            marks.append((w not in rising, at, -signs[w] if turned else signs[w]))
+        met: dict[str, list[int]] = {}
         for at, w in words:
-            if w in signs:
-                k = bisect_left(turns, at)
-                turned = k > 0 and turns[k - 1] >= at - back
-                places.append(at)
-                marks.append((w not in rising, at, -signs[w] if turned else signs[w]))
-        for name, pattern in topics if marks else ():
-            if name in out:
-                continue
+            for name in owners.get(w, ()):
+                if name not in out:
+                    met.setdefault(name, []).append(at)
+        for name, pattern in topics:
+            if name not in out and (starts := [m.start() for m in re.finditer(pattern, clause)]):
+                met.setdefault(name, []).extend(starts)
+        for name, starts in met.items():
             best = None
-            for m in re.finditer(pattern, clause):
-                k = bisect_left(places, m.start())
+            for start in starts:
+                k = bisect_left(places, start)
                 for j in (k - 1, k):
-                    if 0 <= j < len(marks) and (best is None or (abs(places[j] - m.start()), *marks[j]) < best):
-                        best = (abs(places[j] - m.start()), *marks[j])
+                    if 0 <= j < len(marks) and (best is None or (abs(places[j] - start), *marks[j]) < best):
+                        best = (abs(places[j] - start), *marks[j])
             if best and best[0] <= reach:
                 out[name] = best[3]
     return out

@@ -48,11 +48,16 @@ def first_of_most(counts: dict[str, Column], default: str) -> Column:
 def signals(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
     """Adds the columns that conditions name. Direction: of the word nearest to a topic in its own clause, clauses of cause
     left out; else of the more numerous kind of different direction words there; 0 for a topic in left-out clauses only."""
-    topics = [(name, r"(?<!\w)(?:" + "|".join(listed) + r")(?!\w)") for name, listed in v.topics.items()]
+    plain = lambda listed: all(re.fullmatch(r"\w+", w) for w in listed)
+    topics = [(name, r"(?<!\w)(?:" + "|".join(listed) + r")(?!\w)") for name, listed in v.topics.items() if not plain(listed)]
+    owners: dict[str, list[str]] = {}
+    for name, listed in v.topics.items():
+        for w in listed if plain(listed) else ():
+            owners.setdefault(w, []).append(name)
 
     @F.pandas_udf("map<string,int>")
     def near(texts: pd.Series) -> pd.Series:
-        return pd.Series([nearest(t, topics, v.ups, v.downs, v.negators) for t in texts], dtype="object")
+        return pd.Series([nearest(t, topics, v.ups, v.downs, v.negators, owners=owners) for t in texts], dtype="object")
 
     low = F.lower(F.coalesce(text, F.lit("")))
     kept = F.array_join(T.kept_clauses(low, v.causal, v.contrast), "\n")
@@ -60,7 +65,7 @@ def signals(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
     out = df.withColumns({"low_": low, "kept_": kept}).withColumns({"near_": near("kept_"), "all_": split("low_"), "words_": F.array_distinct(split("kept_"))})
     out = out.withColumn("set_", F.array_distinct("all_"))
     # Plain words are looked up among the text's own; only patterns are searched for.
-    inside = lambda listed: F.arrays_overlap("set_", F.array(*map(F.lit, listed))) if all(re.fullmatch(r"\w+", w) for w in listed) else F.col("low_").rlike(word(listed))
+    inside = lambda listed: F.arrays_overlap("set_", F.array(*map(F.lit, listed))) if plain(listed) else F.col("low_").rlike(word(listed))
     many = lambda listed: F.size(F.array_intersect("words_", F.array(*map(F.lit, listed))))
     has = {f"has_{n}": inside(listed) for n, listed in v.topics.items()}
     way = F.signum(many(v.ups) - many(v.downs)).cast("int")
