@@ -5,7 +5,9 @@ of its lines, joined, is normalised to lower-case ASCII letters and digits with
 marks away too) and looked up among known licence sentences; from each line on, the longest run that is known counts.
 Only whole known sentences match. The identifiers found, in order, make a sequence; a licence is recognised if the
 identifiers of one of its rules come in the rule's order in it, other known sentences in between allowed. All of it is
-one projection: no shuffle, no Python. Runs begin only at lines whose first words begin a known sentence.
+one projection: no shuffle, no Python. Runs begin only at lines whose first words begin a known sentence. Tags
+are read as expressions: each identifier that AND and OR join is a sentence of its own, an exception after WITH names no
+licence, a plus means "or later". Notices that name a licence are known by what they say it of and how, put in one way.
 
 Defined results: null and empty texts, and texts without a known sentence, have an empty sequence and no licence;
 repeated rows give repeated results; extra columns are ignored.
@@ -120,53 +122,116 @@ RULES = [
     ("WTFPL", ["wtfpl-title"]),
     ("Zlib", ["zlib-as-is", "zlib-liable", "zlib-grant", "zlib-origin"]),
 ]
-# Names of licences in notices of one sentence.
+# Names of licences in notices of one sentence, by identifier; those without names are known by their tag.
 NAMES = {
-    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPLv3"],
-    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"],
-    "BSD-2-Clause": ["BSD 2-Clause License"],
-    "BSD-3-Clause": ["BSD 3-Clause License"],
-    "BSL-1.0": ["Boost Software License, Version 1.0"],
-    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0"],
-    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"],
-    "CC-BY-ND-4.0": ["CC BY-ND 4.0"],
-    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
-    "EPL-2.0": ["Eclipse Public License 2.0"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPLv2"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPLv3"],
-    "ISC": ["ISC License"],
-    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
-    "MIT": ["MIT License"],
-    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
-    "Unlicense": ["Unlicense"],
-    "Zlib": ["zlib License"],
+    "0BSD": ["BSD Zero Clause License", "0BSD license"],
+    "AFL-3.0": ["Academic Free License 3.0", "Academic Free License version 3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPLv3", "AGPLv3", "AGPL-3.0 license"],
+    "AGPL-3.0-only": [],
+    "AGPL-3.0-or-later": [],
+    "Apache-1.1": ["Apache License, Version 1.1", "Apache Software License 1.1"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache 2.0", "Apache 2.0 License", "Apache License v2.0", "Apache License (Version 2.0)"],
+    "Artistic-1.0": ["Artistic License 1.0"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause license"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause license"],
+    "BSD-4-Clause": [],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "BlueOak-1.0.0": ["Blue Oak Model License 1.0.0"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0"],
+    "CDDL-1.0": ["Common Development and Distribution License 1.0", "Common Development and Distribution License, Version 1.0", "CDDL 1.0"],
+    "CDDL-1.1": ["Common Development and Distribution License 1.1", "CDDL 1.1"],
+    "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License, version 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, version 2.0"],
+    "EUPL-1.1": ["European Union Public Licence 1.1", "EUPL v1.1", "EUPL 1.1"],
+    "EUPL-1.2": ["European Union Public Licence 1.2", "European Union Public License 1.2", "EUPL v1.2", "EUPL 1.2"],
+    "GFDL-1.2": ["GNU Free Documentation License, Version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3"],
+    "GPL-1.0": [],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPLv2", "GNU GPL v2", "GPLv2", "GPL v2", "GPL-2.0 license"],
+    "GPL-2.0-only": [],
+    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GPLv2 or later"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPLv3", "GNU GPL v3", "GPLv3", "GPL v3", "GPL-3.0 license"],
+    "GPL-3.0-only": [],
+    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GPLv3 or later"],
+    "ISC": ["ISC License", "ISC"],
+    "LGPL-2.0": ["GNU Library General Public License, version 2", "GNU Lesser General Public License, version 2"],
+    "LGPL-2.0-only": [],
+    "LGPL-2.0-or-later": [],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL v2.1"],
+    "LGPL-2.1-only": [],
+    "LGPL-2.1-or-later": [],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL v3"],
+    "LGPL-3.0-only": [],
+    "LGPL-3.0-or-later": [],
+    "LPPL-1.3c": ["LaTeX Project Public License 1.3c", "LaTeX Project Public License, version 1.3c", "LPPL 1.3c"],
+    "MIT": ["MIT License", "MIT", "MIT license terms", "Expat License"],
+    "MIT-0": ["MIT No Attribution License", "MIT-0 license"],
+    "MPL-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, version 1.1", "MPL 1.1"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License v2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"],
+    "MS-PL": ["Microsoft Public License", "Microsoft Public License (Ms-PL)"],
+    "MS-RL": ["Microsoft Reciprocal License"],
+    "MulanPSL-2.0": ["Mulan PSL v2", "Mulan Permissive Software License, Version 2"],
+    "NCSA": ["University of Illinois/NCSA Open Source License"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1", "SIL OFL 1.1", "Open Font License 1.1"],
+    "OSL-3.0": ["Open Software License 3.0", "Open Software License version 3.0"],
+    "PostgreSQL": ["PostgreSQL License"],
+    "PSF-2.0": ["Python Software Foundation License", "Python Software Foundation License Version 2", "PSF License"],
+    "UPL-1.0": ["Universal Permissive License, Version 1.0", "Universal Permissive License 1.0"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "WTFPL": ["WTFPL"],
+    "Zlib": ["zlib License", "zlib/libpng License"],
 }
-VERBS = ["Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This file is licensed under", "This code is licensed under"]
+# Parts of the names of one family, and its versions with the words that may follow.
+CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+CC_KINDS = ["BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"]
+CC_VERSIONS = {"2.0": ["Generic"], "2.5": ["Generic"], "3.0": ["Unported"], "4.0": ["International"]}
+# What is licensed, and how a notice says so.
+THINGS = ["work", "project", "software", "file", "code", "program", "library", "package", "repository", "document", "documentation", "font", "material", "module", "tool"]
+WAYS = ["licensed", "released", "distributed", "available", "published", "provided", "made available"]
 #: A stop counts before white space only. Longest run of lines that is one sentence.
 ENDS, LINES = r"[.;:!?]+\s+|[.;:!?]+$|\n[ \t\r]*\n", 16
 # What is taken out before cutting: line comments by words; stops that end no sentence.
 WORDS_BEFORE = (r"(?m)^[ \t]*(?:dnl|REM|rem)[ \t]+", "")
 ABBREVIATED = (r"\b([vV])\.[ \t\r\n]+([0-9])", "{1} {2}")
+# Expressions of tags: "or later" as a mark, exceptions, and what AND and OR join; each that is joined gets a tag of its own.
+PLUS = (r"\b((?:A|L)?GPL-[0-9]\.[0-9])\+", "{1}-or-later")
+EXCEPTED = (r"(SPDX-License-Identifier:[^\n]*?)[ \t]+(?:WITH|with)[ \t]+[A-Za-z0-9.-]+", "{1}")
+JOINED = (r"(SPDX-License-Identifier:)([^\n]*?)[ \t]+(?:AND|OR|and|or)[ \t]+", "{1}{2}\n\n{1} ")
 TAGGED = (r"SPDX-License-Identifier:[ \t]*", "SPDX-License-Identifier ")
+HEADED = (r"(?m)^([^A-Za-z\n]*)[Ll]icen[cs]e:[ \t]+", "{1}License is ")
+REFERRED = (r"[ \t]*\((?:see|cf\.?|the file)\b[^()\n]*\)", "")
+#: Operators of an expression that are taken apart, and exceptions, one a pass.
+OPERATORS = 4
+BEFORE = (WORDS_BEFORE, ABBREVIATED, PLUS, *[EXCEPTED] * OPERATORS, *[JOINED] * OPERATORS, TAGGED, HEADED, REFERRED)
 # What normalised sentences leave out or say in one way: an item's number, who is named.
 NUMBERED = (r"^[0-9]{1,2} ", "")
 NAMED = (r"^neither the names? of .{1,160} nor the names of (?:its|their|any) contributors", "neither the name of the copyright holder nor the names of its contributors")
+SAID = (rf"^(?:this (?:{'|'.join(THINGS)}) is )?(?:{'|'.join(WAYS)}) under (?:the terms of )?(?:(?:the|a|an) )?", "licensed under ")
 FIRST = "^[^a-z0-9]*(?:[0-9]{1,2}[^a-z0-9]+)?([a-z0-9]+)(?:[^a-z0-9]+([a-z0-9]+))?"
 
 
 def normal(sentence: str) -> str:
-    return re.sub(*NAMED, re.sub(*NUMBERED, re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")))
+    return re.sub(*SAID, re.sub(*NAMED, re.sub(*NUMBERED, re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" "))))
+
+
+def all_names() -> dict[str, list[str]]:
+    """NAMES and those of the family that has a rule for its names."""
+    out = dict(NAMES)
+    for kind in CC_KINDS:
+        for version, after in CC_VERSIONS.items():
+            long = f"Creative Commons {'-'.join(CC_PARTS[p] for p in kind.split('-'))}"
+            longs = {long, long.replace("NoDerivatives", "NoDerivs")}
+            names = [f"{n} {v}{a}{end}" for n in sorted(longs) for v in (version,) for a in ("", *(f" {x}" for x in after)) for end in ("", " License")]
+            out[f"CC-{kind}-{version}"] = [f"CC {kind} {version}", f"CC {kind} {version} license", *names]
+    return out
 
 
 def named() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
     """Sentences and rules of notices that name a licence, and of its tag."""
     sentences, rules = {}, []
-    for licence, names in NAMES.items():
-        own = [f"SPDX-License-Identifier {licence}"] + [f"{v} {the}{n}" for n in names for v in VERBS for the in ("", "the ", "a ")]
+    for licence, names in all_names().items():
+        own = [f"SPDX-License-Identifier {licence}", f"License is {licence}", *(f"Licensed under {n}" for n in names), *(f"License is {n}" for n in names)]
         for k, s in enumerate(own):
             sentences[f"{licence.lower()}-named-{k}"] = s
             rules.append((licence, [f"{licence.lower()}-named-{k}"]))
@@ -186,7 +251,8 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
 
 def starts(normalised: dict[str, str]) -> list[str]:
     """First two words of known sentences, and the first alone (for lines of one word)."""
-    return sorted({" ".join(n.split()[:k]) for n in normalised for k in (1, 2)})
+    said = [f"{w} under" for w in WAYS] + [f"this {t} is" for t in THINGS]
+    return sorted({" ".join(n.split()[:k]) for n in (*normalised, *said) for k in (1, 2)})
 
 
 def pattern(rule: list[str]) -> str:
@@ -195,7 +261,7 @@ def pattern(rule: list[str]) -> str:
 
 
 def _normal(c: Column) -> Column:
-    for a, b in (("[^a-z0-9]+", " "), ("^ | $", ""), NUMBERED, NAMED):
+    for a, b in (("[^a-z0-9]+", " "), ("^ | $", ""), NUMBERED, NAMED, SAID):
         c = F.regexp_replace(F.lower(c) if b == " " else c, a, b)
     return c
 
@@ -222,7 +288,7 @@ def recognise(docs: DataFrame, sentences: dict[str, str] | None = None, rules: l
     table = F.create_map(*[F.lit(x) for pair in normalised.items() for x in pair])
     first = starts(normalised)
     text = F.coalesce("text", F.lit(""))
-    for a, b in (WORDS_BEFORE, ABBREVIATED, TAGGED):
+    for a, b in BEFORE:
         text = F.regexp_replace(text, a, b.format("", "$1", "$2"))
 
     def runs(lines: Column) -> Column:
@@ -256,10 +322,10 @@ def sql() -> str:
     alone = ", ".join(f"('{i}', '{name}')" for i, name in single.items())
     rows = ", ".join(f"('{name}', '{pattern(r)}')" for name, r in others)
     text = "coalesce(text, '')"
-    for a, b in (WORDS_BEFORE, ABBREVIATED, TAGGED):
+    for a, b in BEFORE:
         text = f"regexp_replace({text}, '{quote(a)}', '{b.format('', chr(92) + '1', chr(92) + '2')}', 'g')"
     norm = "regexp_replace(regexp_replace(lower(%s), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g')"
-    for a, b in (NUMBERED, NAMED):
+    for a, b in (NUMBERED, NAMED, SAID):
         norm = f"regexp_replace({norm}, '{a}', '{b}')"
     return f"""
     WITH known(normal, id) AS (VALUES {values}),
@@ -269,7 +335,7 @@ def sql() -> str:
     cut AS (SELECT r, unnest(regexp_split_to_array(t, '{ENDS}')) AS s, generate_subscripts(regexp_split_to_array(t, '{ENDS}'), 1) AS p FROM (SELECT r, {text} AS t FROM docs)),
     lines AS (SELECT r, p, string_split(s, chr(10)) AS ls, generate_subscripts(string_split(s, chr(10)), 1) AS i FROM cut),
     runs AS (SELECT r, p, i, n, array_to_string(ls[i : i + n - 1], ' ') AS t FROM (SELECT *, unnest(range(1, least({LINES}, len(ls) - i + 1) + 1)) AS n FROM lines
-      WHERE rtrim(regexp_extract(lower(ls[i]), '{FIRST}', 1) || ' ' || regexp_extract(lower(ls[i]), '{FIRST}', 2)) IN (SELECT unnest([regexp_extract(normal, '^[a-z0-9]+'), regexp_extract(normal, '^[a-z0-9]+(?: [a-z0-9]+)?')]) FROM known))),
+      WHERE rtrim(regexp_extract(lower(ls[i]), '{FIRST}', 1) || ' ' || regexp_extract(lower(ls[i]), '{FIRST}', 2)) IN ({", ".join(f"'{x}'" for x in starts(normalised))}))),
     found AS (SELECT r, p, i, max_by(id, n) AS id FROM runs JOIN known ON {norm % "t"} = normal GROUP BY ALL),
     seqs AS (SELECT r, string_agg(id, ',' ORDER BY p, i) AS ids FROM found GROUP BY r),
     hits AS (SELECT r, licence FROM found JOIN alone USING (id) UNION SELECT r, licence FROM seqs JOIN rules ON regexp_matches(',' || ids || ',', pattern)),
