@@ -14,9 +14,10 @@ those outside menus, headers, footers, sidebars, notices, adverts, forms and com
 and by the words of their class, id and role.
 
 Pages of the same text outside menus, notices and the like are copies, and one of each host stands for them when the
-template is deduced. A host with fewer than PAGES different pages has none. Where the classes' texts make up more than
-COPIED of the pages' own text, the pages are near copies, and the template keeps its elements only: what copies share is
-no template.
+template is deduced. A host with fewer than PAGES different pages has none. Where no heading of a host's pages differs and
+the classes hold more than ALIKE of their different texts, block by block, the pages are near copies of one article, and
+the template keeps its elements only: what copies share is no template. How long a shared text is, or how often a page
+repeats it, does not count; where headings differ, all shared texts go, however many.
 
 Templates go to every task while their size, counted first, is at most CONSTANTS; else they are joined by host, with the
 same result. A template has no more tokens than two average pages.
@@ -42,8 +43,8 @@ from .common import discard, stash
 
 #: Least pages of a class, and its least share of the host's pages.
 PAGES, SHARE = 3, 0.5
-#: Share of a host's text that its template may take.
-COPIED = 0.75
+#: Share of the different texts of pages with the same headings from which these are near copies.
+ALIKE = 0.8
 #: Template tokens of all hosts that may be sent to every task (24 bytes each).
 CONSTANTS = 2_000_000
 
@@ -55,6 +56,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 # Kinds of HTML elements, and words that mark parts outside the main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style head title noscript template iframe object embed svg math canvas nav footer aside form button select textarea menu dialog noembed noframes xmp audio video map datalist".split())
 OUTSIDE = frozenset(
@@ -69,8 +71,8 @@ ITEMS = frozenset(["li", "td", "th", "tr", "dt", "dd", "option"])
 SPACE = re.compile(r"\s+")
 
 #: token, whether it stands in none of the parts outside the main text, number of the article or main element around it
-#: (from 1, or 0), and the text of a text block.
-Event = tuple[int, bool, int, str | None]
+#: (from 1, or 0), the text of a text block, and whether it is a heading's.
+Event = tuple[int, bool, int, str | None, bool]
 
 
 def signed(h: int) -> int:
@@ -97,7 +99,7 @@ def events(html: str | None) -> list[Event]:
             whole = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if whole:
-                out.append((_hash("t", path, whole), kept, article, whole))
+                out.append((_hash("t", path, whole), kept, article, whole, any(map(open_.__getitem__, HEADINGS))))
 
     def close(i: int) -> None:
         """Ends the elements from place i of the stack on."""
@@ -105,7 +107,7 @@ def events(html: str | None) -> list[Event]:
         for tag, p, k, a in reversed(stack[i:]):
             open_[tag] -= 1
             if tag in BLOCKS:
-                out.append((_hash("c", p, ""), k, a, None))
+                out.append((_hash("c", p, ""), k, a, None, False))
         del stack[i:]
         path, kept, article = stack[-1][1:] if stack else (0, True, 0)
 
@@ -174,15 +176,21 @@ def events(html: str | None) -> list[Event]:
         stack.append((tag, path, kept, article))
         open_[tag] += 1
         if starts:
-            out.append((_hash("o", path, ""), kept, article, None))
+            out.append((_hash("o", path, ""), kept, article, None, False))
     flush()
     close(0)
     return out
 
 
-def content(found: list[Event]) -> int:
-    """A digest of a page's text outside menus, notices and the like: equal for copies, whatever surrounds them."""
-    return signed(xxh64_intdigest("\x00".join(t for _, kept, _, t in found if t is not None and kept).encode("utf-8", "surrogatepass")))
+def content(found: list[Event], headings: bool = False) -> int:
+    """A digest of a page's text outside menus, notices and the like, or of its headings there: equal for copies."""
+    return signed(xxh64_intdigest("\x00".join(t for _, kept, _, t, head in found if t is not None and kept and head >= headings).encode("utf-8", "surrogatepass")))
+
+
+def firsts(found: list[Event]) -> list[int]:
+    """1 for the first of each text outside menus and the like, else 0."""
+    met: set[int] = set()
+    return [int(kept and t is not None and not (token in met or met.add(token))) for token, kept, _, t, _ in found]
 
 
 def host(url: str):
@@ -190,27 +198,27 @@ def host(url: str):
 
 
 def sequences(pages: DataFrame) -> DataFrame:
-    """host, page, tokens (in order) and sizes (characters of text outside menus and the like) of a host's pages.
+    """host, page, tokens (in order), sizes (see firsts) and head (a digest of headings) of a host's pages.
 
     Of copies the page of the least tokens.
     """
 
-    @F.pandas_udf("page long, tokens array<long>, sizes array<int>")
+    @F.pandas_udf("page long, tokens array<long>, sizes array<int>, head long")
     def run(htmls: pd.Series) -> pd.DataFrame:
         found = [events(h) for h in htmls]
-        return pd.DataFrame({"page": [content(f) for f in found], "tokens": [[e[0] for e in f] for f in found], "sizes": [[len(e[3]) if e[1] and e[3] else 0 for e in f] for f in found]})
+        return pd.DataFrame({"page": [content(f) for f in found], "tokens": [[e[0] for e in f] for f in found], "sizes": [firsts(f) for f in found], "head": [content(f, True) for f in found]})
 
     rows = pages.select(host("url").alias("host"), run("html").alias("r")).select("host", "r.*").where(F.size("tokens") > 0)
-    return rows.groupBy("host", "page").agg(F.min(F.struct("tokens", "sizes")).alias("r")).select("host", "page", "r.*")
+    return rows.groupBy("host", "page").agg(F.min(F.struct("tokens", "sizes", "head")).alias("r")).select("host", "page", "r.*")
 
 
 def classes(pages: DataFrame) -> DataFrame:
     """The equivalence classes of sequences(): host, class (its occurrence vector's digest), support (pages), tokens,
-    weight (characters of its texts on all pages) and whole (characters of all texts of the host's pages)."""
+    weight (its different texts, page by page) and whole (those of the host's pages, or 0 if headings differ)."""
     flat = pages.select("host", "page", F.explode(F.arrays_zip("tokens", "sizes")).alias("x")).select("host", "page", F.col("x.tokens").alias("token"), "x.sizes")
     times = flat.groupBy("host", "page", "token").agg(F.count("*").alias("n"), F.sum("sizes").alias("size"))
     vectors = times.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("support"), F.sum("size").alias("size"))
-    total = pages.groupBy("host").agg(F.count("*").alias("total"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("whole"))
+    total = pages.groupBy("host").agg(F.count("*").alias("total"), F.when(F.min("head") == F.max("head"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).otherwise(0).alias("whole"))
     frequent = vectors.where(F.col("support") >= PAGES).join(total, "host").where(F.col("support") >= SHARE * F.col("total"))
     found = frequent.groupBy("host", "class", "support", "whole").agg(F.collect_list("token").alias("tokens"), F.sum("size").alias("weight"), F.max(F.col("token").bitwiseAND(F.lit(1))).alias("markup"))
     return found.where((F.size("tokens") > 1) & (F.col("markup") == 1)).drop("markup")
@@ -267,7 +275,7 @@ def agreed(candidates: list[tuple[int, int, list[int], int]], apart: set[tuple[i
     for c, _, order, weight in sorted(candidates, key=lambda x: (-x[1], -len(x[2]), x[0])):
         if not any((c, d) in apart or (d, c) in apart for d, *_ in kept):
             kept.append((c, order, weight))
-    if sum(w for *_, w in kept) > COPIED * whole:
+    if whole and sum(w for *_, w in kept) > ALIKE * whole:
         return [[t for t in order if t & 1] for _, order, _ in kept]
     return [order for _, order, _ in kept]
 
