@@ -57,10 +57,10 @@ def sector_index(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2])
 
 
-@query("""SELECT c_nationkey AS nation, c_mktsegment AS segment, array_to_string(list(c_custkey || ':' || round(c_acctbal)::BIGINT ORDER BY c_custkey), ',') AS series FROM customer WHERE c_custkey % 3 = 0 GROUP BY ALL""")
+@query("""SELECT c_nationkey AS nation, c_mktsegment AS segment, array_to_string(list(c_custkey || ':' || floor(c_acctbal + 0.5)::BIGINT ORDER BY c_custkey), ',') AS series FROM customer GROUP BY ALL""")
 def grouped_series(spark: SparkSession, d: str) -> DataFrame:
     """Of each nation and segment its rows in order, as one series."""
-    rows = table(spark, d, "customer").where("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
     point = F.struct("c_custkey", F.concat_ws(":", "c_custkey", F.floor(F.col("c_acctbal") + 0.5)).alias("p"))
     return rows.agg(F.array_sort(F.collect_list(point)).alias("all")).select("nation", "segment", F.array_join(F.transform("all", lambda x: x.p), ",").alias("series"))
 
@@ -178,11 +178,11 @@ def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", v.alias("v")).select("o_orderkey", F.expr("try_cast(substr(v, 1, 10) AS date)").alias("day"))
 
 
-@query("""SELECT user_id, array_to_string(list((event_id || ':' || round(value, 2)::DECIMAL(18, 2)) ORDER BY event_id) FILTER (value IS NOT NULL AND event_type <> 'error' AND isfinite(value)), ',') AS points FROM events WHERE user_id % 4 = 1 GROUP BY user_id""")
+@query("""SELECT user_id, array_to_string(list((event_id || ':' || round(value, 2)::DECIMAL(18, 2)) ORDER BY event_id) FILTER (value IS NOT NULL AND event_type <> 'error' AND isfinite(value)), ',') AS points FROM events GROUP BY user_id""")
 def clean_points(spark: SparkSession, d: str) -> DataFrame:
     """Points of a series that are two finite numbers; others (here those of errors) go."""
     v = F.when(F.col("event_type") != "error", F.col("value"))
-    rows = table(spark, d, "events").where("user_id % 4 = 1").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", v.alias("v")))).alias("all"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", v.alias("v")))).alias("all"))
     good = F.filter("all", lambda p: p.v.isNotNull() & ~F.isnan(p.v) & (F.abs(p.v) < float("inf")))
     return rows.select("user_id", F.when(F.size(good) > 0, F.array_join(F.transform(good, lambda p: F.concat_ws(":", p.event_id, F.round(p.v, 2).cast("decimal(18,2)"))), ",")).alias("points"))
 
@@ -288,13 +288,13 @@ def blocked_domains(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", bad.alias("blocked"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g') AS folded FROM documents WHERE lang IN ('fr', 'es', 'en')""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g') AS folded FROM documents""")
 def folded_text(spark: SparkSession, d: str) -> DataFrame:
     """Lower case without accents: letters are taken apart from their marks, whatever the letter, and the marks go."""
     from loomline.functions.text import unmarked
 
     c = F.regexp_replace(F.regexp_replace(unmarked(F.col("text")), "[^a-z0-9]+", " "), "^ | $", "")
-    return table(spark, d, "documents").where(F.col("lang").isin("fr", "es", "en")).select("doc_id", c.alias("folded"))
+    return table(spark, d, "documents").select("doc_id", c.alias("folded"))
 
 
 @query()
