@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import contacts
+from loomline.operators import ranks
 from loomline.plans.registry import registry
 from loomline.sources import table
 
@@ -128,16 +129,17 @@ def latest_filings(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY last DESC, user_id) AS latest, row_number() OVER (PARTITION BY user_id % 5 ORDER BY day DESC, user_id) AS week FROM (SELECT user_id, max(ts) AS last, max(ts)::DATE AS day FROM events GROUP BY 1)""")
 def latest_and_week_order(spark: SparkSession, d: str) -> DataFrame:
     """Places of users in the order of their last event, and in the order of its day with ids between equals."""
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
-    own = Window.partitionBy(F.col("user_id") % 5)
-    return rows.select("user_id", F.row_number().over(own.orderBy(F.desc("last"), "user_id")).alias("latest"), F.row_number().over(own.orderBy(F.desc(F.to_date("last")), "user_id")).alias("week"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", "last", (F.col("user_id") % 5).alias("part"))
+    latest = ranks.numbered(rows, ["part"], [F.desc("last"), F.col("user_id")], "latest")
+    return ranks.numbered(latest, ["part"], [F.desc(F.to_date("last")), F.col("user_id")], "week").select("user_id", "latest", "week")
 
 
 @query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, 0), p_name, p_partkey) AS place FROM part""")
 def category_order(spark: SparkSession, d: str) -> DataFrame:
     """Order given (0 if not), then name, then id."""
     given = F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.lit(0))
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(given, "p_name", "p_partkey")).alias("place"))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", given.alias("given"))
+    return ranks.numbered(rows, ["p_brand"], [F.col("given"), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 @query("""WITH k AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') AS key FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r FROM k) SELECT doc_id, substr(sha1(CASE WHEN r = 1 THEN key ELSE key || '#' || r END), 1, 12) AS id FROM n""")
