@@ -158,21 +158,45 @@ RULES = [("example.com", "<article>", "</article>", r"^\P{L}*$", 40, 0.5, False)
 _RULES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in RULES)
 
 
-def _article_sql() -> str:
-    gone = "regexp_replace(body, '<!--.*?-->', ' ', 'gs')"
+def _gone(c: str) -> str:
+    out = f"regexp_replace({c}, '<!--.*?-->', ' ', 'gs')"
     for tag in articles.GONE:
-        gone = f"regexp_replace({gone}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'gis')"
-    read = lambda c: f"replace(replace(replace(replace(replace({c}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"
-    plain = lambda c: f"""trim(regexp_replace({read(f"regexp_replace({c}, '<[^>]*>', '', 'g')")}, '[ \\t\\r\\n\\f\\x0B\\x{{a0}}]+', ' ', 'g'), ' ')"""
+        out = f"regexp_replace({out}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'gis')"
+    return out
+
+
+def _plain(c: str) -> str:
+    """A block's text; the tables have no other references than these."""
+    read = f"replace(replace(replace(replace(replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"
+    return f"trim(regexp_replace({read}, '[ \\t\\r\\n\\f\\x0B\\x{{a0}}]+', ' ', 'g'), ' ')"
+
+
+def _parts(c: str) -> str:
+    return f"string_split(regexp_replace(regexp_replace({_gone(c)}, '<({articles.BLOCKS})\\b[^>]*>', chr(1) || '\\1' || chr(2), 'gi'), '</({articles.BLOCKS})\\s*>', chr(1) || chr(2), 'gi'), chr(1))"
+
+
+_TAG, _RAW = "lower(string_split(x, chr(2))[1])", "CASE WHEN contains(x, chr(2)) THEN substr(x, instr(x, chr(2)) + 1) ELSE x END"
+
+
+@query(f"""WITH b AS (SELECT page_id, list_transform({_parts("coalesce(html, '')")}, lambda x: {{'kind': CASE WHEN regexp_full_match({_TAG}, 'h[1-6]') THEN 'heading' WHEN {_TAG} = 'li' THEN 'item' WHEN {_TAG} = 'blockquote' THEN 'quote' WHEN {_TAG} IN ('td', 'th') THEN 'cell' ELSE 'text' END, 'raw': {_RAW}}}) AS raws FROM pages),
+t AS (SELECT page_id, list_filter(list_transform(raws, lambda x: {{'kind': x.kind, 'text': {_plain('x.raw')}}}), lambda x: x.text <> '') AS l FROM b)
+SELECT page_id, (place - 1)::INT AS place, l[place].kind AS kind, l[place].text AS text FROM (SELECT page_id, l, unnest(generate_series(1, len(l))) AS place FROM t)""")
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Typed blocks of each page in order: headings, items, quotes, cells and other text."""
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(articles.blocks(F.coalesce("html", F.lit("")))).alias("place", "b"))
+    return rows.select("page_id", "place", "b.kind", "b.text")
+
+
+def _article_sql() -> str:
     return f"""WITH rules(suffix, start, stop, pattern, least, most_links, locked) AS (VALUES {_RULES}),
 p AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce({_DOMAIN}, '') AS domain FROM pages),
 ranked AS (SELECT p.*, r.*, row_number() OVER (PARTITION BY page_id ORDER BY length(suffix) DESC NULLS LAST) AS k FROM p LEFT JOIN rules r ON domain = suffix OR ends_with(domain, '.' || suffix)),
 r AS (SELECT page_id, url, domain, html, coalesce(suffix, '') AS suffix, start, stop, pattern, coalesce(least, 25) AS least, coalesce(most_links, 0.33) AS most_links, coalesce(locked, false) AS locked FROM ranked WHERE k = 1),
 a AS (SELECT *, CASE WHEN start IS NULL OR NOT contains(html, start) THEN html ELSE string_split(html, start)[-1] END AS begun FROM r),
 i AS (SELECT *, CASE WHEN stop IS NULL OR NOT contains(begun, stop) THEN begun ELSE string_split(begun, stop)[1] END AS body FROM a),
-c AS (SELECT *, string_split(regexp_replace(regexp_replace({gone}, '<({articles.BLOCKS})\\b[^>]*>', chr(1) || '\\1' || chr(2), 'gi'), '</({articles.BLOCKS})\\s*>', chr(1) || chr(2), 'gi'), chr(1)) AS parts FROM i),
+c AS (SELECT *, {_parts("body")} AS parts FROM i),
 b AS (SELECT *, list_transform(parts, lambda x: {{'heading': regexp_full_match(lower(string_split(x, chr(2))[1]), 'h[1-6]'), 'raw': CASE WHEN contains(x, chr(2)) THEN substr(x, instr(x, chr(2)) + 1) ELSE x END}}) AS raws FROM c),
-t AS (SELECT *, list_transform(raws, lambda x: {{'heading': x.heading, 'text': {plain('x.raw')}, 'links': coalesce(list_sum(list_transform(regexp_extract_all(x.raw, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1), lambda y: length({plain('y')}))), 0)}}) AS texts FROM b),
+t AS (SELECT *, list_transform(raws, lambda x: {{'heading': x.heading, 'text': {_plain('x.raw')}, 'links': coalesce(list_sum(list_transform(regexp_extract_all(x.raw, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1), lambda y: length({_plain('y')}))), 0)}}) AS texts FROM b),
 j AS (SELECT page_id, domain, suffix, url, locked, array_to_string(list_transform(list_filter(texts, lambda x: x.text <> '' AND (length(x.text) >= least OR x.heading) AND x.links <= most_links * length(x.text) AND coalesce(NOT regexp_matches(x.text, pattern), true)), lambda x: x.text), chr(10) || chr(10)) AS body FROM t),
 v AS (SELECT *, CASE WHEN coalesce(url, '') = '' THEN 'no url' WHEN locked THEN 'locked' WHEN length(body) < 200 THEN 'short' WHEN regexp_matches(body, '(?i)log in to') THEN 'teaser' WHEN regexp_matches(body, '^Es ') THEN 'boilerplate' ELSE 'ok' END AS reason FROM j)
 SELECT page_id, domain, suffix, CASE WHEN reason = 'ok' THEN substr(body, 1, 3500) END AS body, reason FROM v"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import numbers, text
-from loomline.operators import aggregates, classify, clusters, html, joins, series
+from loomline.operators import aggregates, classify, clusters, joins, series
 from loomline.plans.registry import registry
 from loomline.sources import table
 
@@ -115,12 +115,6 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query()
-def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Typed blocks of each page in order: headings, paragraphs, list items, quotes, links and images."""
-    return html.blocks(table(spark, d, "pages"))
-
-
 @query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_extract(url, '(#.*)$', 1) AS mark, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
 k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref)=')), '&') AS kept FROM p)
 SELECT page_id, base || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END || mark AS clean, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS domain FROM k""")
