@@ -46,8 +46,10 @@ SIMILARITY = 0.8
 SHORT, ANCHORS = 56, 10
 #: Characters of items in a block (one item at least).
 CHARS = 2_000_000
-#: Characters scanned at once, pairs whose distances are taken at once, and the characters of an item up to which they are.
-PIECE, TOGETHER, LONG = 1_000_000, 512, 2000
+#: Characters scanned at once, pairs whose distances are taken at once, their characters, and those of an item up to which they are.
+PIECE, TOGETHER, CELLS, LONG = 1_000_000, 4096, 4_000_000, 2000
+#: Pairs that wait before their distances are taken.
+WAITING = 8192
 
 _rng = np.random.default_rng(20240)
 #: Whether the walk moves on, by repetition, step and character (folded to a byte); never past the end of a text.
@@ -149,7 +151,11 @@ def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
             left.append(k)
     left.sort(key=lambda k: (-(-len(pairs[k][0]) // 64), len(pairs[k][1])))
     one, high = np.uint64(1), np.uint64(63)
-    for group in (left[i : i + TOGETHER] for i in range(0, len(left), TOGETHER)):
+    done = 0
+    while done < len(left):
+        longest = max(len(pairs[k][1]) for k in left[done : done + TOGETHER])
+        group = left[done : done + max(256, min(TOGETHER, CELLS // longest))]
+        done += len(group)
         items = {t: j for j, t in enumerate(dict.fromkeys(pairs[k][0] for k in group))}
         words = -(-max(map(len, items)) // 64)
         letters, ids = np.unique(points("".join(items)), return_inverse=True)
@@ -305,7 +311,7 @@ class Items:
             for row, k, start, passage in self._passages(pieces):
                 pairs.append((self.text(k), passage, self.most[k]))
                 where.append((row, k, start))
-            if len(pairs) >= 16 * TOGETHER:
+            if len(pairs) >= WAITING:
                 settle()
         settle()
         return [(row, k, got, end) for (row, k), (got, end) in sorted(best.items()) if got <= self.most[k]]
