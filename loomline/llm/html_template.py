@@ -56,7 +56,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 # Kinds of HTML elements, and words that mark parts outside the main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style head title noscript template iframe object embed svg math canvas nav footer aside form button select textarea menu dialog noembed noframes xmp audio video map datalist".split())
 OUTSIDE = frozenset(
@@ -92,20 +92,21 @@ def events(html: str | None) -> list[Event]:
     open_: Counter = Counter()
     text: list[str] = []
     articles, at, size = 0, 0, len(html or "")
-    path, kept, article = 0, True, 0
+    path, kept, article, heads = 0, True, 0, 0
 
     def flush() -> None:
         if text:
             whole = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if whole:
-                out.append((_hash("t", path, whole), kept, article, whole, any(map(open_.__getitem__, HEADINGS))))
+                out.append((_hash("t", path, whole), kept, article, whole, heads > 0))
 
     def close(i: int) -> None:
         """Ends the elements from place i of the stack on."""
-        nonlocal path, kept, article
+        nonlocal path, kept, article, heads
         for tag, p, k, a in reversed(stack[i:]):
             open_[tag] -= 1
+            heads -= tag in HEADINGS
             if tag in BLOCKS:
                 out.append((_hash("c", p, ""), k, a, None, False))
         del stack[i:]
@@ -175,6 +176,7 @@ def events(html: str | None) -> list[Event]:
         path = xxh64_intdigest(f"{path}/{tag}.{'.'.join(sorted(named))}")
         stack.append((tag, path, kept, article))
         open_[tag] += 1
+        heads += tag in HEADINGS
         if starts:
             out.append((_hash("o", path, ""), kept, article, None, False))
     flush()
@@ -184,13 +186,20 @@ def events(html: str | None) -> list[Event]:
 
 def content(found: list[Event], headings: bool = False) -> int:
     """A digest of a page's text outside menus, notices and the like, or of its headings there: equal for copies."""
-    return signed(xxh64_intdigest("\x00".join(t for _, kept, _, t, head in found if t is not None and kept and head >= headings).encode("utf-8", "surrogatepass")))
+    texts = [t for _, kept, _, t, head in found if head and kept] if headings else [t for _, kept, _, t, _ in found if kept and t is not None]
+    return signed(xxh64_intdigest("\x00".join(texts).encode("utf-8", "surrogatepass")))
 
 
 def firsts(found: list[Event]) -> list[int]:
     """1 for the first of each text outside menus and the like, else 0."""
-    met: set[int] = set()
-    return [int(kept and t is not None and not (token in met or met.add(token))) for token, kept, _, t, _ in found]
+    out = [0] * len(found)
+    first: dict[int, int] = {}
+    for i, (token, kept, _, t, _) in enumerate(found):
+        if kept and t is not None:
+            first.setdefault(token, i)
+    for i in first.values():
+        out[i] = 1
+    return out
 
 
 def host(url: str):
