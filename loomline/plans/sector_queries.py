@@ -228,7 +228,7 @@ def size_budget(spark: SparkSession, d: str) -> DataFrame:
 def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     """One line of JSON with sorted keys and without nulls, the same bytes for the same row."""
     nation = F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey"))
-    doc = F.to_json(F.struct(F.floor(F.col("c_acctbal") + 0.5).alias("balance"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), nation.alias("nation")))
+    doc = F.to_json(F.struct(F.round("c_acctbal").cast("long").alias("balance"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), nation.alias("nation")))
     return table(spark, d, "customer").select("c_custkey", doc.alias("doc"))
 
 
