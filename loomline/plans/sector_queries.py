@@ -94,7 +94,7 @@ def decoded_column(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT s_nationkey AS nation, '["key","name","balance"]' AS columns, '[' || string_agg('[' || s_suppkey || ',"' || s_name || '",' || round(s_acctbal)::BIGINT || ']', ',' ORDER BY s_suppkey) || ']' AS rows FROM supplier GROUP BY 1""")
 def row_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Names of columns once, then rows as arrays."""
-    row = F.concat(F.lit("["), F.col("s_suppkey").cast("string"), F.lit(',"'), F.col("s_name"), F.lit('",'), F.floor(F.col("s_acctbal") + 0.5).cast("string"), F.lit("]"))
+    row = F.concat(F.lit("["), F.col("s_suppkey").cast("string"), F.lit(',"'), F.col("s_name"), F.lit('",'), F.round("s_acctbal").cast("long").cast("string"), F.lit("]"))
     got = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("r")))).alias("all"))
     return got.select("nation", F.lit('["key","name","balance"]').alias("columns"), F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x.r), ","), F.lit("]")).alias("rows"))
 
