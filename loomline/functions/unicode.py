@@ -1,7 +1,6 @@
-"""Compatibility decomposition and character references, as column expressions.
+"""Compatibility decomposition in Arrow batches, and character references as column expressions.
 
-Tables are made from Python's own Unicode data when an expression is built; in a plan they are literal arrays that are
-indexed by code point, so that a character costs the same however long the table is.
+Tables are made from Python's own Unicode data when an expression is built; in a plan they are literal arrays.
 """
 
 from __future__ import annotations
@@ -11,11 +10,10 @@ import json
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ranges of code points that hold all decompositions of the basic plane but those of Hangul syllables.
-RANGES = ((0xA0, 0x3400), (0xA600, 0xAC00), (0xF900, 0xFFFF))
 _BETWEEN = "\x01"
 
 
@@ -29,29 +27,6 @@ def _listed(values: list[str]) -> Column:
     return F.split(F.lit(_BETWEEN.join(values)), _BETWEEN, -1)
 
 
-def _decomposed(code: Column, char: Column) -> Column:
-    tables = F.lit(None).cast("string")
-    for start, end in reversed(RANGES):
-        values = [unicodedata.normalize("NFKD", chr(i)) for i in range(start, end)]
-        tables = F.when(code.between(start, end - 1), F.get(_listed(values), code - start)).otherwise(tables)
-    n = code - 0xAC00
-    jamo = [_listed([chr(first + i) if i or keep else "" for i in range(count)]) for first, count, keep in ((0x1100, 19, True), (0x1161, 21, True), (0x11A7, 28, False))]
-    hangul = F.concat(*(F.get(part, at.cast("int")) for part, at in zip(jamo, (F.floor(n / 588), F.floor(n % 588 / 28), n % 28), strict=True)))
-    return F.coalesce(F.when(code.between(0xAC00, 0xD7A3), hangul).otherwise(tables), char)
-
-
-def _class(wanted: Callable[[int], bool]) -> str:
-    """A regular expression's class of the code points wanted."""
-    found = [i for i in range(0xA0, 0x10000) if not 0xD800 <= i < 0xE000 and wanted(i)]
-    spans = []
-    for i in found:
-        if spans and spans[-1][1] == i - 1:
-            spans[-1][1] = i
-        else:
-            spans.append([i, i])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
-
-
 def replaced(c: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """The text with each match of a pattern changed."""
     found = bound(c, lambda t: F.struct(F.split(t, pattern, -1).alias("text"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("match")))
@@ -59,27 +34,13 @@ def replaced(c: Column, pattern: str, change: Callable[[Column], Column]) -> Col
 
 
 def nfkd(c: Column) -> Column:
-    """NFKD of the basic plane: compatibility decomposition, marks in canonical order. Other planes stay as they are."""
-    changes = _class(lambda i: unicodedata.normalize("NFKD", chr(i)) != chr(i))
-    marks = _class(lambda i: unicodedata.combining(chr(i)) > 0)
-    apart = replaced(c, changes, lambda m: _decomposed(F.ascii(m), m))
-    low, high = 0x300, 0x3100
-    order = _listed([str(unicodedata.combining(chr(i))) for i in range(low, high)])
-    far = {i: unicodedata.combining(chr(i)) for i in range(high, 0x10000) if not 0xD800 <= i < 0xE000 and unicodedata.combining(chr(i))}
-
-    def rank(char: Column) -> Column:
-        code = F.ascii(char)
-        elsewhere = F.lit(0)
-        for k in sorted(set(far.values())):
-            elsewhere = F.when(code.isin([i for i, v in far.items() if v == k]), k).otherwise(elsewhere)
-        return F.when(code.between(low, high - 1), F.get(order, code - low).cast("int")).otherwise(elsewhere)
-
-    def sorted_marks(run: Column) -> Column:
-        chars = F.transform(F.split(run, ""), lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i"), x.alias("x")))
-        return F.array_join(F.transform(F.array_sort(chars), lambda x: x["x"]), "")
-
-    ordered = F.when(apart.rlike(marks + "{2}"), replaced(apart, marks + "{2,}", sorted_marks)).otherwise(apart)
-    return F.when(c.rlike(r"[^\x00-\x9f]"), ordered).otherwise(c)
+    """NFKD: compatibility decomposition, marks in canonical order. Texts go through Arrow, so not for use inside lambdas."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else unicodedata.normalize("NFKD", t) for t in texts], dtype="object")
+
+    return run(c)
 
 
 def nfkd_lower(c: Column) -> Column:

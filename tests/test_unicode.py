@@ -35,3 +35,11 @@ def test_references(spark):
     texts = parts + ["".join(rng.choices(parts, k=5)) for _ in range(600)]
     assert changed(spark, texts, unicode.unescaped) == [html.unescape(t) for t in texts]
     assert changed(spark, ["", None, "Arauco&rsquo;s Sucuri&uacute;"], unicode.unescaped) == ["", None, "Arauco’s Sucuriú"]
+
+
+def test_nfkd_of_many_letters_takes_no_expression_for_each(spark):
+    """A letter that has a decomposition once took 15 microseconds and more, in interpreted lambdas."""
+    plan = spark.range(1).select(unicode.nfkd_lower(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+    texts = ["𝐀𝟘 \U0001d15e ｋ１é", "ａ" * 5000 + "ẹ́"]
+    assert changed(spark, texts, unicode.nfkd) == [unicodedata.normalize("NFKD", t) for t in texts]
