@@ -29,3 +29,12 @@ def test_first_of_each_key_once(spark, tmp_path):
     stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(out).awaitTermination()
     got = [(r.user_id, r.event_type) for r in spark.read.parquet(out).collect()]
     assert len(got) == len(set(got)) == rows.select("user_id", "event_type").distinct().count()
+
+
+def test_limited_counts_over_many_batches_without_a_call_a_key(spark, tmp_path):
+    rows = small_files(spark, tmp_path)
+    stream = streaming.limited(streaming.events(spark, f"{tmp_path}/events", rows.schema, files=3), ["user_id", "event_type"], 8)
+    assert "InPandasWithState" not in stream._jdf.queryExecution().logical().toString()
+    got = streaming.drained(stream, spark, ["user_id", "event_type"], "seen")
+    want = rows.groupBy("user_id", "event_type").agg(F.least(F.count("*"), F.lit(8)).alias("passed"), F.count("*").alias("seen"))
+    assert sorted(map(tuple, got.select("user_id", "event_type", "passed", "seen").collect())) == sorted(map(tuple, want.collect()))
