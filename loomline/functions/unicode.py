@@ -5,6 +5,7 @@ Tables are made from Python's own Unicode data when an expression is built; in a
 
 from __future__ import annotations
 
+import html
 import html.entities
 import json
 import unicodedata
@@ -61,6 +62,16 @@ def _character(code: Column) -> Column:
     )
 
 
+def read_references(c: Column) -> Column:
+    """`unescaped` of whole columns, in Arrow batches; not for use inside lambdas."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else html.unescape(t) for t in texts], dtype="object")
+
+    return run(c)
+
+
 def unescaped(c: Column) -> Column:
     """Character references as what they stand for: named with or without a semicolon, decimal and hexadecimal.
 

@@ -76,7 +76,7 @@ def references_read(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
     for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt"), ("é", "&eacute;"), ("ñ", "&#241;"), ("ü", "&#xFC;"), ("ß", "&szlig;"), (" the ", "&#32;the&#x20;")):
         c = F.replace(c, F.lit(char), F.lit(ref))
-    return table(spark, d, "documents").select("doc_id", unicode.unescaped(c).alias("text"))
+    return table(spark, d, "documents").select("doc_id", unicode.read_references(c).alias("text"))
 
 
 def _monthly(spark: SparkSession, d: str) -> DataFrame:

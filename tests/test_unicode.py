@@ -43,3 +43,10 @@ def test_nfkd_of_many_letters_takes_no_expression_for_each(spark):
     assert "ArrowEvalPython" in plan and "lambda" not in plan
     texts = ["𝐀𝟘 \U0001d15e ｋ１é", "ａ" * 5000 + "ẹ́"]
     assert changed(spark, texts, unicode.nfkd) == [unicodedata.normalize("NFKD", t) for t in texts]
+
+
+def test_references_of_whole_texts(spark):
+    texts = ["", None, "plain", "Arauco&rsquo;s Sucuri&uacute", "&notit; &#150; &#0; &#x1F642; &amp;lt;", "&#32;the&#x20;" * 5000]
+    assert changed(spark, texts, unicode.read_references) == [t if t is None else html.unescape(t) for t in texts]
+    plan = spark.range(1).select(unicode.read_references(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
