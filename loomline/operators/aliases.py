@@ -7,6 +7,12 @@ it out or shuffles runs by it as its size asks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +30,47 @@ def canonical(aliases: DataFrame, alias: str, entity: str) -> DataFrame:
 
 
 def without_overlaps(found: Column) -> Column:
-    """Of spans (size, place, ...) those that are left when each, the longest first and then the earliest, takes its words."""
-    spans = F.array_sort(found, lambda a, b: F.when(a["size"] != b["size"], b["size"] - a["size"]).otherwise(a["place"] - b["place"]))
-    apart = lambda x, y: (x["place"] + x["size"] <= y["place"]) | (y["place"] + y["size"] <= x["place"])
-    taken = F.aggregate(spans, F.slice(spans, 1, 0), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.array_append(acc, x)).otherwise(acc))
-    return F.array_sort(taken, lambda a, b: a["place"] - b["place"])
+    """Of spans (size, place, ...) those that are left when each, the longest first and then the earliest, takes its words.
+    Words taken are marked, so the cost grows with the spans' words only."""
+
+    @F.pandas_udf("array<int>")
+    def kept(sizes: pd.Series, places: pd.Series) -> pd.Series:
+        def one(size, place) -> list[int]:
+            size, place = size.tolist(), place.tolist()
+            taken = bytearray(max(map(int.__add__, size, place), default=0))
+            left = []
+            for k in sorted(range(len(size)), key=lambda k: (-size[k], place[k])):
+                a, b = place[k], place[k] + size[k]
+                if not any(taken[a:b]):
+                    taken[a:b] = b"\1" * (b - a)
+                    left.append(k)
+            return sorted(left, key=place.__getitem__)
+
+        return pd.Series([one(s, p) for s, p in zip(sizes, places, strict=True)], dtype="object")
+
+    return F.transform(kept(found["size"], found["place"]), lambda k: F.get(found, k))
+
+
+def runs(texts: DataFrame, key: str, listed: str, sizes: list[int]) -> DataFrame:
+    """key, place, size and run: of each list of words all runs of the sizes given, joined column by column in Arrow."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 128):
+                part = batch.slice(first, 128)
+                words_ = part.column(1).flatten()
+                lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                place = np.arange(len(words_)) - (np.cumsum(lengths) - lengths)[row]
+                left = lengths[row] - place
+                for n in sizes:
+                    count = max(len(words_) - n + 1, 0)
+                    whole = np.flatnonzero(left[:count] >= n)
+                    joined = pc.binary_join_element_wise(*(words_.slice(i, count) for i in range(n)), pa.scalar(" ", words_.type))
+                    columns = [part.column(0).take(pa.array(row[whole])), pa.array(place[whole].astype(np.int32)), pa.array(np.full(len(whole), n, np.int32)), joined.take(pa.array(whole))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "place", "size", "run"])
+
+    return texts.select(key, listed).mapInArrow(made, f"`{key}` {dict(texts.dtypes)[key]}, place int, size int, run string")
 
 
 def mentions(texts: DataFrame, key: str, text: str, aliases: DataFrame, alias: str, entity: str, overlaps: bool = False) -> DataFrame:
@@ -36,16 +78,7 @@ def mentions(texts: DataFrame, key: str, text: str, aliases: DataFrame, alias: s
     names = canonical(aliases, alias, entity)
     # Few: no more than the longest alias has words.
     sizes = sorted(r[0] for r in names.select("size").distinct().collect())
-    if not sizes:
-        sizes = [1]
-    w = F.col("w_")
-
-    def runs_of(n: int) -> Column:
-        run = lambda i: F.struct((i - 1).alias("place"), F.lit(n).alias("size"), F.array_join(F.slice(w, i, n), " ").alias("run"))
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), run)).otherwise(F.array().cast("array<struct<place:int,size:int,run:string>>"))
-
-    runs = F.flatten(F.array(*map(runs_of, sizes)))
-    each = texts.select(key, words(F.coalesce(text, F.lit(""))).alias("w_")).where(F.size("w_") > 0).select(key, F.explode(runs).alias("r")).select(key, "r.*")
+    each = runs(texts.select(key, words(F.coalesce(text, F.lit(""))).alias("w_")), key, "w_", sizes)
     found = each.join(names, ["run", "size"]).select(key, "place", "size", "run", "entity")
     if overlaps:
         return found

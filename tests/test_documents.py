@@ -91,3 +91,11 @@ def test_nested_counters(spark):
     rows = spark.createDataFrame([("d", " vale3; VALE3 ;x", "+"), ("d", "x;;", None), ("d", None, "+"), ("e", "", "-"), ("f", "Vale3", "-")], "day string, tokens string, take string")
     got = {r.day: r.counts for r in aggregates.nested_counters(rows, ["day"], F.split("tokens", ";"), F.col("take")).collect()}
     assert got == {"d": {"VALE3": {"n": 2, "+": 2}, "X": {"n": 2, "+": 1}}, "f": {"VALE3": {"n": 1, "-": 1}}}
+
+
+def test_aliases_of_a_long_text_are_marked_not_compared(spark):
+    """Each span was once compared with all that were taken before it, and runs were made in interpreted lambdas."""
+    texts = spark.createDataFrame([(1, "a b " * 20000), (2, None), (3, "b a"), (4, "")], "k long, t string")
+    got = aliases.mentions(texts, "k", "t", spark.createDataFrame([("a b", "x"), ("b", "y"), ("b a", "z")], "a string, e string"), "a", "e")
+    assert "lambda x_1" not in (plan := got._jdf.queryExecution().toString()) and "MapInArrow" in plan
+    assert sorted(map(tuple, got.collect())) == [(1, 2 * i, 2, "a b", "x") for i in range(20000)] + [(3, 0, 2, "b a", "z")]
