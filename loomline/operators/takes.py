@@ -62,16 +62,21 @@ def signals(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
     low = F.lower(F.coalesce(text, F.lit("")))
     kept = F.array_join(T.kept_clauses(low, v.causal, v.contrast), "\n")
     split = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    out = df.withColumns({"low_": low, "kept_": kept}).withColumns({"near_": near("kept_"), "all_": split("low_"), "words_": F.array_distinct(split("kept_"))})
-    out = out.withColumn("set_", F.array_distinct("all_"))
+    out = df.withColumns({"low_": low, "kept_": kept}).withColumns({"near_": near("kept_"), "all_": split("low_"), "clear_": split("kept_")})
+    # Of a text's words only those that some list has are kept, in one pass, so that each list is compared with few.
+    listing = lambda ws: F.array(*map(F.lit, sorted(set(ws)))).cast("array<string>")
+    named = [w for listed in [*v.topics.values(), *v.flags.values(), v.companies] for w in listed]
+    regional = sorted({w for listed in v.regions.values() for w in listed})
+    moving = [w for listed in [*v.topics.values(), v.ups, v.downs] for w in listed]
+    out = out.withColumns({"set_": F.array_intersect("all_", listing(named)), "words_": F.array_intersect("clear_", listing(moving)), "placed_": F.filter("all_", lambda w: w.isin(regional))})
     # Plain words are looked up among the text's own; only patterns are searched for.
     inside = lambda listed: F.arrays_overlap("set_", F.array(*map(F.lit, listed))) if plain(listed) else F.col("low_").rlike(word(listed))
     many = lambda listed: F.size(F.array_intersect("words_", F.array(*map(F.lit, listed))))
     has = {f"has_{n}": inside(listed) for n, listed in v.topics.items()}
-    way = F.signum(many(v.ups) - many(v.downs)).cast("int")
-    towards = {f"d_{n}": F.when(~F.arrays_overlap("words_", F.array(*map(F.lit, listed))), 0).otherwise(F.coalesce(F.nullif(F.try_element_at("near_", F.lit(n)), F.lit(0)), way)) for n, listed in v.topics.items()}
+    out = out.withColumn("way_", F.signum(many(v.ups) - many(v.downs)).cast("int"))
+    towards = {f"d_{n}": F.when(~F.arrays_overlap("words_", F.array(*map(F.lit, listed))), 0).otherwise(F.coalesce(F.nullif(F.try_element_at("near_", F.lit(n)), F.lit(0)), F.col("way_"))) for n, listed in v.topics.items()}
     found = F.array_compact(F.array(*[F.when(inside([c]), F.lit(c)) for c in v.companies])) if v.companies else F.array().cast("array<string>")
-    times = lambda listed: F.size(F.filter("all_", lambda w: w.isin(listed)))
+    times = lambda listed: F.size(F.filter("placed_", lambda w: w.isin(listed)))
     regions = {n: times(listed) for n, listed in v.regions.items()}
     flags = {n: inside(listed) for n, listed in v.flags.items()}
     labels = F.array_compact(F.array(*[F.when(c, F.lit(n.removeprefix("has_"))) for n, c in has.items()]))
@@ -81,7 +86,7 @@ def signals(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
         for n, (w, topics_, c, names) in v.sectors.items()
     }
     sector = first_of_most(votes, "unknown") if votes else F.lit("unknown")
-    return out.withColumn("sector", F.when((sector == "unknown") & (F.size("covered") > 0), "company").otherwise(sector)).drop("low_", "kept_", "near_", "words_", "all_", "set_")
+    return out.withColumn("sector", F.when((sector == "unknown") & (F.size("covered") > 0), "company").otherwise(sector)).drop("low_", "kept_", "near_", "words_", "all_", "set_", "clear_", "placed_", "way_")
 
 
 Rule = tuple[str, str, int, float]

@@ -123,3 +123,14 @@ def test_missing_parts_leave_the_rest(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=100)
+
+
+def test_lists_are_compared_with_listed_words_only(spark):
+    """Each list was once compared with every word of a text."""
+    v = takes.Vocabulary(topics={"ore": ["ore"], "tin": ["tin"]}, ups=["up"], downs=["down"], negators=["not"], causal=["as"], contrast=["but"], companies=["acme"], regions={"us": ["here"], "eu": ["there"]}, flags={"figures": ["[0-9]+"]})
+    rows = spark.createDataFrame([(1, "ore up, many other words here here there acme 12"), (2, None), (3, "tin not down")], "i long, t string")
+    got = takes.signals(rows, "t", v)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect(all_" in plan and "array_distinct" not in plan
+    found = [(r.i, r.has_ore, r.has_tin, r.d_ore, r.d_tin, r.figures, r.covered, r.region) for r in got.orderBy("i").collect()]
+    assert found == [(1, True, False, 1, 0, True, ["acme"], "us"), (2, False, False, 0, 0, False, [], "unknown"), (3, False, True, 0, 1, False, [], "unknown")]
