@@ -10,7 +10,10 @@ Texts of the same set are folded into one class first. In a bucket each class is
 only, so that a large group of near copies costs links in proportion to its size. Classes of buckets that these links
 leave in several components are then joined by prefix filter: their shingles are put in one order, those of fewest
 classes first, and two sets at SIMILARITY must share one among the first fifth of each; only pairs of different
-components, of fitting sizes and places, are made. No pair that could still join two components is left out.
+components, of fitting sizes and places, are made, and of these only pairs whose bitmaps (each bit the parity of the
+shingles that fall on it) differ in no more bits than the sets may in shingles. A first round looks at about PROBES classes
+of each shingle, which joins what has many links at a cost in proportion; the second looks at all that is still in
+different components. No pair that could still join two components is left out.
 
 Defined results: texts without words are one class; of each component one row stays, that of the smallest (doc_id, text
 hash), rows with a null doc_id last; repeated rows give one row; all columns are kept.
@@ -21,6 +24,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 from itertools import repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -37,6 +41,10 @@ SIMILARITY = (4, 5)
 BANDS, ROWS = 20, 4
 #: Orders of classes; the first class of a bucket in each is one of its pivots.
 PIVOTS = 3
+#: Classes of a shingle that others are held against before all of them are.
+PROBES = 64
+#: Bits of a set's bitmap, a power of two.
+BITS = 512
 #: Shingles whose MinHashes are taken at once.
 BLOCK = 2048
 
@@ -75,6 +83,12 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """Two sets' bitmaps differ in no more bits than the sets in shingles."""
+    on = np.bincount((h >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(on.astype(bool), bitorder="little").view(np.int64)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), class, SimHash and band keys of each row."""
 
@@ -92,14 +106,15 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and shingles of wanted (class, th)."""
+    """class, shingles and bitmap of wanted (class, th)."""
 
-    @F.pandas_udf("array<long>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).view(np.int64) for t in texts], dtype="object")
+    @F.pandas_udf("shingles array<long>, bits array<long>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        found = [shingles(t) for t in texts]
+        return pd.DataFrame([(h.view(np.int64), bitmap(h)) for h in found], columns=["shingles", "bits"])
 
     texts = docs.select(text_hash().alias("th"), "text").join(wanted, "th").dropDuplicates(["class"])
-    return texts.select("class", sets("text").alias("shingles"))
+    return texts.select("class", sets("text").alias("s")).select("class", "s.*")
 
 
 def text_hash() -> Column:
@@ -115,21 +130,37 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.distinct().join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
-def apart(sets: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with different labels (class, label) that may still be near copies, by prefix filter.
+def prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, m (shingles), bits, token and j (place) of the shingles of each wanted class one of which a near copy must share.
 
     The order is by the number of classes, then the shingle. Those of one class come first and are only counted.
     """
     up, down = SIMILARITY
-    rows = sets.join(label, "class").select("class", "label", F.size("shingles").alias("m"), F.explode("shingles").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("label").alias("home"), F.max("label").alias("last")).where("classes > 1")
+    rows = sets.join(wanted, "class").select("class", F.size("shingles").alias("m"), F.explode("shingles").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     rows = rows.join(shared, "token")
     place = F.row_number().over(Window.partitionBy("class").orderBy("classes", "token")) - F.count("*").over(Window.partitionBy("class")) + F.col("m")
-    rows = rows.withColumn("j", place).where((F.col("j") <= F.col("m") - F.expr(f"(m * {up} + {down - 1}) div {down}") + 1) & (F.col("home") < F.col("last")))
-    x = rows.where("label <> home").select("token", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("m").alias("mx"), F.col("j").alias("jx"))
-    y = rows.select("token", F.col("class").alias("y"), F.col("label").alias("ly"), F.col("m").alias("my"), F.col("j").alias("jy"))
-    fits = (F.least("mx", "my") * down >= F.greatest("mx", "my") * up) & ((1 + F.least(F.col("mx") - F.col("jx"), F.col("my") - F.col("jy"))) * (up + down) >= (F.col("mx") + F.col("my")) * up)
-    return x.join(y, "token").where((F.col("lx") != F.col("ly")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = rows.withColumn("j", place).where(F.col("j") <= F.col("m") - F.expr(f"(m * {up} + {down - 1}) div {down}") + 1)
+    return rows.drop("classes").join(sets.select("class", "bits"), "class")
+
+
+def apart(rows: DataFrame, label: DataFrame, probes: int | None) -> DataFrame:
+    """Pairs (a, b) of classes with different labels (class, label) that may still be near copies, by their prefixes.
+
+    With probes each class is held against about so many classes of each shingle only, another choice for each.
+    """
+    up, down = SIMILARITY
+    rows = rows.join(label, "class")
+    shared = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("label").alias("home"), F.max("label").alias("last")).where("home < last")
+    rows = rows.join(shared, "token")
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "label", "m", "j", "bits")], "home", "classes") for side in "xy")
+    x = x.where("label_x <> home").drop("home", "classes")
+    y = y.where(F.pmod(F.xxhash64("class_y", "token"), "classes") < probes) if probes else y
+    m = F.col("m_x") + F.col("m_y")
+    fits = (F.least("m_x", "m_y") * down >= F.greatest("m_x", "m_y") * up) & ((1 + F.least(F.col("m_x") - F.col("j_x"), F.col("m_y") - F.col("j_y"))) * (up + down) >= m * up)
+    differ = reduce(add, (F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(BITS // 64)))
+    pairs = x.join(y.drop("home", "classes"), "token").where((F.col("label_x") != F.col("label_y")) & fits & (differ * (up + down) <= m * (down - up)))
+    return pairs.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -157,12 +188,17 @@ def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
     sets = held(shingle_sets(docs, first.join(wanted, "class")))
     edges = held(checked(stars, sets))
     label = components(edges, spark)
-    # Classes of buckets that are still in several components.
-    named = crowded.select("key", "class").join(label, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-    open_ = held(named.join(split, "key", "left_semi").select("class", "label").distinct())
-    more = held(checked(apart(sets, open_).join(stars, ["a", "b"], "left_anti"), sets))
-    label = components(edges.union(more), spark)
+    parts = None
+    for probes in (PROBES, None):
+        # Classes of buckets that are still in several components.
+        named = crowded.select("key", "class").join(label, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+        split = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
+        open_ = held(named.join(split, "key", "left_semi").select("class", "label").distinct())
+        if parts is None:
+            parts = held(prefixes(sets, open_.select("class")))
+        more = held(checked(apart(parts, open_, probes).join(stars, ["a", "b"], "left_anti"), sets))
+        edges = edges.union(more)
+        label = components(edges, spark)
     tied = rows.select("doc_id", "th", "class").join(label, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
     none = F.col("doc_id").isNull()
     key = [f"{c}_{uuid.uuid4().hex}" for c in ("none", "id", "th")]  # names that no column of docs has

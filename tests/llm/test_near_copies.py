@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from loomline.llm import near_copies
 
 
@@ -78,3 +80,37 @@ def test_two_texts_under_one_id(spark):
     rows = [(1, one), (1, two), (2, one), (1, one)]
     got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
     assert sorted(map(tuple, got)) == [(1, one), (1, two)]
+
+
+def test_candidates_grow_with_a_group_not_its_square(spark, monkeypatch):
+    """Copies of one text, many of them beyond the bound from the pivots: pairs that are made are few to a copy."""
+    made = []
+    whole = near_copies.apart
+
+    def counted(*args):
+        made.append(whole(*args))
+        return made[-1]
+
+    monkeypatch.setattr(near_copies, "apart", counted)
+    monkeypatch.setattr(near_copies, "discard", lambda *_: None)
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for k in range(400):
+        copy = base[:]
+        for _ in range(rng.choice([2, 3, 3, 4, 4, 5])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    assert sorted((False, r.doc_id) for r in got) == brute(rows)
+    assert made and sum(df.count() for df in made) < 6 * len(rows)
+
+
+def test_bitmaps_differ_no_more_than_sets():
+    rng = np.random.default_rng(15)
+    for n in (0, 1, 5, 200, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        b = np.r_[a[n // 4 :], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]
+        x, y = near_copies.bitmap(a), near_copies.bitmap(b)
+        assert len(x) == near_copies.BITS // 64
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= n // 4 + n // 3
