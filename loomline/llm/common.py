@@ -44,10 +44,10 @@ def workspace(spark: SparkSession) -> Iterator[str]:
         discard(spark, path)
 
 
-def stash(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
+def stash(df: DataFrame, spark: SparkSession, **options: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, and lost executors cost nothing."""
     path = f"{_open[-1] if _open else shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
