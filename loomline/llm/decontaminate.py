@@ -7,7 +7,9 @@ anew for each repetition. A window is as long as an item. It has a walk from eac
 GRAM characters have a small hash: one walk over a whole window would, at one edit in five characters, hardly ever be
 in step (see the README). The windows of a document that share keys from enough anchors with an item, at about the
 same distance from each other, are checked exactly: the least edit distance in characters between the item and any
-part of the passage there, by bit-parallel dynamic programming.
+part of the passage there, by bit-parallel dynamic programming. Before that, passages go that have fewer runs of RUN
+characters of the item than so many edits must leave whole, and those whose distances from the parts of a long item,
+of a word of the machine each, add up to more.
 
 Items of fewer than SHORT characters or of too few anchors are looked up by their parts instead: of an item with at most k edits,
 cut into k + 1 parts, one part is whole. Short ones must begin and end with words.
@@ -48,6 +50,8 @@ SHORT, ANCHORS = 56, 10
 CHARS = 2_000_000
 #: Characters scanned at once, pairs whose distances are taken at once, their characters, and those of an item up to which they are.
 PIECE, TOGETHER, CELLS, LONG = 1_000_000, 4096, 4_000_000, 2000
+#: Characters of the runs that are counted in a passage before its distance is taken, cells in which they are, passages at once.
+RUN, COUNTS, COUNTED = 3, 2048, 1024
 #: Pairs that wait before their distances are taken.
 WAITING = 8192
 
@@ -93,16 +97,26 @@ def anchors(c: np.ndarray) -> np.ndarray:
     return np.flatnonzero(h < np.uint32(DENSITY * (1 << 32))).astype(np.int32)
 
 
+def runs(c: np.ndarray) -> np.ndarray:
+    """The cell of each run of RUN characters."""
+    n = max(0, len(c) - RUN + 1)
+    h = np.zeros(n, np.uint32)
+    for k in range(RUN):
+        h *= np.uint32(1_000_003)
+        h += c[k : k + n]
+    return (h * np.uint32(0x9E3779B1) >> np.uint32(33 - COUNTS.bit_length())).astype(np.int64)
+
+
 def keys(c: np.ndarray, at: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
     """The LSH keys of the walks from `at`, and where the walks end. c ends with a zero."""
-    pos = at.copy()
+    pos = at.astype(np.intp)
     key = np.full(len(at), 1009 + repeat, np.uint64)
     for step in range(STEPS):
-        here = c[pos]
+        here = c.take(pos)
         if step in _PLACES[repeat]:
             key *= np.uint64(0x100000001B3)
             key += here
-        pos += _MOVES[repeat, step][here]
+        pos += _MOVES[repeat, step].take(here)
     key *= _MIX
     return key ^ key >> np.uint64(29), pos
 
@@ -136,6 +150,20 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def hopeless(pairs: list[tuple[str, str, int]]) -> set[int]:
+    """Of (item, passage, most) those whose item is too far by its parts of 64 characters, the last part left out."""
+    spent = dict.fromkeys((k for k, (item, *_) in enumerate(pairs) if 64 < len(item) <= LONG), 0)
+    out: set[int] = set()
+    at = 0
+    while spent:
+        parts = [(pairs[k][0][at : at + 64], pairs[k][1], pairs[k][2] - n) for k, n in spent.items()]
+        now = {k: n + d for (k, n), (d, _) in zip(spent.items(), distances(parts), strict=True)}
+        out.update(k for k, n in now.items() if n > pairs[k][2])
+        at += 64
+        spent = {k: n for k, n in now.items() if n <= pairs[k][2] and at + 64 < len(pairs[k][0])}
+    return out
+
+
 def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
     """distance() of many (item, passage, most) at once: the same bits, in words of 64, of all pairs of a group.
 
@@ -144,8 +172,11 @@ def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
     """
     out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
     left = []
+    far = hopeless(pairs)
     for k, (item, passage, most) in enumerate(pairs):
-        if len(item) > LONG or item in passage:
+        if k in far:
+            out[k] = most + 1, 0
+        elif len(item) > LONG or item in passage:
             out[k] = distance(item, passage, most)
         else:
             left.append(k)
@@ -174,7 +205,7 @@ def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
         lane = np.repeat(np.arange(len(group)), lengths)
         seen[np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths), lane] = np.where(letters[near] == text, near + 1, 0)
         up, down = list(whole[:, which]), [np.zeros(len(group), np.uint64) for _ in range(words)]
-        score = np.array([len(pairs[k][0]) for k in group])
+        score, most = (np.array(x) for x in zip(*((len(pairs[k][0]), pairs[k][2]) for k in group), strict=True))
         best, end = score.copy(), np.zeros(len(group), np.int64)
         for j in range(len(seen)):
             eqs = match[:, which, seen[j]]
@@ -195,6 +226,9 @@ def distances(pairs: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
             better = (score < best) & (j < lengths)
             if better.any():
                 best[better], end[better] = score[better], j + 1
+            # Each character left takes one off a distance at most.
+            if j % 8 == 7 and (np.minimum(best, score - np.maximum(lengths - j - 1, 0)) > most).all():
+                break
         for j, k in enumerate(group):
             out[k] = (int(best[j]), int(end[j])) if best[j] <= pairs[k][2] else (pairs[k][2] + 1, 0)
     return out
@@ -234,6 +268,25 @@ class Items:
             self.hits.append(rows_[order, 1:].astype(np.int32))
             self.bits[r][(key >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.any = any(len(k) for k in self.keys)
+        # An edit changes RUN of an item's runs at most.
+        self.runs = [runs(codes(self.text(k))).astype(np.int16) for k in range(len(size))]
+        self.kept = np.array([len(r) - RUN * m for r, m in zip(self.runs, self.most, strict=True)], np.int64)
+
+    def likely(self, run: np.ndarray, spans: list[tuple[int, int, range]]) -> np.ndarray:
+        """Whether each passage (piece, item, place) has as many of the item's runs, each as often, as the edits allowed must leave."""
+        item, begin, stop = np.array([(k, s.start, s.stop) for _, k, s in spans], np.int64).T
+        shared = np.zeros(len(spans), np.int64)
+        for x in range(0, len(spans), COUNTED):
+            some, which = np.unique(item[x : x + COUNTED], return_inverse=True)
+            own = [self.runs[k] for k in some]
+            there = np.concatenate(own) + np.repeat(np.arange(len(some)) * COUNTS, [len(r) for r in own])
+            start = begin[x : x + COUNTED]
+            n = np.maximum(stop[x : x + COUNTED] - start - RUN + 1, 0)
+            at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+            here = run[at] + np.repeat(np.arange(len(n)) * COUNTS, n)
+            counts = [np.bincount(c, minlength=rows * COUNTS).reshape(rows, COUNTS).astype(np.int32) for c, rows in ((there, len(some)), (here, len(n)))]
+            shared[x : x + COUNTED] = np.minimum(counts[0][which], counts[1]).sum(1)
+        return shared >= self.kept[item]
 
     def text(self, k: int) -> str:
         """The item as it is compared: short ones with the spaces around their words."""
@@ -322,13 +375,20 @@ class Items:
             joined = "\0".join(p for *_, p in pieces[a:b]) + "\0"
             ends = np.cumsum([len(p) + 1 for *_, p in pieces[a:b]])
             first = np.r_[0, ends[:-1]]
-            for d, k, low, high in self.windows(joined, codes(joined), first):
-                row, offset, _ = pieces[a + d]
+            c = codes(joined)
+            run = runs(c)
+            spans: list[tuple[int, int, range]] = []  # piece, item, and the passage's place
+            for d, k, low, high in self.windows(joined, c, first):
                 most = self.most[k]
                 reach = len(self.text(k)) + most  # no match is longer; long passages are cut, each match is whole in one part
                 begin, stop = max(low - most, int(first[d])), min(high + reach, int(ends[d]) - 1)
                 for at in range(begin, max(begin + 1, stop - reach), 2 * reach):
-                    yield row, k, offset + at - int(first[d]) - 1, joined[at : min(at + 3 * reach, stop)]
+                    spans.append((d, k, range(at, min(at + 3 * reach, stop))))
+            for x, y in chunks([s for *_, s in spans], CELLS):
+                for (d, k, s), take in zip(spans[x:y], self.likely(run, spans[x:y]).tolist(), strict=True):
+                    if take:
+                        row, offset, _ = pieces[a + d]
+                        yield row, k, offset + s.start - int(first[d]) - 1, joined[s.start : s.stop]
 
 
 FOUND = "name string, distance int, similarity double, end_char long"

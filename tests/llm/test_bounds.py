@@ -3,6 +3,8 @@
 import random
 import string
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from loomline.llm import decontaminate, toxicity
@@ -62,3 +64,42 @@ def test_automaton_in_long_texts():
     text = "word " * 200_000 + "".join(chr(0x4E00 + i % 20_000) + " " for i in range(60_000)) + "badword"
     automaton = toxicity.Automaton({"badword": 2.0})
     assert toxicity.sums(text, automaton)[3] > 0 and len(automaton.steps) < 200
+
+
+def test_unlike_passages_are_dropped_before_distances(monkeypatch):
+    """Passages that share an anchor only are told by their runs and by parts of the item; none within the edits is lost."""
+    rng = random.Random(17)
+    read = lambda name: [tuple(r) for r in pq.read_table(f"{SF}/{name}.parquet").select(["item_id" if name == "benchmark" else "doc_id", "text"]).to_pandas().itertuples(index=False)]
+    items = decontaminate.Items(read("benchmark"))
+    texts = [text or "" for _, text in read("documents")]
+    for k, (_, text) in enumerate(items.rows[:40]):
+        texts[k] += " " + edited(text, 0.1, rng)
+    seen, whole = [], decontaminate.distances
+
+    def counted(pairs):
+        seen.append(len(pairs))
+        return whole(pairs)
+
+    likely, all_of = decontaminate.Items.likely, lambda self, run, spans: np.ones(len(spans), bool)
+    monkeypatch.setattr(decontaminate, "distances", counted)
+    monkeypatch.setattr(decontaminate.Items, "likely", all_of)
+    monkeypatch.setattr(decontaminate, "hopeless", lambda pairs: set())
+    want, before = items.scan(texts), sum(seen)
+    seen.clear()
+    monkeypatch.setattr(decontaminate.Items, "likely", likely)
+    assert items.scan(texts) == want and len(want) >= 18
+    assert sum(seen) < before / 2
+    monkeypatch.undo()
+    assert items.scan(texts) == want
+
+
+def test_distances_by_parts_equal_one_by_one():
+    rng = random.Random(18)
+    pairs = []
+    for n in (30, 64, 65, 130, 300):
+        for share in (0.05, 0.15, 0.2, 0.3, 0.9):
+            item = "".join(rng.choices("abcdef ", k=n))
+            pairs.append((item, "".join(rng.choices("abcdef ", k=20)) + edited(item, share, rng) + "".join(rng.choices("abcdef ", k=20)), n // 5))
+    assert decontaminate.distances(pairs) == [decontaminate.distance(*p) for p in pairs]
+    far = decontaminate.hopeless(pairs)
+    assert far and all(decontaminate.distance(*pairs[k])[0] > pairs[k][2] for k in far)
