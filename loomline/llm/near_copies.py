@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import discard, once, stash
-from .simhash import LOWER, SEED, components, links, majority
+from .simhash import LOWER, SEED, forest, links, majority
 
 WORDS = 5
 #: As a fraction, so that the check is in whole numbers.
@@ -122,12 +122,12 @@ def text_hash() -> Column:
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes those that are near copies."""
+    """Of distinct pairs (a, b) of classes those that are near copies."""
     up, down = SIMILARITY
     a, b = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     na, nb, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
     near = (F.least(na, nb) * down >= F.greatest(na, nb) * up) & (both * down >= (na + nb - both) * up)
-    return pairs.distinct().join(a, "a").join(b, "b").where(near).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
 def prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,37 +172,36 @@ def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
         used.append(path)
         return out
 
-    rows = held(sketched(docs))
-    first = rows.groupBy("class").agg(F.min("th").alias("th"))
-    sketches = rows.select("class", "th", "fp", "keys").distinct().join(first, ["class", "th"]).select("class", F.concat("keys", F.array("fp")).alias("keys"), "fp")
-    keyed = sketches.select("class", "fp", F.explode("keys").alias("key"))
+    none = F.col("doc_id").isNull()
+    key = [f"{c}_{uuid.uuid4().hex}" for c in ("none", "id", "th")]  # names that no column of docs has
+    row = F.struct(none.alias(key[0]), F.coalesce("doc_id", F.lit(0)).alias(key[1]), F.col("th").alias(key[2]))
+    # A row for each class, read by all that follows: k is its row that may stay.
+    classes = held(sketched(docs).groupBy("class", "fp", "keys").agg(F.min("th").alias("th"), F.min(row).alias("k")))
+    keyed = classes.select("class", F.explode(F.concat("keys", F.array("fp"))).alias("key"))
     order = lambda k: F.xxhash64("class", F.lit(k))
     ends = keyed.groupBy("key").agg(*[F.min_by("class", order(k)).alias(f"p{k}") for k in range(PIVOTS)], F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     crowded = held(keyed.join(ends, "key").select("key", "class", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots")))
-    by_fp = sketches.groupBy("fp").agg(F.min("class").alias("class"))
-    alike = links(by_fp.select("fp"))
-    alike = alike.join(by_fp.select(F.col("fp").alias("a"), F.col("class").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("class").alias("y")), "b").select("x", "y")
-    both = alike.union(crowded.select("class", F.explode("pivots")))
+    by_fp = held(classes.groupBy("fp").agg(F.min("class").alias("class")))
+    both = links(by_fp, of="class").union(crowded.select("class", F.explode("pivots"))).toDF("x", "y")
     stars = held(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     wanted = crowded.select("class").union(stars.select("a")).union(stars.select("b")).distinct()
-    sets = held(shingle_sets(docs, first.join(wanted, "class")))
-    edges = held(checked(stars, sets))
-    label = components(edges, spark)
-    parts = None
+    sets = held(shingle_sets(docs, classes.select("class", "th").join(wanted, "class")))
+    label = forest(held(checked(stars, sets)), spark)
+    parts = open_ = None
     for probes in (PROBES, None):
-        # Classes of buckets that are still in several components.
-        named = crowded.select("key", "class").join(label, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-        open_ = held(named.join(split, "key", "left_semi").select("class", "label").distinct())
+        if open_ is None:
+            # Classes of buckets that are still in several components.
+            named = crowded.select("key", "class").join(label, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+            split = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
+            open_ = held(named.join(split, "key", "left_semi").select("class", "label").distinct())
         if parts is None:
             parts = held(prefixes(sets, open_.select("class")))
         more = held(checked(apart(parts, open_, probes).join(stars, ["a", "b"], "left_anti"), sets))
-        edges = edges.union(more)
-        label = components(edges, spark)
-    tied = rows.select("doc_id", "th", "class").join(label, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
-    none = F.col("doc_id").isNull()
-    key = [f"{c}_{uuid.uuid4().hex}" for c in ("none", "id", "th")]  # names that no column of docs has
-    least = tied.groupBy("label").agg(F.min(F.struct(none.alias(key[0]), F.coalesce("doc_id", F.lit(0)).alias(key[1]), F.col("th").alias(key[2]))).alias("k"))
+        if more.limit(1).count():
+            # What is joined so far counts as one link for each class.
+            label, open_ = forest(more.union(label), spark), None
+    tied = classes.select("class", "k").join(label, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
+    least = tied.groupBy("label").agg(F.min("k").alias("k"))
     kept, _ = stash(least.select("k.*"), spark)
     for path in used:
         discard(spark, path)

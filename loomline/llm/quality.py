@@ -75,8 +75,10 @@ def index_vectors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn_vectors(texts: list[str]) -> Vectors:
-    docs = [TOKEN.findall(t or "") for t in texts]
-    counts = Counter(t for d in docs for t in d)
+    # Texts are split again below: all their tokens would be many times the texts, in the driver.
+    counts: Counter = Counter()
+    for t in texts:
+        counts.update(TOKEN.findall(t or ""))
     kept = sorted((t for t, n in counts.items() if n >= LEAST), key=lambda t: (-counts[t], t))[:VOCABULARY]
     shapes = sorted({shape(t) for t in counts} | {f"\x00{k}{n}" for k in "SNUTL" for n in range(7)})
     names = [*kept, *shapes, "\x00"]
@@ -86,8 +88,8 @@ def learn_vectors(texts: list[str]) -> Vectors:
     vectors = Vectors(index, np.zeros((len(names), DIM)))
     total = np.zeros(len(names) * DIM)
     gap = np.full(WINDOW, len(names) - 1, np.int64)  # between documents
-    for a, b in chunks([t or "" for t in texts]):
-        ids = np.concatenate([x for d in docs[a:b] for x in (vectors.ids(d).astype(np.int64), gap)])
+    for a, b in chunks([t or "" for t in texts], 1_000_000):
+        ids = np.concatenate([x for t in texts[a:b] for x in (vectors.ids(TOKEN.findall(t or "")).astype(np.int64), gap)])
         for off in (o for o in range(-WINDOW, WINDOW + 1)):
             here, there = ids[max(0, -off) : len(ids) - max(0, off)], ids[max(0, off) : len(ids) + min(0, off)]
             for j in range(NONZERO):

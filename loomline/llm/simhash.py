@@ -81,48 +81,59 @@ def _flip(v: Column, place: Column) -> Column:
 
 
 def anchors(fps: DataFrame, near: bool) -> DataFrame:
-    """anchor and fp: the home anchors, or if near all anchors within covering radius plus threshold."""
+    """anchor and the columns of fps, fp among them: the home anchors, or if near all anchors within covering radius plus threshold."""
     halves = []
     for i in (0, 1):
-        half = fps.select("fp", _half(i).alias("v")).select("fp", "v", _syndrome(F.col("v")).alias("s"))
+        half = fps.withColumn("v", _half(i)).withColumn("s", _syndrome(F.col("v")))
         home = _flip(F.col("v"), F.col("s"))
         if near:
             others = F.transform(
                 F.filter(F.sequence(F.lit(1), F.lit(31)), lambda a: (F.col("s") > 0) & (a < a.bitwiseXOR(F.col("s")))),
                 lambda a: _flip(_flip(F.col("v"), a), a.bitwiseXOR(F.col("s"))),
             )
-            half = half.select("fp", F.explode(F.concat(F.array(home), others)).alias("a"))
+            half = half.select(*fps.columns, F.explode(F.concat(F.array(home), others)).alias("at"))
         else:
-            half = half.select("fp", home.alias("a"))
-        halves.append(half.select((F.col("a") + F.lit(i << 31)).alias("anchor"), "fp"))
+            half = half.select(*fps.columns, home.alias("at"))
+        halves.append(half.select((F.col("at") + F.lit(i << 31)).alias("anchor"), *fps.columns))
     return halves[0].union(halves[1])
 
 
-def links(classes: DataFrame, threshold: int = 3) -> DataFrame:
-    """a < b: each pair of different fingerprints at threshold bits or fewer. It may come up more than once."""
-    home = anchors(classes, False).withColumnRenamed("fp", "a")
-    near = anchors(classes, True).withColumnRenamed("fp", "b")
-    pair = (home.anchor == near.anchor) & (home.a < near.b) & (F.bit_count(home.a.bitwiseXOR(near.b)) <= threshold)
+def links(classes: DataFrame, threshold: int = 3, of: str = "fp") -> DataFrame:
+    """a, b: the column `of` of each pair of different fingerprints at threshold bits or fewer, that of the lesser first.
+
+    A pair may come up more than once.
+    """
+    home, near = (anchors(classes, far).select("anchor", F.col("fp").alias(f"fp_{x}"), F.col(of).alias(x)) for far, x in ((False, "a"), (True, "b")))
+    pair = (home.anchor == near.anchor) & (home.fp_a < near.fp_b) & (F.bit_count(home.fp_a.bitwiseXOR(near.fp_b)) <= threshold)
     return home.join(near, pair).select("a", "b")
 
 
-def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """node and label, the smallest node reachable, for every node of edges (a, b). Large and small stars in turn."""
+def forest(edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """node and label, the smallest node reachable, for every node of edges (a, b) but the smallest themselves.
+
+    Large and small stars in turn. The driver keeps what each stage of a round leaves, so a round has few: an edge is held
+    by its larger end, and one look at the ends of all edges tells if another round is due.
+    """
     now, path = stash(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), spark)
     while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = now.select(F.col("u").alias("x"), F.col("v").alias("y")).groupBy("x").agg(F.min("y").alias("m"))
+        large = now.join(least, F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
         own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(own).distinct()
+        small = large.join(own, "u").select("m", F.explode(F.array("u", "v")).alias("u")).where("u != m").select("u", F.col("m").alias("v")).distinct()
         after, new = stash(small, spark)
-        # Done when every node points at a root, and no root points on: the table is then the answer.
-        moved = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        forked = 0 if moved else after.groupBy("u").count().where("count > 1").limit(1).count()
+        # Done when every node points at one root only, and no root points on: the table is then the answer.
+        ends = after.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("v", F.lit(0), F.lit(1)))
+        moved = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").limit(1).count()
         discard(spark, path)
         now, path = after, new
-        if not moved and not forked:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
+        if not moved:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """node and label, the smallest node reachable, for every node of edges (a, b)."""
+    found = forest(edges, spark)
+    return found.union(found.select("label", "label").distinct())
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, threshold: int = 3) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -196,16 +197,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _distinct(texts: list[str]) -> list[set[str]]:
+def _distinct(texts: Iterable[str]) -> Iterator[set[str]]:
     """The words of each text, without texts that look like copies of an earlier one (by two min-hashes)."""
-    seen, out = set(), []
+    seen = set()
     for t in texts:
         words = set(PARTS.findall((t or "").lower()))
         key = tuple(min((xxh64_intdigest(w, s) for w in words if len(w) > 5), default=0) for s in (1, 2))
         if key == (0, 0) or key not in seen:
             seen.add(key)
-            out.append(words)
-    return out
+            yield words
 
 
 def learn_lexicon(texts: list[str], labels: list[int], base: tuple[str, ...] = BASE) -> dict[str, float]:
@@ -214,10 +214,14 @@ def learn_lexicon(texts: list[str], labels: list[int], base: tuple[str, ...] = B
     A stem has 4 to 8 letters and stands for its words if none of them alone has two thirds of its rows; of nested
     stems with nearly the same rows the longest is taken.
     """
-    of = [_distinct([t for t, y in zip(texts, labels, strict=True) if bool(y) == kind]) for kind in (False, True)]
-    rest, toxic = map(len, of)
-    words = [Counter(w for d in docs for w in d) for docs in of]
-    stems = [Counter(p for d in docs for p in {w[:n] for w in d for n in range(4, 9) if len(w) > n}) for docs in of]
+    rows, words, stems = [0, 0], [Counter(), Counter()], [Counter(), Counter()]
+    for kind in (False, True):
+        # One text's words at a time: all of them would be many times the texts, in the driver.
+        for d in _distinct(t for t, y in zip(texts, labels, strict=True) if bool(y) == kind):
+            rows[kind] += 1
+            words[kind].update(d)
+            stems[kind].update({w[:n] for w in d for n in range(4, 9) if len(w) > n})
+    rest, toxic = rows
 
     def marked(found: list[Counter]) -> dict[str, float]:
         ratio = {w: n * (rest + 1) / ((found[0][w] + 1) * toxic) for w, n in found[1].items() if n >= 6 and len(w) > 2}
